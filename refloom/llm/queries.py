@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
+from .html_extract import op1_html_extract
 from .mixing import op2_mix_sources
 from .preferences import op10_preferences
+from .quality import op9_quality
+from .simhash import op5_simhash
+from .suffix_dedup import op4_suffix_dedup
 from .tokens import op3_token_counts
 from .topk import op7_top_k
 from .url_filter import op8_url_filter
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_token_counts, op6_decontaminate, op7_top_k, op8_url_filter, op10_preferences)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_html_extract, op2_mix_sources, op3_token_counts, op4_suffix_dedup, op5_simhash, op6_decontaminate, op7_top_k, op8_url_filter, op9_quality, op10_preferences)
+}
 
 ORACLES: dict[str, str] = {}
