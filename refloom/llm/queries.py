@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import op6_decontaminate
 from .html_extract import op1_html_extract
 from .mixing import op2_mix_sources
@@ -17,5 +19,6 @@ QUERIES = {
     f.__name__: f
     for f in (op1_html_extract, op2_mix_sources, op3_token_counts, op4_suffix_dedup, op5_simhash, op6_decontaminate, op7_top_k, op8_url_filter, op9_quality, op10_preferences)
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = {}

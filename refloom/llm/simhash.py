@@ -197,13 +197,14 @@ def _minhash_parameters() -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """key, fp, bands (array<long> of BANDS shard keys)."""
+    """key, same (a 128-bit hash of the words, equal for copies), fp, bands (array<long> of BANDS shard keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul, add = _minhash_parameters()
         for b in batches:
-            fps, bands = [], np.empty((len(b), BANDS), np.uint64)
+            same, fps, bands = [], [], np.empty((len(b), BANDS), np.uint64)
             for i, t in enumerate(b[1].to_pylist()):
+                same.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8").lower().split())))
                 h = shingle_hashes(t, k)
                 fps.append(fingerprint(h))
                 h = np.unique(h) if len(h) else np.zeros(1, np.uint64)
@@ -217,9 +218,9 @@ def sketches(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
                     acc ^= acc >> np.uint64(29)
                 bands[i] = acc
             values = pa.array(bands.reshape(-1).view(np.int64))
-            yield pa.record_batch({key: b[0], "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "bands": pa.ListArray.from_arrays(pa.array(np.arange(0, len(b) * BANDS + 1, BANDS, dtype=np.int32)), values)})
+            yield pa.record_batch({key: b[0], "same": pa.array(same, pa.binary()), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "bands": pa.ListArray.from_arrays(pa.array(np.arange(0, len(b) * BANDS + 1, BANDS, dtype=np.int32)), values)})
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, fp long, bands array<long>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, same binary, fp long, bands array<long>")
 
 
 def candidates(sk: DataFrame) -> DataFrame:
@@ -285,12 +286,14 @@ def near_duplicates(docs: DataFrame, k: int = NEAR_SHINGLE, least: float = SIMIL
     """docs (id: unique long, text): id, group for every row; group is the smallest id that similar pairs lead to.
 
     Candidates come from BK-trees of SimHash fingerprints in shards of texts with equal minimal shingle hashes, and from the
-    shards' hubs; every one is verified by the exact similarity of the whole texts, so nothing else is grouped.  Texts
-    without words are copies of each other; texts of fewer than k words have one shingle.
+    shards' hubs; every one is verified by the exact similarity of the whole texts, so nothing else is grouped.  Copies
+    are joined by a 128-bit hash of their words before anything else.  Null and wordless texts are copies of each other; texts of fewer than k words have one shingle.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     d = docs.select("id", "text")
     sk = sketches(d, "id", "text", k).checkpoint()
-    pairs = candidates(sk).checkpoint()
+    copies = sk.groupBy("same").agg(F.min("id").alias("first"))
+    pairs = candidates(sk.join(copies, sk["id"] == copies["first"], "left_semi")).checkpoint()
     roots = connected_components(similar_pairs(d, pairs, "text", k, least))
-    return docs.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))
+    named = copies.join(roots, F.col("first") == F.col("node"), "left").select("same", F.coalesce("root", "first").alias("group"))
+    return sk.select("id", "same").join(named, "same").select("id", "group")

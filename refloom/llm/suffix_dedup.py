@@ -455,15 +455,16 @@ def _runs(group: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def cut_repeats(docs: DataFrame, threshold: int = THRESHOLD, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
-    """docs (doc_id, text and any other columns): every row with _n_bytes, _starts, _ends (removed runs) and _kept (binary).
+def cut_repeats(docs: DataFrame, threshold: int = THRESHOLD, block_bytes: int = BLOCK_BYTES, hot: int = HOT, as_text: bool = False) -> DataFrame:
+    """docs (doc_id, text and any other columns): every row with _n_bytes, _starts, _ends (removed runs) and _kept (binary; with
+    as_text a string without the characters that a run's end cuts through).
 
     A byte goes if a string of threshold bytes covers it that also starts earlier: in a smaller doc_id, or earlier in
     the same document.  Rows of one doc_id are ordered by text, so that of repeated rows the first stays; null ids come
     last.  Null texts count as empty; texts shorter than the threshold stay whole; an empty table gives an empty result.
     """
     blocked, spans = repeated_spans(docs, threshold, block_bytes, hot)
-    add = {"_n_bytes": pa.int64(), "_starts": pa.list_(pa.int64()), "_ends": pa.list_(pa.int64()), "_kept": pa.binary()}
+    add = {"_n_bytes": pa.int64(), "_starts": pa.list_(pa.int64()), "_ends": pa.list_(pa.int64()), "_kept": pa.string() if as_text else pa.binary()}
 
     def cut(t: pa.Table, got: pa.Table) -> pa.Table:
         if not len(t):
@@ -479,13 +480,15 @@ def cut_repeats(docs: DataFrame, threshold: int = THRESHOLD, block_bytes: int =
                 ends[i].append(e)
         for i, x in enumerate(b.texts):
             kept[i] = b"".join(x[p:q] for p, q in zip([0, *ends[i]], [*starts[i], len(x)], strict=True))
+            if as_text:
+                kept[i] = kept[i].decode("utf-8", "ignore")
         cols = [b.size.tolist(), starts, ends, kept]
         out = t.take(pa.array(b.order)).drop_columns(["_block"])
         for (name, kind), values in zip(add.items(), cols, strict=True):
             out = out.append_column(name, pa.array(values, kind))
         return out
 
-    schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", _n_bytes long, _starts array<long>, _ends array<long>, _kept binary"
+    schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", _n_bytes long, _starts array<long>, _ends array<long>, _kept " + ("string" if as_text else "binary")
     return blocked.groupBy("_block").cogroup(spans.groupBy("to")).applyInArrow(cut, schema)
 
 
