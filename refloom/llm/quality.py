@@ -27,12 +27,11 @@ from .url_filter import _strength
 TRAIN_ROWS = 16_384
 #: The evidence has at most so many features, those seen in most documents first.
 FEATURES = 20_000
-#: A feature counts in a fault's favour if the lower bound of the fault's share among its documents is this many times
-#: the overall share, and at least so far from certain doubt.
-LIFT = 3.0
-LEAST_DOCS = 5
+#: A feature is evidence of a fault if the lower bound of the fault's share among its documents is at least this.
+BOUND = 0.5
+LEAST_DOCS = 6
 #: Pseudo documents by which a feature's share is shrunk to the overall share.
-SHRINK = 10.0
+SHRINK = 2.0
 #: The strongest words of a document that count, and shape features likewise.
 STRONGEST = 5
 SEED = 9
@@ -44,14 +43,14 @@ BROADCAST_SITES = 50_000
 
 def shape(words: list[str], bare: list[str], letters: int) -> list[str]:
     """Features of a text's form, each a share in tenths."""
-    n, size = len(words), sum(map(len, words))
+    n, size = len(words), sum(map(len, words)) or 1
+    signs = sum(len(w) for w, b in zip(words, bare, strict=True) if not b)  # words of signs alone
     tenth = lambda x: int(10 * x + 0.5)
     return [
         f"s upper {tenth(sum(map(str.isupper, words)) / n)}",
-        f"s symbols {tenth((size - letters) / size)}",
+        f"s symbols {tenth((size - signs - letters) / size)}",
         f"s bars {tenth(bare.count('') / n)}",
         f"s again {tenth(sum(map(eq, words, words[1:])) / n)}",
-        f"s length {min(20, int(letters / max(1, n - bare.count(''))))}",
     ]
 
 
@@ -163,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, overall: dict[str, float], text: str
         n, b = F.col(f"n_{f}"), F.col(f"b_{f}")
         p: Column = (b + SHRINK * p0) / (n + SHRINK)
         bound = p - 1.645 * F.sqrt(p * (1 - p) / (n + SHRINK + 1))
-        good = c.filter((n >= LEAST_DOCS) & (F.col("name") != "all")).select("name", n.alias("n"), p.alias("p"), bound.alias("bound")).filter(F.col("bound") >= min(LIFT * p0, 0.5 + p0 / 2))
+        good = c.filter((n >= LEAST_DOCS) & (F.col("name") != "all")).select("name", n.alias("n"), p.alias("p"), bound.alias("bound")).filter(F.col("bound") >= BOUND)
         for r in good.orderBy(F.col("n").desc(), "name").limit(FEATURES).collect():
             to = shapes if r["name"].startswith("s ") else words
             to[f][r["name"]] = math.log(r["p"] / (1 - r["p"])) - math.log(p0 / (1 - p0))
