@@ -292,7 +292,7 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, block_bytes: int
     k = threshold // 2
     reach = threshold - k
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(4 * partitions(spark), -(-total // block_bytes))
+    n = max(partitions(spark), -(-total // block_bytes))
     blocked = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
     bucket = lambda h: (h % np.uint64(n)).astype(np.int64)
 

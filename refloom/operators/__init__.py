@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Operators over citation items, manuscripts and findings."""

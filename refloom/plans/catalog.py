@@ -1,4 +1,491 @@
-"""Queries over the driver tables and their DuckDB SQL."""
+"""Queries over the driver tables and their DuckDB SQL.
+
+Every query runs an operator over its whole tables.  The tables hold no citations, so analogous columns stand for items.
+"""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import identifiers as I
+from ..functions import text as X
+from ..operators import autocorrect, dedup, grounding, listings, manuscript, report, rules, styles, verify
+from ..schema import as_items
+from ..sources import writers
+from ..streaming import events
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+AS_OF = date(2026, 1, 1)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'))"
+TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+'), lambda x: length(x) >= 3)"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, unnest(list_distinct({TOKENS.format("text")})) AS t FROM documents),
+b AS (SELECT item_id, list_distinct({TOKENS.format("text")}) AS ts FROM benchmark), bt AS (SELECT item_id, len(ts) AS n, unnest(ts) AS t FROM b),
+h AS (SELECT doc_id, item_id, count(*) AS hits, any_value(n) AS n FROM d JOIN bt USING (t) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits / n DESC, item_id) AS k FROM h)
+SELECT doc_id, item_id, hits::BIGINT AS hits, round(hits / n, 6) AS score, CASE WHEN hits / n < 0.25 THEN 'low' WHEN hits / n < 0.5 THEN 'medium' ELSE 'high' END AS bucket FROM r WHERE k = 1"""
+)
+def token_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark passage of which each document has the largest share of tokens."""
+    b = _t(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(X.tokens(F.col("text"))).alias("ts"))
+    bt = b.select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("t"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("t"))
+    h = d.join(listings.small(bt), "t").groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"), F.max("n").alias("n"))
+    best = h.groupBy("doc_id").agg(F.max_by(F.struct("item_id", "hits", "n"), F.struct(F.col("hits") / F.col("n"), -F.col("item_id"))).alias("b"))
+    score = F.col("b.hits") / F.col("b.n")
+    return best.select("doc_id", "b.item_id", "b.hits", F.round(score, 6).alias("score"), X.bucket(score).alias("bucket"))
+
+
+@query(f"SELECT doc_id, {NORM.format('text')} AS normal FROM documents")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", X.normalize(F.col("text")).alias("normal"))
+
+
+@query("SELECT conv_id, turn, regexp_replace(text, '[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]', '', 'g') AS clean FROM conversations")
+def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", X.sanitize(F.col("text")).alias("clean"))
+
+
+_MINOR = ", ".join(f"'{w}'" for w in X.MINOR_WORDS)
+
+
+@query(
+    f"""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w, i: CASE WHEN i = 1 OR lower(w) NOT IN ({_MINOR}) THEN upper(w[1]) || lower(w[2:]) ELSE lower(w) END), ' ') AS title FROM part"""
+)
+def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", X.title_case(F.col("p_name")).alias("title"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_type || ' ' || p_name, ' '), lambda w, i: CASE WHEN i = 1 THEN upper(w[1]) || lower(w[2:]) WHEN length(w) <= 5 AND regexp_matches(w, '^[A-Z]{2,}$') THEN w ELSE lower(w) END), ' ') AS title FROM part")
+def sentence_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", X.sentence_case(F.concat_ws(" ", "p_type", "p_name")).alias("title"))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS heading FROM pages")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = lambda t: F.regexp_extract("html", rf"(?is)<{t}[^>]*>(.*?)</{t}>", 1)
+    return _t(spark, sf_dir, "pages").select("page_id", tag("title").alias("title"), tag("h1").alias("heading"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
+
+
+_HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))"
+
+
+@query(
+    rf"""WITH h AS (SELECT page_id, url, {_HOST} AS host FROM pages), p AS (SELECT *, string_split(regexp_replace(host, '^www\.', ''), '.') AS parts FROM h)
+SELECT page_id, host, upper(parts[len(parts) - 1][1]) || parts[len(parts) - 1][2:] AS site,
+CASE WHEN regexp_matches(host, '(^|\.)(doi\.org|arxiv\.org|pubmed\.ncbi\.nlm\.nih\.gov)$') THEN 'registry' WHEN regexp_matches(host, '\.gov(\.[a-z]{{2}})?$') OR regexp_matches(host, '(^|\.)europa\.eu$') THEN 'government'
+WHEN regexp_matches(host, '\.(edu|ac\.[a-z]{{2}})$') THEN 'academic' WHEN regexp_matches(host, '\.org$') THEN 'organisation' ELSE 'other' END AS class,
+starts_with(url, 'https://') AND contains(host, '.') AND NOT contains(host, '@') AS may_fetch FROM p"""
+)
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return _t(spark, sf_dir, "pages").select("page_id", I.host(u).alias("host"), I.site_name(u).alias("site"), I.host_class(u).alias("class"), I.may_fetch(u).alias("may_fetch"))
+
+
+@query(
+    """WITH k AS (SELECT page_id AS id, url AS key FROM pages UNION ALL SELECT o_orderkey, o_orderkey::VARCHAR FROM orders UNION ALL SELECT p_partkey, p_name FROM part)
+SELECT id, key, CASE WHEN regexp_matches(key, '^PMC[0-9]+$', 'i') THEN 'pmcid' WHEN regexp_matches(key, '^[0-9]{1,9}$') THEN 'pmid' WHEN regexp_matches(key, '^https?://', 'i') THEN 'url' ELSE 'unknown' END AS kind FROM k"""
+)
+def identifier_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("key")).union(_t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string"))).union(_t(spark, sf_dir, "part").select("p_partkey", "p_name"))
+    return k.select("id", "key", I.identifier_type(F.col("key")).alias("kind"))
+
+
+def _documents_as_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as items: the first line is the title, the source the container, and the language deals out types."""
+    d = _t(spark, sf_dir, "documents")
+    kind = F.when(F.col("lang") == "en", "article-journal").when(F.col("lang") == "de", "report").when(F.col("lang") == "fr", "webpage").otherwise("book")
+    doi = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("10.1234/"), F.col("doc_id").cast("string"))).when(F.pmod("doc_id", F.lit(3)) == 1, F.concat(F.lit("https://doi.org/10.1234/"), F.col("doc_id").cast("string")))
+    return as_items(d.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), kind.alias("type"), F.split("text", "\n")[0].alias("title"), F.when(F.col("lang") != "es", F.col("source")).alias("container_title"), doi.alias("DOI"), F.when(F.col("lang") == "fr", F.concat(F.lit("www.example.org/"), F.col("doc_id").cast("string"))).alias("URL"), F.col("n_chars").cast("string").alias("volume")))
+
+
+_ITEMS = """i AS (SELECT doc_id, doc_id::VARCHAR AS id, CASE lang WHEN 'en' THEN 'article-journal' WHEN 'de' THEN 'report' WHEN 'fr' THEN 'webpage' ELSE 'book' END AS type, string_split(text, chr(10))[1] AS title,
+CASE WHEN lang <> 'es' THEN source END AS container, CASE doc_id % 3 WHEN 0 THEN '10.1234/' || doc_id WHEN 1 THEN 'https://doi.org/10.1234/' || doc_id END AS doi, CASE WHEN lang = 'fr' THEN 'www.example.org/' || doc_id END AS url FROM documents)"""
+_ISSUES = f"""WITH {_ITEMS}, x AS (SELECT id, unnest([
+CASE WHEN coalesce(title, '') = '' THEN 'required-title/error' END, 'required-author/warning',
+CASE WHEN type IN ('article-journal', 'book', 'report') THEN 'required-date/warning' END,
+CASE WHEN type = 'article-journal' AND container IS NULL THEN 'journal-requires-container/error' END,
+CASE WHEN type = 'book' THEN 'book-requires-publisher/warning' END,
+CASE WHEN type = 'report' THEN 'report-requires-publisher/warning' END,
+CASE WHEN type = 'report' AND doi IS NULL THEN 'report-url-recommended/info' END,
+CASE WHEN type = 'webpage' THEN 'webpage-requires-accessed/warning' END,
+CASE WHEN doi IS NOT NULL AND NOT regexp_matches(doi, '^10\\.[0-9]{{4,}}/') THEN 'doi-format/error' END,
+CASE WHEN url IS NOT NULL THEN 'url-format/warning' END,
+CASE WHEN type = 'article-journal' AND doi IS NULL THEN 'apa-doi-recommended/info' END,
+CASE WHEN type = 'report' THEN 'apa-report-number/info' END,
+CASE WHEN type = 'report' AND doi IS NULL THEN 'gray-lit-url-recommended/info' END]) AS r FROM i)"""
+
+
+@query(_ISSUES + " SELECT id AS citation_id, split_part(r, '/', 1) AS rule_id, split_part(r, '/', 2) AS severity FROM x WHERE r IS NOT NULL")
+def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.validate(_documents_as_items(spark, sf_dir), "apa-7th", AS_OF).select("citation_id", "rule_id", "severity")
+
+
+@query(_ISSUES + " SELECT count(*) FILTER (r LIKE '%/error') AS errors, count(*) FILTER (r LIKE '%/warning') AS warnings, count(*) FILTER (r LIKE '%/info') AS infos FROM x WHERE r IS NOT NULL")
+def issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.issue_summary(rules.validate(_documents_as_items(spark, sf_dir), "apa-7th", AS_OF))
+
+
+@query(
+    _ISSUES
+    + """, b AS (SELECT id, count(*) FILTER (r IS NOT NULL) AS n FROM x GROUP BY id), fixed AS (SELECT id, count(*) FILTER (r IS NOT NULL AND r NOT LIKE 'doi-format%' AND r NOT LIKE 'url-format%' AND r NOT LIKE 'webpage-requires-accessed%') AS m FROM x GROUP BY id)
+SELECT id AS citation_id, n AS n_before, m AS n_after, CASE WHEN n > 0 AND m = 0 THEN 'fixed' WHEN m = 0 THEN 'pending' WHEN m < n THEN 'partially-fixed' ELSE 'has-issues' END AS status FROM b JOIN fixed USING (id)"""
+)
+def corrected_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of every item after offline corrections."""
+    items = _documents_as_items(spark, sf_dir)
+    fixed, _ = autocorrect.correct(items, "apa-7th", AS_OF)
+    return rules.statuses(items, rules.validate(items, "apa-7th", AS_OF), rules.validate(fixed, "apa-7th", AS_OF))
+
+
+@query("SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def dup_exact_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document of each text: grouped by a hash of the text, so that texts aren't shuffled to be compared."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    first = d.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return d.join(first, "doc_id", "left_semi")
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct part names as items, by the first part of each."""
+    p = _t(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("ord"))
+    return as_items(p.select("ord", F.col("ord").cast("string").alias("id"), F.lit("document").alias("type"), F.col("p_name").alias("title")))
+
+
+_EDGES = "n AS (SELECT p_name AS t, min(p_partkey) AS ord FROM part GROUP BY 1), e AS (SELECT a.ord AS lo, b.ord AS hi, 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) AS score FROM n a JOIN n b ON a.ord < b.ord WHERE 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) >= 0.6)"
+
+
+@query(f"WITH {_EDGES} SELECT lo, hi, round(score, 6) AS score FROM e")
+def dup_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.edges(_names(spark, sf_dir), 0.6).select("lo", "hi", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES}, v AS (SELECT ord, row_number() OVER (ORDER BY ord) AS k FROM n), low AS (SELECT v.k, v.ord, coalesce(list(e.lo) FILTER (e.lo IS NOT NULL), []) AS lower FROM v LEFT JOIN e ON e.hi = v.ord GROUP BY ALL),
+g(k, seeds, ord, seed) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT UNION ALL
+SELECT low.k, CASE WHEN len(list_intersect(g.seeds, low.lower)) = 0 THEN list_append(g.seeds, low.ord) ELSE g.seeds END, low.ord, coalesce(list_min(list_intersect(g.seeds, low.lower)), low.ord) FROM g JOIN low ON low.k = g.k + 1)
+SELECT ord, seed FROM g WHERE ord IS NOT NULL AND seed IN (SELECT seed FROM g WHERE ord IS NOT NULL GROUP BY seed HAVING count(*) > 1)"""
+)
+def dup_greedy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _names(spark, sf_dir)
+    return dedup.greedy_groups(items, dedup.edges(items, 0.6))
+
+
+@query("SELECT o_custkey AS grp, min(o_orderkey) AS ord, arg_min(o_orderstatus, o_orderkey) FILTER (o_orderstatus <> 'P') AS status, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderpriority <> '5-LOW') AS priority FROM orders GROUP BY 1")
+def dup_merge_first_non_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("priority"))
+    return dedup.merge(o, "grp", "ord", ["status", "priority"])
+
+
+_LIST = [(0, "Small Ring", "a"), (1, "The Red Widget!", "b"), (2, "blue gadgett", "c"), (3, "large bolt", "d"), (4, "green screww", "e"), (5, "red widgets", "f"), (6, "small rings", "g")]
+
+
+def _lists(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    j = spark.createDataFrame([(o, n, [], ["0000-0001"] if o == 0 else [], r) for o, n, r in _LIST], "ord long, name string, aliases array<string>, issn array<string>, reason string")
+    return j, spark.createDataFrame([(0, "Brand 7", ["Brand#7"], "p")], "ord long, name string, aliases array<string>, reason string")
+
+
+_LIST_SQL = ", ".join(f"({o}, '{n.lower().removeprefix('the ').rstrip('!')}', '{n}', '{r}')" for o, n, r in _LIST)
+
+
+@query(
+    rf"""WITH l(ord, n, name, reason) AS (VALUES {_LIST_SQL}), p AS (SELECT p_partkey, p_name, lower(p_name) AS n, p_brand FROM part),
+f AS (SELECT p_partkey, 'name' AS matched_on, l.name, l.reason, 103 AS s, 1.0 AS score, ord FROM p JOIN l USING (n)
+UNION ALL SELECT p_partkey, 'publisher', 'Brand 7', 'p', 2, 1.0, 0 FROM p WHERE p_brand = 'Brand#7'
+UNION ALL SELECT p_partkey, 'fuzzy-name', l.name, l.reason, 1, 1 - levenshtein(p.n, l.n) / greatest(length(p.n), length(l.n)), ord FROM p JOIN l ON p.n <> l.n AND 1 - levenshtein(p.n, l.n) / greatest(length(p.n), length(l.n)) >= 0.85)
+SELECT p_partkey AS citation_id, CASE WHEN s > 100 THEN 'predatory' ELSE 'suspicious' END AS tier, matched_on, name, reason FROM f QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY s DESC, score DESC, ord) = 1"""
+)
+def name_flag_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("container_title"), F.col("p_brand").alias("publisher"), F.lit(None).cast("string").alias("ISSN"))
+    return listings.flags(items, *_lists(spark), 0.85).select("citation_id", "tier", "matched_on", "name", "reason")
+
+
+@query(
+    f"""WITH b AS (SELECT item_id, {TOKENS.format("text")} AS ts FROM benchmark), bt AS (SELECT item_id, len(ts) AS n, unnest(ts) AS t FROM b), d AS (SELECT doc_id, unnest(list_distinct({TOKENS.format("text")})) AS t FROM documents),
+h AS (SELECT doc_id, item_id, count(*) / any_value(n) AS share FROM bt JOIN d USING (t) GROUP BY ALL) SELECT doc_id, count(*) FILTER (share >= 0.35) AS items, round(max(share), 6) AS most FROM h GROUP BY doc_id"""
+)
+def containment_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many benchmark texts have 0.35 or more of their tokens, repeats counted, in each document."""
+    bt = _t(spark, sf_dir, "benchmark").select("item_id", X.tokens(F.col("text")).alias("ts")).select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("t"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("t"))
+    h = d.join(listings.small(bt), "t").groupBy("doc_id", "item_id").agg((F.count("*") / F.max("n")).alias("share"))
+    return h.groupBy("doc_id").agg(F.count_if(F.col("share") >= 0.35).alias("items"), F.round(F.max("share"), 6).alias("most"))
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT p_name, list_distinct(list_filter(string_split(p_name, ' '), lambda x: length(x) > 2)) AS ts FROM part), t AS (SELECT p_name, len(ts) AS n, unnest(ts) AS t FROM p),
+h AS (SELECT a.p_name AS name, b.p_name AS other, 2 * count(*) / (any_value(a.n) + any_value(b.n)) AS dice FROM t a JOIN t b ON a.t = b.t AND a.p_name <> b.p_name GROUP BY ALL)
+SELECT name, other, round(dice, 6) AS dice FROM h QUALIFY row_number() OVER (PARTITION BY name ORDER BY dice DESC, other) = 1"""
+)
+def dice_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar other part name by words."""
+    t = _t(spark, sf_dir, "part").select("p_name").distinct().withColumn("ts", F.array_distinct(X.long_words(F.col("p_name"))))
+    t = t.select("p_name", F.size("ts").alias("n"), F.explode("ts").alias("t"))
+    a, b = t.alias("a"), t.alias("b")
+    h = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.p_name") != F.col("b.p_name"))).groupBy(F.col("a.p_name").alias("name"), F.col("b.p_name").alias("other")).agg((2 * F.count("*") / (F.max("a.n") + F.max("b.n"))).alias("dice"))
+    n = F.row_number().over(Window.partitionBy("name").orderBy(F.col("dice").desc(), "other"))
+    return h.withColumn("_n", n).filter("_n = 1").select("name", "other", F.round("dice", 6).alias("dice"))
+
+
+_PERTURBED = """u AS (SELECT o_orderkey AS citation_id, o_orderpriority AS title, year(o_orderdate)::VARCHAR AS year, o_orderstatus AS volume, o_custkey::VARCHAR AS page FROM orders),
+c AS (SELECT citation_id, CASE WHEN citation_id % 5 = 0 THEN 'another work' ELSE title END AS title, CASE WHEN citation_id % 3 = 0 THEN (year::INT + 1)::VARCHAR ELSE year END AS year, CASE WHEN citation_id % 7 = 0 THEN 'X' ELSE volume END AS volume, page FROM u)"""
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders beside changed orders, in place of registry records."""
+    o, k = _t(spark, sf_dir, "orders"), F.col("citation_id")
+    every = lambda n: F.pmod(k, F.lit(n)) == 0
+    u = o.select(F.col("o_orderkey").alias("citation_id"), F.col("o_orderpriority").alias("user_title"), F.year("o_orderdate").cast("string").alias("user_year"), F.col("o_orderstatus").alias("user_volume"), F.col("o_custkey").cast("string").alias("user_page"), F.lit(None).cast("string").alias("user_container_title"))
+    return u.withColumns({"canonical_title": F.when(every(5), "another work").otherwise(F.col("user_title")), "canonical_year": F.when(every(3), (F.col("user_year").cast("int") + 1).cast("string")).otherwise(F.col("user_year")), "canonical_volume": F.when(every(7), "X").otherwise(F.col("user_volume")), "canonical_page": F.col("user_page"), "canonical_container_title": F.lit(None).cast("string")})
+
+
+_FOUND = f"WITH {_PERTURBED}, m AS (SELECT citation_id, 'title' AS field, u.title AS user_value, c.title AS canonical_value FROM u JOIN c USING (citation_id) WHERE u.title <> c.title UNION ALL SELECT citation_id, 'year', u.year, c.year FROM u JOIN c USING (citation_id) WHERE u.year <> c.year UNION ALL SELECT citation_id, 'volume', u.volume, c.volume FROM u JOIN c USING (citation_id) WHERE u.volume <> c.volume)"
+
+
+@query(_FOUND + " SELECT * FROM m")
+def verify_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.mismatches(_compared(spark, sf_dir)).select("citation_id", "field", "user_value", "canonical_value")
+
+
+@query(_FOUND + " SELECT o_orderkey AS citation_id, coalesce(CASE max(CASE WHEN field = 'title' THEN 2 WHEN field IS NOT NULL THEN 1 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' END, 'pass') AS verdict FROM orders LEFT JOIN m ON citation_id = o_orderkey GROUP BY 1")
+def mismatch_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return verify.verdict(o, verify.mismatches(_compared(spark, sf_dir)))
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey AS id, l_linenumber, l_partkey, l_suppkey, l_quantity, unnest([{'f': 'o_orderstatus', 'v': CASE WHEN l_linenumber % 3 = 0 THEN '(missing)' ELSE l_returnflag END}, {'f': 'o_orderpriority', 'v': l_linestatus}]) AS x FROM lineitem),
+p AS (SELECT id, x.f AS f, arg_max(x.v, l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey + l_quantity / 100) AS v FROM l WHERE trim(x.v) NOT IN ('', '(missing)') GROUP BY ALL)
+SELECT o_orderkey AS id, coalesce(s.v, o_orderstatus) AS o_orderstatus, coalesce(r.v, o_orderpriority) AS o_orderpriority FROM orders LEFT JOIN p s ON s.id = o_orderkey AND s.f = 'o_orderstatus' LEFT JOIN p r ON r.id = o_orderkey AND r.f = 'o_orderpriority'"""
+)
+def apply_patches_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders patched by their line items: the last usable value of a field counts."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_orderpriority")
+    order = F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") + F.col("l_quantity") / 100
+    each = F.array(F.struct(F.lit("o_orderstatus").alias("field"), F.when(F.pmod("l_linenumber", F.lit(3)) == 0, "(missing)").otherwise(F.col("l_returnflag")).alias("value")), F.struct(F.lit("o_orderpriority").alias("field"), F.col("l_linestatus").alias("value")))
+    p = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), order.alias("ord"), F.explode(each).alias("x")).select("id", "ord", "x.*")
+    return verify.apply_patches(o, p, ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT doc_id, unnest(regexp_extract_all(text, '\\(([0-9]{1,9})\\)', 1))::INT AS number FROM documents")
+def paren_number_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.explode(manuscript.paren_numbers(F.col("text"))).alias("number"))
+
+
+@query()
+def in_text_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manuscript.in_text(_t(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _lines_as_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as documents: line numbers 1 to 7 are cited and the lines there are the entries."""
+    spans = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.lit(0).alias("start"), F.sequence(F.lit(1), (F.pmod("o_custkey", F.lit(5)) + 1).cast("int")).alias("numbers"))
+    ord_ = F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 1000 + F.col("l_quantity")
+    entries = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), ord_.alias("ord"), F.concat(F.lit("ref-"), "l_linenumber").alias("key"), F.lit("").alias("raw"))
+    return spans, entries
+
+
+_MAPPED = """WITH s AS (SELECT o_orderkey AS doc, unnest(range(1, (o_custkey % 5)::INT + 2)) AS n FROM orders), e AS (SELECT l_orderkey AS doc, l_linenumber AS n FROM lineitem GROUP BY ALL),
+m AS (SELECT s.doc, string_agg('ref-' || e.n, ',' ORDER BY s.n) FILTER (e.n IS NOT NULL) AS keys, count(*) FILTER (e.n IS NULL) AS missing FROM s LEFT JOIN e ON e.doc = s.doc AND e.n = s.n GROUP BY s.doc)"""
+
+
+@query(_MAPPED + " SELECT doc, coalesce(keys, '') AS keys, missing FROM m")
+def span_to_entry_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = manuscript.map_numbers(*_lines_as_spans(spark, sf_dir), "doc")
+    return m.select("doc", F.array_join("keys", ",").alias("keys"), F.size("missing").cast("long").alias("missing"))
+
+
+@query(_MAPPED + " SELECT count(*) FILTER (keys IS NOT NULL) AS matched, 0::BIGINT AS ambiguous, count(*) FILTER (keys IS NULL) AS unmatched FROM m")
+def mapping_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = manuscript.map_numbers(*_lines_as_spans(spark, sf_dir), "doc")
+    return manuscript.mapping_summary(m.withColumn("candidates", F.lit(None).cast("array<string>")))
+
+
+@query(r"""WITH x AS (SELECT doc_id, string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents)
+SELECT doc_id, (i - 1)::INT AS pos, s[i] AS sentence FROM x, range(1, len(s) + 1) r(i) WHERE s[i] <> ''""")
+def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(manuscript.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query(
+    """WITH r AS (SELECT conv_id, turn, role, length(text) AS n, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS used FROM conversations),
+o AS (SELECT *, max((used > 2000)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS over_ FROM r) SELECT conv_id, turn, used::BIGINT AS used FROM o WHERE over_ = 0"""
+)
+def chunk_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each conversation up to 2,000 characters."""
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").alias("n"))
+    return manuscript.chunk_budget(c, "conv_id", ["turn"], F.col("n"), 2000).select("conv_id", "turn", "used")
+
+
+@query(
+    """WITH w AS (SELECT conv_id, turn, concat_ws(' ', lag(text) OVER p, text, lead(text) OVER p) AS t FROM conversations WINDOW p AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, CASE WHEN length(t) <= 1500 THEN t ELSE regexp_replace(t[:1500], '\\s+\\S*$', '') END AS passage FROM w"""
+)
+def passage_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with its neighbours, cut to 1,500 characters at a space."""
+    c = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    texts = F.transform("x", lambda t: t["text"])
+    c = c.withColumn("texts", texts).select("conv_id", "texts", F.posexplode("x").alias("i", "t"))
+    return c.select("conv_id", F.col("t.turn").alias("turn"), manuscript.window(F.col("texts"), F.col("i"), 1500).alias("passage"))
+
+
+@query(
+    "WITH s AS (SELECT page_id, html FROM pages) SELECT page_id, rule, count(*) AS hits FROM ("
+    + " UNION ALL ".join(f"SELECT page_id, '{r}' AS rule, unnest(regexp_extract_all(html, '{p.replace(chr(39), chr(39) * 2)}', 0, 'is')[:10]) AS m FROM s" for r, c, _, p in grounding.INJECTION if c != "unicode")
+    + ") GROUP BY ALL"
+)
+def injection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grounding.injection_scan(_t(spark, sf_dir, "pages"), "page_id", "html").filter("category != 'unicode'").groupBy("page_id", "rule").agg(F.count("*").alias("hits"))
+
+
+@query(
+    "SELECT doc_id, unnest([{'item': 'ethics', 'status': CASE WHEN regexp_matches(text, 'ethic(?:s|al) (?:approval|committee|review)|institutional review board', 'i') THEN 'found' ELSE 'not-found' END}, {'item': 'consent', 'status': CASE WHEN regexp_matches(text, 'informed consent|consent to (?:participate|publish)', 'i') THEN 'found' ELSE 'not-found' END}, {'item': 'conflict_of_interest', 'status': CASE WHEN regexp_matches(text, 'conflicts? of interest|competing interests?', 'i') THEN 'found' ELSE 'not-found' END}, "
+    + ", ".join(f"{{'item': '{m}', 'status': 'manual'}}" for m in report.MANUAL)
+    + "], recursive := true) FROM documents"
+)
+def checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.checklist(_t(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as cite sites of their orders."""
+    l = _t(spark, sf_dir, "lineitem")
+    status = F.when(F.col("l_quantity") < 3, "fail").when(F.col("l_discount") > 0.09, "warn").when(F.col("l_tax") > 0.07, "insufficient").when(F.col("l_returnflag") == "N", "skip").otherwise("pass")
+    return l.select(F.col("l_orderkey").alias("bib"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("ord"), status.alias("status"), F.array(F.concat(F.lit("r"), F.col("l_linenumber").cast("string"))).alias("reasons"), F.when(F.col("l_quantity") < 10, "low").when(F.col("l_quantity") < 30, "medium").otherwise("high").alias("bucket"))
+
+
+_SITES = "WITH s AS (SELECT l_orderkey AS bib, CASE WHEN l_quantity < 3 THEN 'fail' WHEN l_discount > 0.09 THEN 'warn' WHEN l_tax > 0.07 THEN 'insufficient' WHEN l_returnflag = 'N' THEN 'skip' ELSE 'pass' END AS status, CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 30 THEN 1 ELSE 2 END AS b FROM lineitem)"
+_ROLLED = "CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'warn') THEN 'warn' WHEN bool_or(status = 'insufficient') THEN 'insufficient' WHEN bool_or(status = 'skip') AND bool_or(status = 'pass') THEN 'warn' WHEN bool_or(status = 'skip') THEN 'skip' ELSE 'pass' END"
+
+
+@query(_SITES + f" SELECT bib, {_ROLLED} AS verdict FROM s GROUP BY bib")
+def verdict_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grounding.rollup(_sites(spark, sf_dir), ["bib"]).select("bib", "verdict")
+
+
+@query(_SITES + " SELECT bib, ['low', 'medium', 'high'][min(b) + 1] AS worst FROM s GROUP BY bib")
+def worst_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sites(spark, sf_dir).groupBy("bib").agg(grounding.worst_bucket(F.col("bucket")).alias("worst"))
+
+
+@query(_SITES + " SELECT " + ", ".join(f"count(*) FILTER (status = '{v}') AS \"{v}\"" for v in report.PASSAGE) + " FROM s")
+def coverage_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.buckets(_sites(spark, sf_dir), [])
+
+
+@query("WITH d AS (SELECT lang, l.doc_id IS NOT NULL AS matched, coalesce((toxic = 1)::INT, 0) AS fails FROM documents d LEFT JOIN labels l USING (doc_id)), g AS (SELECT lang, count(*) AS total, count(*) FILTER (matched) AS matched, sum(fails)::BIGINT AS failures FROM d GROUP BY lang) SELECT *, round(matched / total, 6) AS ratio, CASE WHEN matched / total < 0.5 OR failures > 0 THEN 'blocker' WHEN matched / total < 0.85 THEN 'warning' ELSE 'ok' END AS gate FROM g")
+def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select("doc_id", "lang").join(_t(spark, sf_dir, "labels").select("doc_id", "toxic", F.lit(True).alias("m")), "doc_id", "left")
+    m = d.select("lang", F.coalesce("m", F.lit(False)).alias("matched"), F.coalesce((F.col("toxic") == 1).cast("int"), F.lit(0)).alias("fails"))
+    return report.preflight(m, ["lang"]).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")
+def latest_state_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.latest(_t(spark, sf_dir, "events"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_counts_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.windowed_counts(_t(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 86400) ORDER BY ts, event_id) = 1")
+def throttle_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.throttle(_t(spark, sf_dir, "events")).select("event_id", "user_id")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY c_name, year(o_orderdate), o_orderkey) AS place FROM orders JOIN customer ON o_custkey = c_custkey QUALIFY place <= 1000")
+def sort_author_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 1,000 orders by customer, year and key: a top-k report in the order of reference lists."""
+    o = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    top = o.select("c_name", F.year("o_orderdate").alias("y"), "o_orderkey").orderBy("c_name", "y", "o_orderkey").limit(1000)
+    return top.select("o_orderkey", F.row_number().over(Window.orderBy("c_name", "y", "o_orderkey")).cast("long").alias("place"))
+
+
+@query("SELECT o_orderkey AS ord, CASE WHEN o_orderpriority <> '5-LOW' AND year(o_orderdate) < 1993 THEN 0 WHEN o_orderpriority <> '5-LOW' THEN 1 ELSE 2 END AS bucket FROM orders ORDER BY bucket, ord LIMIT 200")
+def priority_top200(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderpriority") != "5-LOW", "10.1/x").alias("DOI"), none.alias("PMID"), none.alias("PMCID"), F.year("o_orderdate").alias("y"))
+    return verify.priority(o, F.col("y") < 1993).select("ord", "bucket")
+
+
+@query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS pending FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 490000)")
+def semi_anti_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with orders but without a very large one, in one pass over the orders."""
+    o = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.bool_or(F.col("o_totalprice") > 490000).alias("big"), F.bool_or(F.col("o_orderstatus") == "P").alias("pending"))
+    return _t(spark, sf_dir, "customer").select("c_custkey").join(o.filter("NOT big"), "c_custkey").select("c_custkey", "pending")
+
+
+@query("SELECT s_suppkey AS id, 'new' AS origin, s_name AS name FROM supplier UNION ALL SELECT c_custkey, 'old', c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def replace_partition_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows replaced by newer ones of the same id, the others kept."""
+    new = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("new").alias("origin"), F.col("s_name").alias("name"))
+    old = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("old").alias("origin"), F.col("c_name").alias("name"))
+    return new.unionByName(old.join(new.select("id"), "id", "left_anti"))
+
+
+@query("SELECT doc_id::VARCHAR || '.txt' AS name, sha256(text) || '  ' || doc_id || '.txt' AS line FROM documents")
+def sha_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.manifest(_t(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").alias("content")))
+
+
+@query(f"WITH {_ITEMS} SELECT id, concat_ws(chr(10), 'TY  - ' || CASE type WHEN 'article-journal' THEN 'JOUR' WHEN 'report' THEN 'RPRT' WHEN 'webpage' THEN 'ELEC' ELSE 'BOOK' END, 'ID  - ' || id, CASE WHEN title <> '' THEN 'TI  - ' || title END, CASE WHEN container <> '' THEN 'JO  - ' || container END, 'VL  - ' || n_chars, 'DO  - ' || regexp_replace(doi, '^https://doi.org/', ''), 'UR  - ' || url, 'ER  - ') AS ris FROM i JOIN documents USING (doc_id)")
+def ris_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.ris(_documents_as_items(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_ITEMS}, t AS (SELECT *, regexp_replace(regexp_replace(title, '[{{}}]', '', 'g'), '([&%#$_])', '\\\\\\1', 'g') AS tex FROM i JOIN documents USING (doc_id))
+SELECT id, '@' || CASE type WHEN 'article-journal' THEN 'article' WHEN 'report' THEN 'techreport' WHEN 'webpage' THEN 'online' ELSE 'book' END || '{{' || id || ',' || chr(10) || concat_ws(',' || chr(10), CASE WHEN tex <> '' THEN '  title = {{' || tex || '}}' END, '  journal = {{' || container || '}}', '  volume = {{' || n_chars || '}}', '  doi = {{' || regexp_replace(doi, '^https://doi.org/', '') || '}}', '  url = {{' || url || '}}') || chr(10) || '}}' AS bibtex FROM t"""
+)
+def bibtex_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.bibtex(_documents_as_items(spark, sf_dir))
+
+
+@query()
+def style_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Style guesses for reference lines made from parts and orders."""
+    o = _t(spark, sf_dir, "orders")
+    line = F.concat(F.lit("["), "o_orderkey", F.lit("] J. Smith, "), "o_orderpriority", F.lit(", "), F.year("o_orderdate"))
+    apa = F.concat(F.lit("Smith, J. ("), F.year("o_orderdate"), F.lit("). "), "o_orderpriority", F.lit(". Journal, 1(2)."))
+    lines = o.select(F.col("o_orderkey").alias("id"), F.when(F.pmod("o_orderkey", F.lit(2)) == 0, line).otherwise(apa).alias("line"))
+    return styles.detect(lines)
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def group_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("SELECT n_name, year(o_orderdate)::INT AS year, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+def joins_nation_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c, n = (_t(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    return o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).groupBy("n_name", F.year("o_orderdate").alias("year")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))

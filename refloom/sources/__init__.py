@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Readers of reference formats into items, and writers from them."""
