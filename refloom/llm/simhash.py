@@ -9,6 +9,7 @@ tasks by hash instead of being broadcast, since their number grows with the data
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -37,6 +38,13 @@ NEAR_RADIUS = 18
 SMALL = 8
 #: In larger ones each text is verified against the shard's hub and its nearest texts in the tree.
 NEAREST = 3
+#: Shingles are ordered by their counts in all texts, or of more than SAMPLE texts in one of SAMPLE_SHARE; the most frequent
+#: ORDERED have a place of their own.  No pair depends on it.
+SAMPLE, SAMPLE_SHARE, ORDERED = 16_384, 16, 1 << 16
+#: Members of a key that are paired in one part.
+CROWD = 512
+#: Shingles of a text are counted in so many bins, which bound what two sets can share.
+BINS = 512
 
 
 class BKTree:
@@ -224,7 +232,7 @@ def sketches(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 
 def candidates(sk: DataFrame) -> DataFrame:
-    """sk: id (unique long), fp, bands.  a < b: pairs to verify.
+    """sk: id (unique long), fp, bands.  a < b: pairs to verify first; complete_groups finds what they leave.
 
     A hot shard isn't paired: besides its tree neighbours a text meets the hub, the member that shares most shards with
     most others, which for copies edited one by one is the text that they were copied from.
@@ -260,40 +268,155 @@ def candidates(sk: DataFrame) -> DataFrame:
     return dealt.groupBy("slot").applyInArrow(near, "a long, b long").union(to_hub).distinct()
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, text: str, k: int, least: float) -> DataFrame:
-    """Of pairs a, b of docs.id those whose sets of k-word shingles have a Jaccard similarity of at least least."""
+def overlaps(docs: DataFrame, pairs: DataFrame, text: str, k: int) -> DataFrame:
+    """a, b of pairs of docs.id, and of their sets of k-word shingles the sizes of the intersection (both) and the union (either)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch({"id": b[0], "s": pa.array([np.unique(shingle_hashes(t, k)).tobytes() for t in b[1].to_pylist()], pa.binary())})
 
-    def similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            both, either = [], []
             for x, y in zip(batch["sa"], batch["sb"], strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                both.append(len(np.intersect1d(x, y, assume_unique=True)))
+                either.append(len(x) + len(y) - both[-1])
+            yield pa.record_batch({"a": batch["a"], "b": batch["b"], "both": pa.array(both, pa.int64()), "either": pa.array(either, pa.int64())})
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     s = docs.join(wanted, "id", "left_semi").select("id", text).mapInArrow(sets, "id long, s binary")
     both = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.mapInArrow(similarity, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long, both long, either long")
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, text: str, k: int, least: float) -> DataFrame:
+    """Of pairs a, b of docs.id those whose sets of k-word shingles have a Jaccard similarity of at least least."""
+    return overlaps(docs, pairs, text, k).filter(F.col("both") >= F.lit(least) * F.col("either")).select("a", "b")
+
+
+def _frequent(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a sample, ascending, and their counts: for the order of shingles only."""
+    part = docs if docs.count() <= SAMPLE else docs.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_SHARE)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [np.unique(shingle_hashes(t, k)) for t in b[0].to_pylist()]
+            yield pa.record_batch({"h": pa.array(np.concatenate([np.zeros(0, np.uint64), *h]).view(np.int64))})
+
+    n = part.select(text).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    t = n.orderBy(F.col("n").desc(), "h").limit(ORDERED).toArrow()
+    h, n = t["h"].to_numpy().view(np.uint64), t["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(docs: DataFrame, text: str, k: int, least: float) -> DataFrame:
+    """id, size (of the set of shingles), bins and over (its counts by bin, up to 255, and what is above), keys: the rarest shingles, so many that two sets of similarity least share one.
+
+    That holds in any order of shingles that is the same for all sets; rare ones first, by a sample, keeps keys apart.
+    """
+    known, times = _frequent(docs, text, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, keys, bins, over = [], [], [], []
+            for t in b[1].to_pylist():
+                h = np.unique(shingle_hashes(t, k))
+                size.append(len(h))
+                n = np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+                bins.append(np.minimum(n, 255).astype(np.uint8).tobytes())
+                over.append(int(np.maximum(n - 255, 0).sum()))
+                if len(h) and len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, times[at], 0), kind="stable")]
+                keys.append(h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1].view(np.int64))
+            yield pa.record_batch({"id": b[0], "size": pa.array(size, pa.int64()), "bins": pa.array(bins, pa.binary()), "over": pa.array(over, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    return docs.select("id", text).mapInArrow(run, "id long, size long, bins binary, over long, keys array<long>")
+
+
+def _least_distances(pairs: DataFrame, p: DataFrame) -> DataFrame:
+    """a, b, low: 1 - similarity of the pair is not below low, as sets share no more than the lesser count of each bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(-1, BINS) for c in ("bins_a", "bins_b"))
+            both = np.minimum(x, y).sum(axis=1, dtype=np.int64) + np.minimum(b["over_a"].to_numpy(), b["over_b"].to_numpy())
+            either = b["size_a"].to_numpy() + b["size_b"].to_numpy() - both
+            yield pa.record_batch({"a": b["a"], "b": b["b"], "low": pa.array(1 - both / np.maximum(either, 1), pa.float64())})
+
+    for c in ("a", "b"):
+        pairs = pairs.join(p.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("size", "bins", "over")]), c)
+    return pairs.mapInArrow(run, "a long, b long, low double")
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (id, g) with the groups joined that links a, b lead between."""
+    of = lambda c, g: groups.select(F.col("id").alias(c), F.col("g").alias(g))
+    roots = connected_components(links.join(of("a", "ga"), "a").join(of("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")))
+    return groups.join(roots, F.col("g") == F.col("node"), "left").select("id", F.coalesce("root", "g").alias("g"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Of rows (key, id, size, g) those of keys that more than one group has; of keys with the same members one."""
+    of = rows.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(SEED), "id")).alias("y"))
+    one = of.filter("lo < hi").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    return rows.join(one.select("key", "n"), "key")
+
+
+def complete_groups(docs: DataFrame, groups: DataFrame, text: str, k: int, least: float) -> DataFrame:
+    """groups (id, g: smallest id) of docs, completed: afterwards no two similar texts are in different groups.
+
+    Similar texts share a prefix key.  Every key that groups share is first verified against one of its members, the hub,
+    and what that joins is joined.  Then all its pairs of different groups are verified but for those that cannot be similar:
+    by their sizes and bins, or since 1 - similarity is a metric and their distances to the hub differ too much.
+    """
+    p = prefixes(docs, text, k, least).checkpoint()
+    rows = p.select("id", F.explode("keys").alias("key"))
+    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key", "left_semi")
+    rows = _shared(rows.join(p.select("id", "size"), "id").join(groups, "id")).checkpoint()
+    if rows.isEmpty():
+        return groups
+    ranked = rows.join(rows.groupBy("id").agg(F.sum("n").alias("degree")), "id")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("h")).select("key", (-F.col("h.id")).alias("hub")).checkpoint()
+    apart = 1 - least + 1e-9
+    pair = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
+    rows = rows.drop("n").join(hubs, "key")
+    low = _least_distances(rows.filter("id != hub").select(*pair).distinct(), p).checkpoint()
+    seen = overlaps(docs, low.filter(F.col("low") <= apart).select("a", "b"), text, k).checkpoint()
+    groups = _merged(groups, seen.filter(F.col("both") >= F.lit(least) * F.col("either")).select("a", "b")).checkpoint()
+    exact = seen.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
+    far = low.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("far", "low").alias("low"), F.coalesce("far", F.lit(1.0)).alias("high"))
+    rows = _shared(rows.drop("g").join(groups, "id")).select("*", *pair).filter("id != hub").join(far, ["a", "b"])
+    rows = rows.select("key", "id", "size", "g", "low", "high", "n").checkpoint()
+    # the members of a crowded key are dealt to parts, every part meets all of them
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / CROWD)).cast("int")
+    x = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).alias("x")
+    y = rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
+    may = (F.col("x.g") < F.col("y.g")) & (F.col("x.low") - F.col("y.high") <= apart) & (F.col("y.low") - F.col("x.high") <= apart)
+    may &= F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size") - 1e-6
+    left = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & may)
+    left = left.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    left = _least_distances(left, p).filter(F.col("low") <= apart).select("a", "b").checkpoint()
+    return groups if left.isEmpty() else _merged(groups, similar_pairs(docs, left, text, k, least))
 
 
 def near_duplicates(docs: DataFrame, k: int = NEAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """docs (id: unique long, text): id, group for every row; group is the smallest id that similar pairs lead to.
 
-    Candidates come from BK-trees of SimHash fingerprints in shards of texts with equal minimal shingle hashes, and from the
-    shards' hubs; every one is verified by the exact similarity of the whole texts, so nothing else is grouped.  Copies
-    are joined by a 128-bit hash of their words before anything else.  Null and wordless texts are copies of each other; texts of fewer than k words have one shingle.
+    Copies are joined by a 128-bit hash of their words.  Most of the rest is joined by candidates from BK-trees of SimHash
+    fingerprints in shards of texts with equal minimal shingle hashes, and from the shards' hubs.  What similar texts these
+    leave apart is then found by exact keys.  Every link is verified by the exact similarity of the whole texts.  Null and
+    wordless texts are copies of each other; texts of fewer than k words have one shingle.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     d = docs.select("id", "text")
     sk = sketches(d, "id", "text", k).checkpoint()
-    copies = sk.groupBy("same").agg(F.min("id").alias("first"))
+    copies = sk.groupBy("same").agg(F.min("id").alias("first")).checkpoint()
     pairs = candidates(sk.join(copies, sk["id"] == copies["first"], "left_semi")).checkpoint()
     roots = connected_components(similar_pairs(d, pairs, "text", k, least))
-    named = copies.join(roots, F.col("first") == F.col("node"), "left").select("same", F.coalesce("root", "first").alias("group"))
+    groups = copies.join(roots, F.col("first") == F.col("node"), "left").select(F.col("first").alias("id"), F.coalesce("root", "first").alias("g")).checkpoint()
+    groups = complete_groups(d.join(copies, F.col("id") == F.col("first"), "left_semi"), groups, "text", k, least)
+    named = copies.join(groups, F.col("first") == F.col("id")).select("same", F.col("g").alias("group"))
     return sk.select("id", "same").join(named, "same").select("id", "group")

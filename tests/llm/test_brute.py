@@ -155,6 +155,47 @@ def test_near_duplicates_link_what_is_similar(spark, docs):
     assert got == {i: find(i) for i in shingles}
 
 
+def test_near_duplicates_of_copies_of_copies(spark):
+    """Thousands of edited copies of edited copies: every link between members of a crowded shard counts."""
+    rng = np.random.default_rng(5)
+    bases = [[f"w{rng.integers(500)}" for _ in range(60)] for _ in range(3)]
+    common = [f"c{i}" for i in range(12)]
+    texts = [b + common for b in bases]
+    while len(texts) < 2000:
+        w = list(texts[int(rng.integers(len(texts)))])
+        for _ in range(int(rng.integers(1, 4))):
+            w[int(rng.integers(len(w)))] = f"w{rng.integers(500)}"
+        texts.append(w)
+    # 150 pairs of similar sets whose fingerprints are far apart by repeats, among texts that are not quite similar
+    model = [f"m{i}" for i in range(200)]
+    for _ in range(150):
+        w = list(model)
+        for at in rng.choice(np.arange(4, 196), 3, replace=False):
+            w[int(at)] = f"v{rng.integers(10**6)}"
+        texts += [w + model[20:30] * 60, w + model[100:110] * 60]
+    shingles = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in texts]
+    group, held = list(range(len(texts))), defaultdict(list)
+
+    def find(x):
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    for i, s in enumerate(shingles):
+        shared = defaultdict(int)
+        for g in s:
+            for j in held[g]:
+                shared[j] += 1
+            held[g].append(i)
+        for j, both in shared.items():
+            if both >= 0.8 * (len(s) + len(shingles[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                group[b] = a
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "id long, text string")
+    got = {r["id"]: r["group"] for r in simhash.near_duplicates(df).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 # decontamination
 
 
