@@ -314,6 +314,22 @@ def test_top_k_edge_rows(spark):
     assert [tuple(r) for r in got] == [(0, 1, 1, 1024 * 1024), (0, 2, 2, 1024 * 1024), (0, 3, 7, -1024)]
 
 
+def test_top_k_repeated_query_rows(spark):
+    v = [(0, [1.0, 0.0])] * 12 + [(0, [0.0, 1.0])] + [(i, [float(i), float(-i)]) for i in range(1, 21)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.filter("vec_id = 0")).collect()
+    want = [(0, r, 21 - r, 1024 * 1024 * (21 - r)) for r in range(1, 11)] + [(0, r, r, -1024 * 1024 * r) for r in range(1, 11)]
+    assert _key(map(tuple, got)) == _key(want)
+
+
+def test_top_k_large_components(spark):
+    v = [(0, [3.0e4, 1.0]), (1, [7.0e4, 0.0]), (2, [7.0e4, 1.0]), (3, [-2.0e8, 5.0])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    score = lambda y: sum(int(a * 1024) * int(b * 1024) for a, b in zip(v[0][1], y, strict=True))
+    got = topk.top_k(df, df.filter("vec_id = 0")).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 2, score(v[2][1])), (0, 2, 1, score(v[1][1])), (0, 3, 3, score(v[3][1]))]
+
+
 # url filter
 
 
