@@ -30,14 +30,12 @@ TREE = 2048
 
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
-#: Near-duplicate shards: BANDS keys of ROWS minimal hashes each.  Two texts of similarity 0.8 share one with probability 1 - 7e-5.
-BANDS, ROWS = 24, 5
-#: Fingerprints of similar texts differ in more bits than this with probability below 1 %.
+#: Fingerprints of similar sets differ in more bits than this with probability below 1 %.  What lies beyond is found by the last step.
 NEAR_RADIUS = 18
-#: In shards up to this size all pairs within the radius are verified.
-SMALL = 8
-#: In larger ones each text is verified against the shard's hub and its nearest texts in the tree.
-NEAREST = 3
+#: Nearest texts in a shard's tree that are tried before the last step.
+NEAREST = 2
+#: Hashes of words that a task keeps; when full, the cache starts anew.
+CACHE = 500_000
 #: Shingles are ordered by their counts in all texts, or of more than SAMPLE texts in one of SAMPLE_SHARE; the most frequent
 #: ORDERED have a place of their own.  No pair depends on it.
 SAMPLE, SAMPLE_SHARE, ORDERED = 16_384, 16, 1 << 16
@@ -199,54 +197,91 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Near duplicates by similarity of word shingles
 
 
-def _minhash_parameters() -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(SEED)
-    return r.integers(1, 2**63, BANDS * ROWS, np.uint64) | np.uint64(1), r.integers(0, 2**63, BANDS * ROWS, np.uint64)
+class _Words(dict):
+    """Hashes of words."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
+        return h
 
-def sketches(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """key, same (a 128-bit hash of the words, equal for copies), fp, bands (array<long> of BANDS shard keys)."""
+
+def shingle_set(words: list[bytes], k: int, known: _Words) -> np.ndarray:
+    """Distinct 64-bit hashes of every k words, ascending; fewer words: of them all; none: empty."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(w) - k + 1)
+    acc = np.full(n, min(k, len(w)), np.uint64)
+    for j in range(min(k, len(w))):
+        acc = (acc ^ w[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        acc ^= acc >> np.uint64(29)
+    return np.unique(acc)
+
+
+def _words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8").lower().split()
+
+
+def _frequent(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a sample, ascending, and their counts: for the order of shingles only."""
+    part = docs if docs.count() <= SAMPLE else docs.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_SHARE)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mul, add = _minhash_parameters()
+        known = _Words()
         for b in batches:
-            same, fps, bands = [], [], np.empty((len(b), BANDS), np.uint64)
-            for i, t in enumerate(b[1].to_pylist()):
-                same.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8").lower().split())))
-                h = shingle_hashes(t, k)
-                fps.append(fingerprint(h))
-                h = np.unique(h) if len(h) else np.zeros(1, np.uint64)
-                low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-                for j in range(0, len(h), 2048):
-                    low = np.minimum(low, (h[j : j + 2048, None] * mul + add).min(axis=0))
-                rows = low.reshape(BANDS, ROWS)
-                acc = np.arange(BANDS, dtype=np.uint64)
-                for j in range(ROWS):
-                    acc = (acc ^ rows[:, j]) * np.uint64(0x9E3779B97F4A7C15)
-                    acc ^= acc >> np.uint64(29)
-                bands[i] = acc
-            values = pa.array(bands.reshape(-1).view(np.int64))
-            yield pa.record_batch({key: b[0], "same": pa.array(same, pa.binary()), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "bands": pa.ListArray.from_arrays(pa.array(np.arange(0, len(b) * BANDS + 1, BANDS, dtype=np.int32)), values)})
-
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, same binary, fp long, bands array<long>")
-
-
-def candidates(sk: DataFrame) -> DataFrame:
-    """sk: id (unique long), fp, bands.  a < b: pairs to verify first; complete_groups finds what they leave.
-
-    A hot shard isn't paired: besides its tree neighbours a text meets the hub, the member that shares most shards with
-    most others, which for copies edited one by one is the text that they were copied from.
+            h = [shingle_set(_words_of(t), k, known) for t in b[0].to_pylist()]
+            yield pa.record_batch({"h": pa.array(np.concatenate([np.zeros(0, np.uint64), *h]).view(np.int64))})
+
+    n = part.select(text).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    t = n.orderBy(F.col("n").desc(), "h").limit(ORDERED).toArrow()
+    h, n = t["h"].to_numpy().view(np.uint64), t["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def sketches(docs: DataFrame, text: str, k: int, least: float) -> DataFrame:
+    """docs.id, same (a 128-bit hash of the words, equal for copies), fp (SimHash of the set of shingles), size (of the set), bins
+    and over (its counts by bin, up to 255, and what is above), keys: the rarest shingles, so many that two sets of similarity
+    least share one.
+
+    That holds in any order of shingles that is the same for all sets; rare ones first, by a sample, keeps keys apart.
     """
-    rows = sk.select("id", "fp", F.explode("bands").alias("k"))
-    rows = rows.join(rows.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1"), "k")
-    degree = rows.groupBy("id").agg(F.sum("n").alias("degree"))
-    ranked = rows.join(degree, "id")
-    hubs = ranked.groupBy("k").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("hub")).select("k", (-F.col("hub.id")).alias("hub"))
-    to_hub = rows.join(hubs, "k").filter("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    often, times = _frequent(docs, text, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for b in batches:
+            same, fps, size, keys, bins, over = [], [], [], [], [], []
+            for t in b[1].to_pylist():
+                words = _words_of(t)
+                same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                h = shingle_set(words, k, known)
+                fps.append(fingerprint(h))
+                size.append(len(h))
+                n = np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+                bins.append(np.minimum(n, 255).astype(np.uint8).tobytes())
+                over.append(int(np.maximum(n - 255, 0).sum()))
+                m = len(h) - math.ceil(least * len(h) - 1e-9) + 1
+                if len(h) and len(often):
+                    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                    h = h[np.argsort(np.where(often[at] == h, times[at], 0), kind="stable")]
+                keys.append(h[:m].view(np.int64))
+            yield pa.record_batch(
+                {"id": b[0], "same": pa.array(same, pa.binary()), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "size": pa.array(size, pa.int64()),
+                 "bins": pa.array(bins, pa.binary()), "over": pa.array(over, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))}
+            )
+
+    return docs.select("id", text).mapInArrow(run, "id long, same binary, fp long, size long, bins binary, over long, keys array<long>")
+
+
+def tree_pairs(rows: DataFrame) -> DataFrame:
+    """rows: key, n (members of the key), id, fp.  a < b: in every shard, each text with its nearest in a BK-tree of those before it."""
 
     def near(t: pa.Table) -> pa.Table:
         ids, fp, out = t["id"].to_numpy(), t["fp"].to_numpy().view(np.uint64), set()
-        for rows in _shard_runs(t, ["k", "part"]):
+        for rows in _shard_runs(t, ["key", "part"]):
             first: dict[int, int] = {}
             tree = BKTree()
             for i in rows[np.argsort(ids[rows])].tolist():
@@ -254,26 +289,25 @@ def candidates(sk: DataFrame) -> DataFrame:
                 if x in first:
                     out.add((first[x], me))
                     continue
-                found = tree.within(x, NEAR_RADIUS)
-                for _, y in found if len(rows) <= SMALL else sorted(found)[:NEAREST]:
-                    out.add((first[y], me))
+                out.update((first[y], me) for _, y in sorted(tree.within(x, NEAR_RADIUS))[:NEAREST])
                 first[x] = me
                 tree.add(x)
         a, b = np.array(sorted(out), np.int64).reshape(-1, 2).T
         return pa.table({"a": a, "b": b})
 
-    slots = 8 * partitions(sk.sparkSession)
+    slots = 8 * partitions(rows.sparkSession)
     part = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("n") / TREE)))  # of a crowded shard
-    dealt = rows.withColumn("part", part).withColumn("slot", F.pmod(F.xxhash64("k", "part"), F.lit(slots))).select("slot", "k", "part", "id", "fp")
-    return dealt.groupBy("slot").applyInArrow(near, "a long, b long").union(to_hub).distinct()
+    dealt = rows.withColumn("part", part).withColumn("slot", F.pmod(F.xxhash64("key", "part"), F.lit(slots))).select("slot", "key", "part", "id", "fp")
+    return dealt.groupBy("slot").applyInArrow(near, "a long, b long").distinct()
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, text: str, k: int) -> DataFrame:
     """a, b of pairs of docs.id, and of their sets of k-word shingles the sizes of the intersection (both) and the union (either)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
         for b in batches:
-            yield pa.record_batch({"id": b[0], "s": pa.array([np.unique(shingle_hashes(t, k)).tobytes() for t in b[1].to_pylist()], pa.binary())})
+            yield pa.record_batch({"id": b[0], "s": pa.array([shingle_set(_words_of(t), k, known).tobytes() for t in b[1].to_pylist()], pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,52 +324,6 @@ def overlaps(docs: DataFrame, pairs: DataFrame, text: str, k: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long, both long, either long")
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, text: str, k: int, least: float) -> DataFrame:
-    """Of pairs a, b of docs.id those whose sets of k-word shingles have a Jaccard similarity of at least least."""
-    return overlaps(docs, pairs, text, k).filter(F.col("both") >= F.lit(least) * F.col("either")).select("a", "b")
-
-
-def _frequent(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that recur in a sample, ascending, and their counts: for the order of shingles only."""
-    part = docs if docs.count() <= SAMPLE else docs.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_SHARE)) == 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = [np.unique(shingle_hashes(t, k)) for t in b[0].to_pylist()]
-            yield pa.record_batch({"h": pa.array(np.concatenate([np.zeros(0, np.uint64), *h]).view(np.int64))})
-
-    n = part.select(text).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    t = n.orderBy(F.col("n").desc(), "h").limit(ORDERED).toArrow()
-    h, n = t["h"].to_numpy().view(np.uint64), t["n"].to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def prefixes(docs: DataFrame, text: str, k: int, least: float) -> DataFrame:
-    """id, size (of the set of shingles), bins and over (its counts by bin, up to 255, and what is above), keys: the rarest shingles, so many that two sets of similarity least share one.
-
-    That holds in any order of shingles that is the same for all sets; rare ones first, by a sample, keeps keys apart.
-    """
-    known, times = _frequent(docs, text, k)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size, keys, bins, over = [], [], [], []
-            for t in b[1].to_pylist():
-                h = np.unique(shingle_hashes(t, k))
-                size.append(len(h))
-                n = np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-                bins.append(np.minimum(n, 255).astype(np.uint8).tobytes())
-                over.append(int(np.maximum(n - 255, 0).sum()))
-                if len(h) and len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.argsort(np.where(known[at] == h, times[at], 0), kind="stable")]
-                keys.append(h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1].view(np.int64))
-            yield pa.record_batch({"id": b[0], "size": pa.array(size, pa.int64()), "bins": pa.array(bins, pa.binary()), "over": pa.array(over, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
-
-    return docs.select("id", text).mapInArrow(run, "id long, size long, bins binary, over long, keys array<long>")
-
-
 def _least_distances(pairs: DataFrame, p: DataFrame) -> DataFrame:
     """a, b, low: 1 - similarity of the pair is not below low, as sets share no more than the lesser count of each bin."""
 
@@ -359,38 +347,60 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Of rows (key, id, size, g) those of keys that more than one group has; of keys with the same members one."""
+    """Of rows (key, id, g, ...) those of keys that more than one group has, with n, the members; of keys with the same members one."""
     of = rows.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(SEED), "id")).alias("y"))
     one = of.filter("lo < hi").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
     return rows.join(one.select("key", "n"), "key")
 
 
-def complete_groups(docs: DataFrame, groups: DataFrame, text: str, k: int, least: float) -> DataFrame:
-    """groups (id, g: smallest id) of docs, completed: afterwards no two similar texts are in different groups.
+def _similar(seen: DataFrame, least: float) -> DataFrame:
+    return seen.filter(F.col("both") >= F.lit(least) * F.col("either")).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, k: int = NEAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """docs (id: unique long, text): id, group for every row; group is the smallest id that similar pairs lead to.
 
-    Similar texts share a prefix key.  Every key that groups share is first verified against one of its members, the hub,
-    and what that joins is joined.  Then all its pairs of different groups are verified but for those that cannot be similar:
-    by their sizes and bins, or since 1 - similarity is a metric and their distances to the hub differ too much.
+    Exact: two texts whose sets of k-word shingles have a Jaccard similarity of least or more are in one group, however many
+    texts share a shingle.  Copies are joined by a 128-bit hash of their words.  Similar texts share one of their rarest
+    shingles, and the texts with a rare shingle are a shard.  First each is verified against the shard's hub, the member that
+    shares most shards with most others, and against its nearest in the BK-tree of the shard's SimHash fingerprints; for copies
+    edited one by one this joins nearly all.  Then all pairs of a shard that are still in different groups are
+    verified but for those that cannot be similar: by their sizes and bins, or since 1 - similarity is a metric and their
+    distances to the hub differ too much.  Members of a crowded shard are dealt to parts for that, and each part meets all of them.
+
+    Every link is verified by the similarity of the whole texts.  Null and wordless texts are copies of each other; texts of fewer
+    than k words have one shingle; repeated rows are copies; empty in, empty out; other columns are left out.
     """
-    p = prefixes(docs, text, k, least).checkpoint()
-    rows = p.select("id", F.explode("keys").alias("key"))
+    ensure_checkpoint_dir(docs.sparkSession)
+    d = docs.select("id", "text")
+    p = sketches(d, "text", k, least).checkpoint()
+    copies = p.groupBy("same").agg(F.min("id").alias("first"))
+    groups = copies.select(F.col("first").alias("id"), F.col("first").alias("g")).checkpoint()
+    rows = p.select("id", "keys").join(groups.select("id"), "id", "left_semi").select("id", F.explode("keys").alias("key"))
     rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key", "left_semi")
-    rows = _shared(rows.join(p.select("id", "size"), "id").join(groups, "id")).checkpoint()
+    rows = _shared(rows.withColumn("g", F.col("id"))).join(p.select("id", "fp", "size"), "id").checkpoint()
+    groups = _linked(d, p, rows, groups, "text", k, least)
+    named = groups.join(p.select("id", "same"), "id").select("same", F.col("g").alias("group"))
+    return p.select("id", "same").join(named, "same").select("id", "group")
+
+
+def _linked(docs: DataFrame, p: DataFrame, rows: DataFrame, groups: DataFrame, text: str, k: int, least: float) -> DataFrame:
+    """groups (id, g), which similar pairs of rows (key, id, n, fp, size) join."""
     if rows.isEmpty():
         return groups
+    apart = 1 - least + 1e-9
     ranked = rows.join(rows.groupBy("id").agg(F.sum("n").alias("degree")), "id")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("h")).select("key", (-F.col("h.id")).alias("hub")).checkpoint()
-    apart = 1 - least + 1e-9
     pair = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
-    rows = rows.drop("n").join(hubs, "key")
-    low = _least_distances(rows.filter("id != hub").select(*pair).distinct(), p).checkpoint()
+    first = rows.join(hubs, "key").filter("id != hub").select(*pair).union(tree_pairs(rows)).distinct()
+    low = _least_distances(first, p).checkpoint()
     seen = overlaps(docs, low.filter(F.col("low") <= apart).select("a", "b"), text, k).checkpoint()
-    groups = _merged(groups, seen.filter(F.col("both") >= F.lit(least) * F.col("either")).select("a", "b")).checkpoint()
+    groups = _merged(groups, _similar(seen, least)).checkpoint()
+    # what is known of the distance to the hub
     exact = seen.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
     far = low.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("far", "low").alias("low"), F.coalesce("far", F.lit(1.0)).alias("high"))
-    rows = _shared(rows.drop("g").join(groups, "id")).select("*", *pair).filter("id != hub").join(far, ["a", "b"])
+    rows = _shared(rows.drop("g", "n").join(groups, "id")).join(hubs, "key").filter("id != hub").select("*", *pair).join(far, ["a", "b"])
     rows = rows.select("key", "id", "size", "g", "low", "high", "n").checkpoint()
-    # the members of a crowded key are dealt to parts, every part meets all of them
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / CROWD)).cast("int")
     x = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).alias("x")
     y = rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
@@ -399,24 +409,4 @@ def complete_groups(docs: DataFrame, groups: DataFrame, text: str, k: int, least
     left = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & may)
     left = left.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     left = _least_distances(left, p).filter(F.col("low") <= apart).select("a", "b").checkpoint()
-    return groups if left.isEmpty() else _merged(groups, similar_pairs(docs, left, text, k, least))
-
-
-def near_duplicates(docs: DataFrame, k: int = NEAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """docs (id: unique long, text): id, group for every row; group is the smallest id that similar pairs lead to.
-
-    Copies are joined by a 128-bit hash of their words.  Most of the rest is joined by candidates from BK-trees of SimHash
-    fingerprints in shards of texts with equal minimal shingle hashes, and from the shards' hubs.  What similar texts these
-    leave apart is then found by exact keys.  Every link is verified by the exact similarity of the whole texts.  Null and
-    wordless texts are copies of each other; texts of fewer than k words have one shingle.
-    """
-    ensure_checkpoint_dir(docs.sparkSession)
-    d = docs.select("id", "text")
-    sk = sketches(d, "id", "text", k).checkpoint()
-    copies = sk.groupBy("same").agg(F.min("id").alias("first")).checkpoint()
-    pairs = candidates(sk.join(copies, sk["id"] == copies["first"], "left_semi")).checkpoint()
-    roots = connected_components(similar_pairs(d, pairs, "text", k, least))
-    groups = copies.join(roots, F.col("first") == F.col("node"), "left").select(F.col("first").alias("id"), F.coalesce("root", "first").alias("g")).checkpoint()
-    groups = complete_groups(d.join(copies, F.col("id") == F.col("first"), "left_semi"), groups, "text", k, least)
-    named = copies.join(groups, F.col("first") == F.col("id")).select("same", F.col("g").alias("group"))
-    return sk.select("id", "same").join(named, "same").select("id", "group")
+    return groups if left.isEmpty() else _merged(groups, _similar(overlaps(docs, left, text, k), least))
