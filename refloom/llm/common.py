@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,23 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a unique long for every row.
+
+    For tables read from Parquet it is the place of the row's file among all, and of the row in its file: the same in every scan, however
+    files are split and whatever executors come or go.  Files are listed once (their names, which the driver knows anyway).
+    Other inputs are numbered by partition.
+    """
+    try:
+        d = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias(name))
+    except AnalysisException:
+        return df.withColumn(name, F.monotonically_increasing_id())
+    files = sorted(r[0] for r in d.select("_file").distinct().collect())
+    at = df.sparkSession.createDataFrame([(f, i << 36) for i, f in enumerate(files)], "_file string, _place long")
+    joined = d.join(F.broadcast(at) if len(files) <= 50_000 else at, "_file")
+    return joined.withColumn(name, F.col("_place") + F.col(name)).drop("_file", "_place")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,10 +1,13 @@
 """HTML extraction with site style trees.
 
-The DOMs of a host are merged by path (tags and class names from the root).  A node of the merged tree is worth what its
-pages put there: a leaf whose texts recur on many pages has a low importance, and so has an element that always holds the
-same sequence of children; a branch's importance combines its own with its children's.  A page loses the branches that
-are low in its host's tree, besides those whose markup says that they are not the article; what an <article> or <main>
-element holds is never judged by recurrence, since copies of an article are still articles.
+The DOMs of a host are merged by path (tags and class names from the root).  What a node of the merged tree is worth follows from
+what the host's pages put there.  Content: a node whose texts recur on many pages is worth little, to the base of
+the number of pages.  Presentation: so is a node that always holds the same sequence of children, by the entropy of its sequences.  A block
+of a page counts as its own node's content and the presentation of the branch that it stands in.
+
+Few pages say little, so the tree's worth is averaged with a prior from the markup, the more in favour of the tree the more pages
+have the node, up to a largest weight.  Blocks below the least importance are removed, inside articles as well.
+Besides what is never shown (scripts, styles, templates, hidden elements), nothing is removed by its markup alone.
 """
 
 from __future__ import annotations
@@ -18,25 +21,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import numbered, table
 from .url_filter import host_of
 
-#: A branch below this importance is removed.
-IMPORTANCE = 0.3
-#: Weight of the children against the element's own presentation, to the power of their number.
+#: A block below this importance is removed.
+IMPORTANCE = 0.65
+#: Weight of a branch's content against its presentation, to the power of the number of its sequences of children.
 GAMMA = 0.9
-#: Hosts with fewer pages say nothing about recurrence.
-LEAST_PAGES = 8
-#: Hosts whose judged nodes are broadcast, at most NODES_PER_HOST each (about 30 MB); more are joined by shuffling.
-BROADCAST_HOSTS = 8_000
-#: Judged nodes kept of a host, those on most pages first; nodes beyond (on few pages) count as important.
-NODES_PER_HOST = 256
+#: Largest weight of the tree against the markup, and for paragraphs, headings and the like without classes in an article.
+WEIGHT, PLAIN_WEIGHT = 0.6, 0.3
+#: Pages from which on the tree has half its largest weight.
+PAGES = 8.0
+#: Importance by markup alone: of what is named as no part of the article, of what stands beside an article, of an article's
+#: parts, of all else.
+NOISE, BESIDE, ARTICLE, OTHER = 0.0, 0.1, 1.0, 0.85
+#: Tree nodes that are broadcast (about 10 MB); more are joined by shuffling the nodes of pages.
+BROADCAST_NODES = 200_000
 
 # The HTML vocabulary that the extraction goes by.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe svg math object xmp noembed noframes".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NOISE_TAGS = set("head nav footer aside form button select dialog menu fieldset datalist".split()) | RAW
+NOISE_TAGS = set("nav footer aside form button select dialog menu fieldset datalist".split())
+PLAIN = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tooltip".split())
 NOISE_WORDS = set(
     "nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer sidebar aside ad ads adv advert adverts advertisement advertisements adsense adslot sponsor sponsored "
@@ -53,52 +60,65 @@ _CLOSES = {k: (set(a.split()), set(b.split())) for k, (a, b) in _CLOSES.items()}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "key", "noise", "article", "children", "texts")
+    """hidden, noise and article hold for what is inside as well; block is the nearest element that isn't inline."""
 
-    def __init__(self, tag: str, parent: Node | None, key: int, noise: bool, article: int):
-        self.tag, self.parent, self.key, self.noise, self.article = tag, parent, key, noise, article
-        self.children: list[Node] = []
-        self.texts: list[int] = []
+    __slots__ = ("tag", "parent", "block", "key", "hidden", "noise", "article", "plain", "children", "texts")
+
+    def __init__(self, tag: str, parent: Node | None, key: int, hidden: bool, noise: bool, article: int, plain: bool):
+        self.tag, self.parent, self.key, self.hidden, self.noise, self.article, self.plain = tag, parent, key, hidden, noise, article, plain
+        self.block: Node = parent.block if parent is not None and tag in INLINE and not noise and not hidden else self
+        self.children: list[int] = []
+        self.texts = 0
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {n.lower(): a or b or c or "" for n, a, b, c in _ATTR.findall(raw)} if "=" in raw or raw.strip(" /\n\t\r\f") else {}
+    return {n.lower(): a or b or c or "" for n, a, b, c in _ATTR.findall(raw)} if raw.strip(" /\n\t\r\f") else {}
 
 
-def _words(value: str) -> list[str]:
-    return [w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", value) if w]
+def _words(value: str) -> set[str]:
+    return {w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", value) if w}
 
 
-def _is_noise(tag: str, at: dict[str, str], inside: bool) -> bool:
-    if tag in NOISE_TAGS or at.get("role", "").lower() in NOISE_ROLES or "hidden" in at or at.get("aria-hidden", "").lower() == "true":
+def _is_hidden(tag: str, at: dict[str, str]) -> bool:
+    if tag in RAW or tag == "head" or at and ("hidden" in at or at.get("aria-hidden", "").lower() == "true"):
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", ""), re.I):
+    return bool(at) and "style" in at and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at["style"], re.I))
+
+
+def _is_noise(tag: str, at: dict[str, str], inside: bool) -> bool:
+    if tag in NOISE_TAGS or at and at.get("role", "").lower() in NOISE_ROLES:
         return True
-    words = {*_words(at.get("class", "")), *_words(at.get("id", ""))} if at else set()
+    words = _words(at.get("class", "")) | _words(at.get("id", "")) if at else set()
     if tag in ("html", "body", "article", "main") and not words & {"comment", "comments", "reply", "ad", "advert", "sponsored", "related"}:
         return False
     return bool(words & NOISE_WORDS) or not inside and (tag == "header" or bool(words & HEADERS))
 
 
-def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
-    """The tree and its text blocks in page order, each with the element that it stands in.
+def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
+    """The elements in page order, the root first, and the text blocks, each with the element that it stands in.
 
     A block ends where an element that isn't inline begins or ends.  Unclosed elements end with their parent, and
-    paragraphs and list items where the next begins.  Comments, doctypes and what raw elements hold give no text.
+    paragraphs and list items where the next begins.  Comments, doctypes and what raw elements hold give no text.  No step
+    depends on how deep elements are nested, so markup of any depth is read in time in proportion to its length.
     """
     keys: dict[tuple[int, str, str], int] = {}
-    root = Node("#root", None, 0, False, 0)
-    stack, blocks, run = [root], [], []
+    root = Node("#root", None, 0, False, False, 0, False)
+    stack, nodes, blocks, run = [root], [root], [], []
+    open_tags: dict[str, int] = {}
 
     def flush() -> None:
         if run:
             text = " ".join(html_lib.unescape("".join(run)).split())
             run.clear()
-            if text:
-                owner = next(n for n in reversed(stack) if n.tag not in INLINE)
-                owner.texts.append(len(blocks))
+            if text and not stack[-1].hidden:
+                owner = stack[-1].block
+                owner.texts += 1
                 blocks.append((owner, text))
 
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            open_tags[stack.pop().tag] -= 1
+
     at = 0
     while True:
         m = _TAG.search(source, at)
@@ -111,11 +131,13 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
         if not tag:
             continue
         if close:
-            if any(n.tag == tag for n in stack):
+            if open_tags.get(tag):
                 if tag not in INLINE and tag not in RAW:
                     flush()
-                while stack.pop().tag != tag:
-                    pass
+                size = len(stack) - 1
+                while stack[size].tag != tag:
+                    size -= 1
+                cut(size)
             elif tag == "p":
                 flush()
             continue
@@ -124,121 +146,105 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
                 run.append(" ")
         elif tag not in RAW:
             flush()
-            if tag in _CLOSES:
-                ends, scope = _CLOSES[tag]
+            ends, scope = _CLOSES.get(tag, ({"p"}, None))
+            if any(open_tags.get(e) for e in ends):
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in scope:
+                    here = stack[i].tag
+                    if here in ends:
+                        cut(i)
                         break
-                    if stack[i].tag in ends:
-                        del stack[i:]
-                        break
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        del stack[i:]
-                        break
-                    if stack[i].tag not in INLINE:
+                    if here in scope if scope else here not in INLINE:
                         break
         if tag in VOID:
             continue
-        parent = next((n for n in reversed(stack) if n.tag not in INLINE), root) if tag not in INLINE else stack[-1]
+        up = stack[-1]
         attrs = _attributes(raw)
-        noise = parent.noise or _is_noise(tag, attrs, parent.article > 0)
-        if tag in INLINE and not noise:
+        hidden = up.hidden or _is_hidden(tag, attrs)
+        noise = up.noise or _is_noise(tag, attrs, up.article > 0)
+        if tag in INLINE and not (noise and not up.noise) and not (hidden and not up.hidden):
             if not raw.rstrip().endswith("/"):
-                stack.append(Node(tag, parent, parent.key, False, parent.article))
+                n = Node(tag, up, up.key, up.hidden, up.noise, up.article, up.plain)
+                n.block = up.block
+                stack.append(n)
+                open_tags[tag] = open_tags.get(tag, 0) + 1
             continue
         if tag in INLINE:
             flush()
-        mark = (parent.key, tag, " ".join(sorted(re.sub(r"\d+", "", attrs.get("class", "")).split())))
+        parent = up.block
+        classes = " ".join(sorted(re.sub(r"\d+", "", attrs.get("class", "")).split()))
+        mark = (parent.key, tag, classes)
         key = keys.get(mark)
         if key is None:
             key = keys[mark] = xxhash.xxh64_intdigest("\n".join(map(str, mark))) >> 1
-        article = parent.article or (2 if tag == "article" or "articlebody" in attrs.get("itemprop", "").lower() else 1 if tag == "main" or attrs.get("role", "").lower() == "main" else 0)
-        node = Node(tag, parent, key, noise, article)
-        parent.children.append(node)
+        article = up.article or int(tag in ("article", "main") or attrs.get("role", "").lower() == "main" or "articlebody" in attrs.get("itemprop", "").lower())
+        node = Node(tag, parent, key, hidden, noise, article, tag in PLAIN and not classes and (not parent.article or parent.plain or parent.tag in ("article", "main")))
+        if not hidden:
+            parent.children.append(key)
+            nodes.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
             at = end.start() if end else len(source)
         stack.append(node)
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
-    return root, blocks
+    return nodes, blocks
 
 
-def style_rows(source: str) -> Iterator[tuple[int, bool, int]]:
+def style_rows(source: str) -> set[tuple[int, bool, int]]:
     """What a page adds to its host's style tree: (node, leaf, feature) without repetitions.  A leaf's features are its
-    texts, an inner element's is the sequence of its children.  Articles are left out: they aren't judged."""
-    root, blocks = parse(source)
-    seen, todo = set(), [root]
-    while todo:
-        n = todo.pop()
-        if n.article:
-            continue
-        todo.extend(n.children)
-        seen.add((n.key, False, xxhash.xxh64_intdigest(",".join(str(c.key) for c in n.children)) >> 1))
-        seen.update((n.key, True, xxhash.xxh64_intdigest(blocks[i][1]) >> 1) for i in n.texts)
-    yield from seen
-
-
-def _worth(node: Node, leaves: dict[int, float], inner: dict[int, float]) -> float:
-    """Composite importance of a branch in its host's tree."""
-    if node.article:
-        return 1.0
-    parts = [_worth(c, leaves, inner) for c in node.children] + [leaves.get(node.key, 1.0)] * bool(node.texts)
-    if not parts:
-        return 0.0
-    share = GAMMA ** len(parts)
-    return max(parts) if any(c.article for c in node.children) else (1 - share) * inner.get(node.key, 1.0) + share * sum(parts) / len(parts)
-
-
-def extract(source: str | None, leaves: dict[int, float] | None = None, inner: dict[int, float] | None = None, least: float = IMPORTANCE) -> str:
-    """Main text: blocks in page order, one line each.  An <article> (the longest, if there are several beside each other)
-    or else <main> is taken where there is one; otherwise all that neither its markup nor the host's tree rules out."""
-    if not source:
-        return ""
-    root, blocks = parse(source)
-    low: set[int] = set()
-    if leaves:
-        todo = list(root.children)
-        while todo:
-            n = todo.pop()
-            holds = n.article or _holds_article(n)
-            if not holds and (n.texts or n.children) and _worth(n, leaves, inner or {}) < least:
-                low.add(id(n))
-            else:
-                todo.extend(n.children)
-
-    def gone(n: Node | None) -> bool:
-        while n is not None:
-            if n.noise or id(n) in low:
-                return True
-            n = n.parent
-        return False
+    texts, an element's is the sequence of its children."""
+    nodes, blocks = parse(source)
+    rows = {(n.key, False, xxhash.xxh64_intdigest(",".join(map(str, n.children))) >> 1) for n in nodes}
+    rows.update((n.key, True, xxhash.xxh64_intdigest(text) >> 1) for n, text in blocks)
+    return rows
+
+
+#: A tree: by node, content importance, presentation importance, sequences of children and pages.  None: not known.
+Tree = dict[int, tuple[float | None, float, int, int]]
+
+
+def _branch(n: Node) -> Node:
+    """The nearest element around a block that has several parts."""
+    while n.parent is not None and len(n.children) + n.texts < 2:
+        n = n.parent
+    return n
+
 
-    kept = [(n, t) for n, t in blocks if not gone(n)]
-    for kind in (2, 1):
-        groups: dict[int, list[str]] = {}
-        for n, t in kept:
-            if n.article == kind:
-                while n.parent is not None and n.parent.article == kind:
-                    n = n.parent
-                groups.setdefault(id(n), []).append(t)
-        if groups:
-            return "\n".join(max(groups.values(), key=lambda g: sum(map(len, g))))
-    return "\n".join(t for _, t in kept)
+def importance(n: Node, tree: Tree, beside: bool, around: Node | None = None) -> float:
+    """Of a block in element n; beside: the page has an article and the block isn't in it."""
+    prior = NOISE if n.noise else BESIDE if beside else ARTICLE if n.article else OTHER
+    content, _, _, pages = tree.get(n.key, (None, 0.0, 0, 0))
+    if content is None or not pages:
+        return prior
+    _, presentation, kinds, _ = tree.get((around or _branch(n)).key, (None, 0.0, 0, 0))
+    share = GAMMA**kinds
+    weight = (PLAIN_WEIGHT if n.article and n.plain and not n.noise else WEIGHT) * pages / (pages + PAGES)
+    return (1 - weight) * prior + weight * ((1 - share) * presentation + share * content)
 
 
-def _holds_article(n: Node) -> bool:
-    return any(c.article or _holds_article(c) for c in n.children)
+def extract(source: str | None, tree: Tree | None = None, least: float = IMPORTANCE) -> str:
+    """Main text: the blocks of at least the least importance in page order, one line each.  Without a tree, by markup alone."""
+    if not source:
+        return ""
+    _, blocks = parse(source)
+    has = any(n.article and not n.noise for n, _ in blocks)
+    known: dict[int, bool] = {}
+    kept = []
+    for n, text in blocks:
+        stays = known.get(id(n))
+        if stays is None:
+            stays = known[id(n)] = importance(n, tree or {}, has and not n.article) >= least
+        if stays:
+            kept.append(text)
+    return "\n".join(kept)
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """pages: host, html.  host, nodes: array of struct(node, leaf, importance), at most NODES_PER_HOST, of hosts with at least
-    LEAST_PAGES pages.
+    """pages: host, html.  host, node, content, presentation, kinds, on: one row per node of a host's tree.
 
-    Leaf importance: 1 - mean over its texts of log_m(pages with the text), for m pages of the host.  Inner importance: the
-    entropy to base m of its sequences of children.  Both come from sums that tasks combine before the shuffle, so a host
-    with a third of all pages is no larger than its tree.
+    Content: 1 - mean over the node's texts of log_m(pages with the text), for m pages of the host (1 for a single page).
+    Presentation: the entropy to base m of its sequences of children.  All comes from sums that tasks combine before
+    the shuffle, so a host with a third of all pages is no larger than its tree.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,39 +259,63 @@ def style_trees(pages: DataFrame) -> DataFrame:
             yield pa.record_batch({"host": pa.array(hosts, pa.string()), "node": pa.array(node, pa.int64()), "leaf": pa.array(leaf, pa.bool_()), "feature": pa.array(feature, pa.int64())})
 
     k = pages.select("host", "html").mapInArrow(rows, "host string, node long, leaf boolean, feature long").groupBy("host", "node", "leaf", "feature").agg(F.count("*").alias("k"))
-    m = pages.groupBy("host").agg(F.count("html").alias("m")).filter(F.col("m") >= LEAST_PAGES)
-    log = F.ln("k")
-    per = k.groupBy("host", "node", "leaf").agg(F.sum("k").alias("on"), F.avg(log).alias("mean"), F.sum(F.col("k") * log).alias("klogk")).join(m, "host")
-    value = F.when(F.col("leaf"), 1 - F.col("mean") / F.ln("m")).otherwise((F.ln("on") - F.col("klogk") / F.col("on")) / F.ln("m"))
-    per = per.select("host", F.struct((-F.col("on")).alias("on"), "node", "leaf", value.alias("importance")).alias("n"))
-    return per.groupBy("host").agg(F.slice(F.array_sort(F.collect_list("n")), 1, NODES_PER_HOST).alias("nodes"))
+    m = pages.groupBy("host").agg(F.greatest(F.count("html"), F.lit(1)).alias("m"))
+    leaf, log = F.col("leaf"), F.ln("k")
+    of = lambda f, when: f(F.when(when, F.col("k")))
+    per = k.groupBy("host", "node").agg(
+        F.avg(F.when(leaf, log)).alias("mean"), F.count_if(~leaf).cast("int").alias("kinds"), of(F.sum, ~leaf).alias("on"), F.sum(F.when(~leaf, F.col("k") * log)).alias("klogk")
+    )
+    base = F.when(F.col("m") > 1, F.ln("m"))
+    content = F.when(F.col("mean").isNotNull(), F.coalesce(1 - F.col("mean") / base, F.lit(1.0)))
+    presentation = F.coalesce((F.ln("on") - F.col("klogk") / F.col("on")) / base, F.lit(0.0))
+    # a node that a page has several times has more sequences than pages
+    return per.join(m, "host").select("host", "node", content.alias("content"), F.least(presentation, F.lit(1.0)).alias("presentation"), "kinds", F.least("on", "m").cast("int").alias("on"))
+
+
+def _with_trees(pages: DataFrame, trees: DataFrame) -> DataFrame:
+    """pages with nodes, the array of its host's tree nodes (all, or those that the page has).
+
+    Trees of up to BROADCAST_NODES nodes are broadcast.  Of more, every page is joined to the nodes that it has, so no row
+    holds more than a page's own nodes; a hot host's nodes are split by Spark's skew join.
+    """
+    node = F.struct("node", "content", "presentation", "kinds", "on").alias("n")
+    if trees.count() <= BROADCAST_NODES:
+        return pages.join(F.broadcast(trees.groupBy("host").agg(F.collect_list(node).alias("nodes"))), "host", "left")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sorted({n.key for n in parse(s)[0]}) if s else [] for s in b["html"].to_pylist()]
+            yield pa.record_batch({"_page": b["_page"], "host": b["host"], "own": pa.array(found, pa.list_(pa.int64()))})
+
+    numbered_pages = numbered(pages, "_page")
+    has = numbered_pages.select("_page", "host", "html").mapInArrow(own, "_page long, host string, own array<long>").select("_page", "host", F.explode("own").alias("node"))
+    nodes = has.join(trees, ["host", "node"]).groupBy("_page").agg(F.collect_list(node).alias("nodes"))
+    return numbered_pages.join(nodes, "_page", "left")
 
 
 def extract_pages(pages: DataFrame, least: float = IMPORTANCE) -> DataFrame:
     """pages (page_id, url, html): page_id, url, text, n_chars for every row.
 
-    A null or empty html gives an empty text; a null url belongs to the empty host; repeated rows are extracted one by one;
-    an empty table gives an empty result; other columns are left out.  Texts of any length are taken whole.
+    A null or empty html gives an empty text; a null url belongs to the empty host; repeated rows are extracted one by one and
+    count as pages of their host; on a host of one page the markup decides; an empty table gives an empty result; other
+    columns are left out.  Texts of any length and depth are taken whole.
     """
     p = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    trees = style_trees(p)
-    # a hot host is split by Spark's skew join where the trees are too many to broadcast
-    trees = F.broadcast(trees) if p.select("host").distinct().count() <= BROADCAST_HOSTS else trees
+    out = _with_trees(p, style_trees(p)).select("page_id", "url", "html", "host", "nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[str, tuple[dict, dict]] = {}
+        made: dict[str, tuple[pa.Scalar, Tree]] = {}
         for b in batches:
             texts = []
             for host, source, nodes in zip(b["host"].to_pylist(), b["html"].to_pylist(), b["nodes"], strict=True):
-                if host not in made:
+                at = made.get(host)
+                if at is None or not at[0].equals(nodes):
                     if len(made) > 1000:
                         made.clear()
-                    at = nodes.as_py() or []
-                    made[host] = ({n["node"]: n["importance"] for n in at if n["leaf"]}, {n["node"]: n["importance"] for n in at if not n["leaf"]})
-                texts.append(extract(source, *made[host], least))
+                    at = made[host] = (nodes, {n["node"]: (n["content"], n["presentation"], n["kinds"], n["on"]) for n in nodes.as_py() or []})
+                texts.append(extract(source, at[1], least))
             yield pa.record_batch({"page_id": b["page_id"], "url": b["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    out = p.join(trees, "host", "left").select("page_id", "url", "html", "host", "nodes")
     kind = dict(pages.dtypes)["page_id"]
     return out.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
