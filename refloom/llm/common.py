@@ -22,20 +22,22 @@ def lower_ascii(c: Column) -> Column:
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df with a unique long for every row.
+    """df with a unique long for every row; a column of that name is replaced.
 
     For tables read from Parquet it is the place of the row's file among all, and of the row in its file: the same in every scan, however
     files are split and whatever executors come or go.  Files are listed once (their names, which the driver knows anyway).
     Other inputs are numbered by partition.
     """
+    file, place = f"_{name}_file", f"_{name}_place"
+    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()]
     try:
-        d = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias(name))
+        d = df.select(*keep, F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(name))
     except AnalysisException:
         return df.withColumn(name, F.monotonically_increasing_id())
-    files = sorted(r[0] for r in d.select("_file").distinct().collect())
-    at = df.sparkSession.createDataFrame([(f, i << 36) for i, f in enumerate(files)], "_file string, _place long")
-    joined = d.join(F.broadcast(at) if len(files) <= 50_000 else at, "_file")
-    return joined.withColumn(name, F.col("_place") + F.col(name)).drop("_file", "_place")
+    files = sorted(r[0] for r in d.select(file).distinct().collect())
+    at = df.sparkSession.createDataFrame([(f, i << 36) for i, f in enumerate(files)], f"`{file}` string, `{place}` long")
+    joined = d.join(F.broadcast(at) if len(files) <= 50_000 else at, file)
+    return joined.withColumn(name, F.col(place) + F.col(name)).drop(file, place)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -50,23 +50,33 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str, text: str, n: int = WI
     """For every row of docs, known by its unique key: n_words, spans (array of struct(start, width), by start),
     items (sorted ids as strings) of the benchmark windows that occur in it.
 
-    Each document is read once.  Its window hashes are exploded and joined to the set; a hit is verified word by
-    word against the window itself.  Only hits and one row per document are shuffled.  Long documents and passages that
-    many documents share give as many rows as they have hits, never pairs of documents.
+    Window hashes are looked up in the set, and a hit is verified word by word against the window itself.  A set of
+    up to BROADCAST_ROWS windows is broadcast, and each document is read once; only hits and one row per document are
+    shuffled.  Of a larger set, (key, place, hash) of every window are shuffled, without the words, and the documents with
+    hits are joined to them afterwards.  Long documents and passages that many documents share give as many rows as they have
+    hits, never pairs of documents; a window that very many documents have is split by Spark's skew join.
     """
     grams = windows_of(benchmark, n)
     widths = sorted(r[0] for r in grams.select("width").distinct().collect())  # at most n numbers
     grams = grams.groupBy("hash", "width", "gram").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    if grams.count() <= BROADCAST_ROWS:
-        grams = F.broadcast(grams)
-    d = docs.select(F.col(key).alias("_key"), words(F.col(text)).alias("w"))
+    small = grams.count() <= BROADCAST_ROWS
+    d = docs.select(F.col(key).alias("_key"), words(F.col(text)).alias("w")).withColumn("n_words", F.size("w"))
     lists = [_placed(window_hashes(F.col("w"), k), k) for k in widths]
     end = F.array(F.struct(F.lit(END).alias("hash"), F.lit(0).alias("start"), F.lit(0).alias("width")))
-    d = d.select("_key", "w", F.size("w").alias("n_words"), F.explode(F.concat(*lists, end)).alias("x")).select("_key", "w", "n_words", "x.*")
-    none = docs.sparkSession.range(1).select(F.lit(END).alias("hash"), F.lit(0).alias("width"), F.array().cast("array<string>").alias("gram"), F.array().cast("array<string>").alias("items"))
-    found = d.join(grams.union(none) if widths else none, ["hash", "width"]).filter((F.col("width") == 0) | (F.slice("w", F.greatest("start", F.lit(1)), F.col("width")) == F.col("gram")))
-    found = found.select("_key", "n_words", F.when(F.col("width") > 0, F.struct("start", "width")).alias("span"), "items")
-    return found.groupBy("_key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    verified = F.slice("w", F.greatest("start", F.lit(1)), F.col("width")) == F.col("gram")
+    span = F.when(F.col("width") > 0, F.struct("start", "width")).alias("span")
+    if small or not widths:
+        none = docs.sparkSession.range(1).select(F.lit(END).alias("hash"), F.lit(0).alias("width"), F.array().cast("array<string>").alias("gram"), F.array().cast("array<string>").alias("items"))
+        placed = d.select("_key", "w", "n_words", F.explode(F.concat(*lists, end)).alias("x")).select("_key", "w", "n_words", "x.*")
+        found = placed.join(F.broadcast(grams.union(none) if widths else none), ["hash", "width"]).filter((F.col("width") == 0) | verified)
+        found = found.select("_key", "n_words", span, "items")
+    else:
+        placed = d.select("_key", F.explode(F.concat(*lists)).alias("x")).select("_key", "x.*")
+        found = placed.join(grams, ["hash", "width"]).join(d.select("_key", "w"), "_key").filter(verified)
+        empty = F.lit(None).cast("array<string>")
+        found = found.select("_key", F.lit(0).alias("n_words"), span, "items").union(d.select("_key", "n_words", F.lit(None).cast("struct<start:int,width:int>"), empty))
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    return found.groupBy("_key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), items.alias("items"))
 
 
 def covered(spans: Column) -> Column:

@@ -14,8 +14,8 @@ from .common import WORD, table
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 20
-#: A source's documents are dealt by hash to so many slices; only slice totals are summed up in order.
-SLICE_BITS = 14
+#: A source's documents are dealt by so many hexadecimal digits of their hash to slices; only slice totals are summed up in order.
+SLICE_DIGITS = 4
 
 
 def n_words(text: Column) -> Column:
@@ -29,6 +29,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     targets together are the total size.  Sources reach their cap in the order of cap / weight, so that the clamped
     ones are a prefix in that order; the level that holds for the rest after clamping the first k is
     (total - caps of the first k) / (weights of the others).  This is where clamping and resharing by weight ends.
+
+    The windows without a key run over one row per source in one task: 100 bytes for each, so sources are bounded by what a
+    task can sort (tens of millions), not by documents.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -47,16 +50,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
 
     Every document of a source is taken floor(target / source_size) times.  The words still wanted are taken by one more
     repetition of the documents that come first in a seeded hash order, up to the document whose middle passes what is
-    wanted: a source misses its target by half a document at most.  A hot source is spread over 2**14 hash slices.
+    wanted: a source misses its target by half a document at most.  A hot source is spread over 2**16 hash slices.
 
     Nulls: a null text has size 0; a null source is a source of its own, last in order.  Repeated rows count one by
     one.  An empty table gives an empty result.  Columns of docs with the names of added ones are replaced.
     """
     added = ["size", "source_size", "target", "taken"]
     keep = [c for c in docs.columns if c.lower() not in added]
-    h = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text"))
+    h = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))))
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col("source").alias("_s"), n_words(F.col("text")).alias("size"), h.alias("_h"))
-    d = d.withColumn("_slice", F.shiftrightunsigned("_h", 64 - SLICE_BITS))
+    d = d.withColumn("_slice", F.substring("_h", 1, SLICE_DIGITS))
     slices = d.groupBy("_s", "_slice").agg(F.sum("size").alias("n"))
     t = targets(slices.groupBy(F.col("_s").alias("source")).agg(F.sum("n").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(F.lit(0)).cast("long")

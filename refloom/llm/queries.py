@@ -10,6 +10,7 @@ from .mixing import op2_mix_sources
 from .preferences import op10_preferences
 from .quality import op9_quality
 from .simhash import op5_simhash
+from .sql import ORACLES  # noqa: F401
 from .suffix_dedup import op4_suffix_dedup
 from .tokens import op3_token_counts
 from .topk import op7_top_k
@@ -20,5 +21,3 @@ QUERIES = {
     for f in (op1_html_extract, op2_mix_sources, op3_token_counts, op4_suffix_dedup, op5_simhash, op6_decontaminate, op7_top_k, op8_url_filter, op9_quality, op10_preferences)
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-
-ORACLES: dict[str, str] = {}
