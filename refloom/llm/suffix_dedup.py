@@ -34,6 +34,9 @@ BLOCK_BYTES = 4 << 20
 #: Different contexts of one anchor, over all blocks, from which its windows are dealt one by one.
 HOT = 20_000
 
+#: Occurrences of one anchor in a block from which those with equal contexts are put aside before contexts are sorted.
+CROWDED = 1024
+
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CHUNK = 1 << 18
 
@@ -113,12 +116,43 @@ class Block:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return np.concatenate(doc), np.concatenate(pos), np.concatenate(val)
 
+    def reaches(self, doc: np.ndarray, pos: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many bytes before and after each anchor a window can reach."""
+        k = threshold // 2
+        return np.minimum(pos - self.begin[doc], threshold - k), np.minimum(self.begin[doc] + self.size[doc] - pos - k, threshold - k)
+
+    def context_keys(self, doc: np.ndarray, pos: np.ndarray, threshold: int) -> np.ndarray:
+        """A number for each anchor's context that equal contexts share."""
+        have_l, have_r = self.reaches(doc, pos, threshold)
+        with np.errstate(over="ignore"):
+            return context_hashes(self.data, pos - have_l, pos + threshold // 2 + have_r) * M2 + (have_l * 1024 + have_r).astype(np.uint64)
+
+    def again(self, doc: np.ndarray, pos: np.ndarray, group: np.ndarray, threshold: int) -> np.ndarray:
+        """Rows in text order within ascending groups: which have the whole context of an earlier row of their group.  Found by
+        hashes and verified byte by byte, some thousand rows at a time, so that long runs of one character take little memory."""
+        out = np.zeros(len(doc), bool)
+        size = np.bincount(group)
+        crowded = np.flatnonzero(size[group] > CROWDED)
+        if not len(crowded):
+            return out
+        key = self.context_keys(doc[crowded], pos[crowded], threshold)
+        order = np.lexsort((key, group[crowded]))  # stable: text order stays
+        g, c = group[crowded][order], key[order]
+        head = np.ones(len(order), bool)
+        head[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+        first = crowded[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        later, first = crowded[order][~head], first[~head]
+        for lo in range(0, len(later), 1 << 14):
+            x, y = later[lo : lo + (1 << 14)], first[lo : lo + (1 << 14)]
+            a, b = self.contexts(doc[x], pos[x], threshold), self.contexts(doc[y], pos[y], threshold)
+            out[x] = (a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1) & (a[2] == b[2]) & (a[3] == b[3])
+        return out
+
     def contexts(self, doc: np.ndarray, pos: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The bytes before (nearest first) and after each anchor, as far as a window can reach, and how many there are."""
         k = threshold // 2
         reach = threshold - k
-        have_l = np.minimum(pos - self.begin[doc], reach)
-        have_r = np.minimum(self.begin[doc] + self.size[doc] - pos - k, reach)
+        have_l, have_r = self.reaches(doc, pos, threshold)
         step = np.arange(reach)
         padded = np.concatenate([self.data, np.zeros(reach + 1, np.uint8)])
         left = np.where(step < have_l[:, None], padded[np.maximum(pos[:, None] - 1 - step, 0)], 0).astype(np.uint8)
@@ -126,6 +160,27 @@ class Block:
         return left, right, have_l.astype(np.uint8), have_r.astype(np.uint8)
 
 
+def context_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of data[start:end] for every row, from sums of powers over stretches of _CHUNK bytes."""
+    out = np.empty(len(start), np.uint64)
+    order = np.argsort(start, kind="stable")
+    first = start[order]
+    longest = int((end - start).max(initial=0))
+    with np.errstate(over="ignore"):
+        size = min(_CHUNK, len(data)) + longest + 1
+        power = np.cumprod(np.full(size, M1))
+        inverse = np.cumprod(np.full(size, np.uint64(pow(int(M1), -1, 1 << 64))))
+        for lo in range(0, len(data) + 1, _CHUNK):
+            rows = order[np.searchsorted(first, lo) : np.searchsorted(first, lo + _CHUNK)]
+            if not len(rows):
+                continue
+            part = data[lo : lo + _CHUNK + longest]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)])])
+            h = (sums[end[rows] - lo] - sums[start[rows] - lo]) * inverse[start[rows] - lo]
+            out[rows] = h ^ (h >> np.uint64(32))
+    return out
+
+
 def _digits(rows: np.ndarray) -> np.ndarray:
     """Bytes by row as big-endian numbers of 8 bytes."""
     n, width = rows.shape
@@ -310,8 +365,7 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, block_bytes: int
         most = times.copy()
         for i in np.flatnonzero(times > 64):
             rows = order[start[i] : start[i] + times[i]]
-            left, right, _, _ = b.contexts(doc[rows], pos[rows], threshold)
-            most[i] = len(np.unique(np.concatenate([left, right], axis=1), axis=0))
+            most[i] = len(np.unique(b.context_keys(doc[rows], pos[rows], threshold)))
         v, most = v[start], np.minimum(most, 65535).astype(np.uint16)
         return _rows([(to, 0, own, _pack(h, c)) for to, (h, c) in _split(bucket(v), v, most)])
 
@@ -352,7 +406,17 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, block_bytes: int
         is_hot = out_there & (crowd[at[pick]] > 0) if len(shared) else out_there
         _, group = np.unique(val, return_inverse=True)
         rows: list[tuple] = []
-        spans = [(np.zeros(0, np.int64),) * 3]
+        known_again = b.again(doc, pos, group, threshold)
+        if known_again.any():
+            d, p = doc[known_again], pos[known_again]
+            have_l, have_r = b.reaches(d, p, threshold)
+            fits = have_l + have_r >= reach
+            d, p, have_l, have_r = d[fits], p[fits], have_l[fits], have_r[fits]
+            spans = [_merge(d, p - b.begin[d] - have_l, p - b.begin[d] - reach + have_r + threshold)]
+            doc, pos, val, out_there, is_hot = (x[~known_again] for x in (doc, pos, val, out_there, is_hot))
+            _, group = np.unique(val, return_inverse=True)
+        else:
+            spans = [(np.zeros(0, np.int64),) * 3]
         firsts = []
         for lo, hi in _runs(group, 1 << 16):
             left, right, have_l, have_r = b.contexts(doc[lo:hi], pos[lo:hi], threshold)
