@@ -35,7 +35,7 @@ SEED = 9
 FAULTS = ("toxic", "low")
 PUNCTUATION = ".,;:!?\"'()[]{}<>|%*#$&-_/\\+=~^`@…«»“”‘’„–—"
 #: Words that a task knows; when full, it starts anew.
-CACHE = 300_000
+CACHE = 100_000
 #: A site table of up to so many rows is broadcast (a few MB); a larger one is joined by shuffling.
 BROADCAST_SITES = 50_000
 
@@ -55,22 +55,41 @@ class Reader(dict):
     def _room(self, n: int) -> None:
         self.clear()
         self.known: dict[str, int] = {"": 0}
+        self.starts: dict[str, int] = {}
         self.word, self.all, self.bare = (np.zeros(n, np.int32) for _ in range(3))
         self.upper = np.zeros(n, bool)
         self.ids = np.zeros((n + 1, 3), np.int32)
+        self.new: list[tuple] = []
+        self.new_ids: list[tuple] = []
+
+    def _start(self, name: str) -> int:
+        out = self.starts.get(name)
+        if out is None:
+            out = self.starts[name] = _bucket(name)
+        return out
 
     def __missing__(self, token: str) -> int:
         at = self[token] = len(self)
-        bare = token.strip(PUNCTUATION)
-        self.all[at], self.bare[at], self.upper[at] = len(token), len(bare), token.isupper()
+        bare = token if token.isalnum() else token.strip(PUNCTUATION)
         w = bare.lower()
         place = self.known.get(w)
         if place is None:
             place = self.known[w] = len(self.known)
-            self.ids[place] = _bucket("w " + w), _bucket("5 " + w[:5]) if len(w) > 5 else 0, _bucket("4 " + w[:4]) if len(w) > 4 else 0
-        self.word[at] = place
+            n = len(w)
+            self.new_ids.append((_bucket("w " + w), self._start("5 " + w[:5]) if n > 5 else 0, self._start("4 " + w[:4]) if n > 4 else 0))
+        self.new.append((place, len(token), len(bare), token.isupper()))
         return at
 
+    def _settle(self) -> None:
+        """Write what __missing__ found into the arrays."""
+        if self.new:
+            at = slice(len(self) - len(self.new), len(self))
+            self.word[at], self.all[at], self.bare[at], self.upper[at] = zip(*self.new, strict=True)
+            self.new = []
+        if self.new_ids:
+            self.ids[len(self.known) - len(self.new_ids) : len(self.known)] = self.new_ids
+            self.new_ids = []
+
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of words (rows of three) and of form."""
         tokens = (text or "").split()
@@ -79,6 +98,7 @@ class Reader(dict):
         if len(self) + len(tokens) > len(self.word):
             self._room(max(CACHE, len(tokens) + 1))
         t = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        self._settle()
         words = np.unique(self.word[t])
         bare, size, n = self.bare[t], self.all[t], len(t)
         signs, total = int(size[bare == 0].sum()), int(size.sum())

@@ -35,7 +35,7 @@ NEAR_RADIUS = 18
 #: Nearest texts in a shard's tree that are tried before the last step.
 NEAREST = 2
 #: Hashes of words that a task keeps; when full, the cache starts anew.
-CACHE = 500_000
+CACHE = 100_000
 #: Shingles are ordered by their counts in all texts, or of more than SAMPLE texts in one of SAMPLE_SHARE; the most frequent
 #: ORDERED have a place of their own.  No pair depends on it.
 SAMPLE, SAMPLE_SHARE, ORDERED = 16_384, 16, 1 << 16
