@@ -15,13 +15,13 @@ from .rules import PAGES
 LOGGED = ("DOI", "page", "URL", "genre", "accessed", "publisher", "title", "container_title_short")
 
 
-def correct(items: DataFrame, style: str | None = None, as_of: date | None = None, abbreviations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def correct(items: DataFrame, style: str | None, as_of: date, abbreviations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Corrected items, and citation_id, field, old_value, new_value, rule for each change.
 
     abbreviations: name, abbr of journals, for IEEE; matched by normalised name in a join that Spark broadcasts if it is small.
     """
     c, kind = F.col, F.col("type")
-    day = as_of or date.today()
+    day = as_of
     out = items.select("*", *[F.col(f).alias(f"_old_{f}") for f in LOGGED])
     out = out.withColumn("DOI", F.regexp_replace(F.regexp_replace(c("DOI"), r"(?i)^https?://doi\.org/", ""), r"[\s.]+$", ""))
     out = out.withColumn("page", X.page_range(c("page")))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import ensure_checkpoint_dir
 from ..functions import text as X
 from ..schema import is_blank, year_of
+from .display import placed
 
 THRESHOLD = 0.8
 #: Deletions of a quarter are the most that titles of 0.6 can differ by, so titles are compared within bands of length.
@@ -72,16 +74,7 @@ def greedy_groups(items: DataFrame, pairs: DataFrame) -> DataFrame:
     A row is taken once a lower neighbour is a seed and is a seed once all its lower neighbours are taken; rounds go on until
     all are decided, then every taken row goes to its smallest seed.  Only rows with a similar row take part in rounds.
     """
-    spark = items.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            import tempfile
-
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="refloom-checkpoint-")
-        spark.sparkContext.setCheckpointDir(shared)
+    ensure_checkpoint_dir(items.sparkSession)
     pairs = pairs.select("lo", "hi").checkpoint()
     state = pairs.select(F.col("lo").alias("ord")).union(pairs.select("hi")).distinct().withColumn("s", F.lit(None).cast("string")).checkpoint()
     while True:
@@ -121,7 +114,8 @@ def keep_first(rows: DataFrame, keys: list, order: list) -> DataFrame:
 
 
 def markers(groups: DataFrame, colours: int = 8) -> DataFrame:
-    """ord, seed, colour, siblings for every member of a group."""
+    """ord, seed, colour, siblings for every member of a group; groups are coloured in turn, in the order of their seeds."""
+    seeds = placed(groups.select("seed").distinct(), ["seed"], "_place").select("seed", F.pmod(F.col("_place") - 1, F.lit(colours)).cast("int").alias("colour"))
     w = Window.partitionBy("seed")
-    index = F.dense_rank().over(Window.orderBy("seed")) - 1
-    return groups.select("ord", "seed", F.pmod(index, F.lit(colours)).alias("colour"), F.array_sort(F.array_except(F.collect_list("ord").over(w), F.array("ord"))).alias("siblings"))
+    siblings = F.array_sort(F.array_except(F.collect_list("ord").over(w), F.array("ord")))
+    return groups.select("ord", "seed", siblings.alias("siblings")).join(seeds, "seed").select("ord", "seed", "colour", "siblings")

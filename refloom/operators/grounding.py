@@ -34,16 +34,48 @@ INJECTION = [
     ("e2_env_secrets", "exfiltration", "high", r"(?:api[_-]?key|secret|password|token)s? (?:from|in) (?:the )?(?:env|environment|config|settings)"),
     ("e3_enumeration", "exfiltration", "medium", r"(?:scan|list|enumerate) (?:the |all |your )?(?:director|folders?|file system|home director)"),
     ("e4_context_leak", "exfiltration", "high", r"(?:send|share|transmit|upload|forward) (?:this |the |our |entire |full )?(?:conversation|context|chat|session|prompt|log)"),
-    ("u1_zero_width", "unicode", "medium", "[​‌‍⁠﻿]"),
-    ("u2_bidi_override", "unicode", "medium", "[‪-‮⁦-⁩]"),
+    ("u1_zero_width", "unicode", "medium", r"[\u200B-\u200D\u2060\uFEFF]"),
+    ("u2_bidi_override", "unicode", "medium", r"[\u202A-\u202E\u2066-\u2069]"),
 ]
 PER_RULE, IN_ALL = 10, 100
 
 
+#: Characters of context on each side of a hit.
+CONTEXT = 28
+
+
 def injection_scan(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, rule, category, severity, match, nr: at most PER_RULE hits of a rule and IN_ALL of a text, which are features of the report."""
+    """key, rule, category, severity, match, nr, index, context: at most PER_RULE hits of a rule and IN_ALL of a text, which are features
+    of the report.  index is the code point where the rule's first equal match stands, context what is around it."""
     hits = F.concat(*[F.transform(F.slice(F.regexp_extract_all(F.col(text), F.lit("(?i)(" + p + ")"), 1), 1, PER_RULE), _hit(r, c, s)) for r, c, s, p in INJECTION])
-    return texts.select(key, F.posexplode(F.slice(hits, 1, IN_ALL)).alias("nr", "h")).select(key, "h.*", "nr")
+    found = texts.select(key, F.col(text).alias("_text"), F.posexplode(F.slice(hits, 1, IN_ALL)).alias("nr", "h")).select(key, "_text", "h.*", "nr")
+    at = F.instr("_text", F.col("match")) - 1
+    start = F.greatest(at - CONTEXT, F.lit(0))
+    around = F.substring(F.col("_text"), start + 1, at + CONTEXT + 1 - start)
+    return found.withColumn("index", at).withColumn("context", F.regexp_replace(around, r"\s+", " ")).drop("_text")
+
+
+def injection_guard(verdict: Column, reasons: Column, findings: Column, most: int = 4) -> Column:
+    """struct(verdict, reasons) of a source with findings (array of struct(rule, severity)): a pass becomes a warning, warnings and failures gain
+    a reason; without findings all stays."""
+    named = F.array_join(F.transform(F.slice(findings, 1, most), lambda f: F.concat(f["rule"], F.lit(" ("), f["severity"], F.lit(")"))), ", ")
+    rest = F.when(F.size(findings) > most, F.concat(F.lit(" and "), (F.size(findings) - most).cast("string"), F.lit(" more"))).otherwise("")
+    told = F.array(F.concat(F.lit("Potential adversarial content in source text: "), named, rest))
+    some = F.coalesce(F.size(findings) > 0, F.lit(False))
+    had = F.coalesce(reasons, F.array().cast("array<string>"))
+    return F.struct(
+        F.when(some & (verdict == "pass"), "warn").otherwise(verdict).alias("verdict"), F.when(some & (verdict == "pass"), told).when(some & verdict.isin("warn", "fail"), F.concat(had, told)).otherwise(had).alias("reasons")
+    )
+
+
+def claim_breakdown(sites: DataFrame, key: str, order: str = "ord", most: int = 3) -> DataFrame:
+    """sites: key, order, claims (guarded).  A row for each finding with claims: counts by verdict and the first distinct lines of rationale."""
+    c = sites.select(key, order, F.posexplode("claims").alias("_i", "_c"))
+    is_ = lambda v: F.count_if(F.col("_c.verdict") == v).alias(v)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(order, "_i", F.coalesce("_c.rationale", F.array().cast("array<string>")).alias("r")))), lambda x: x["r"])
+    top = F.slice(F.array_distinct(F.filter(F.transform(F.flatten(lines), lambda t: F.trim(t)), lambda t: t != "")), 1, most)
+    verdicts = [is_(v) for v in ("supported", "weak", "contradicted", "not_in_source", "insufficient")]
+    return c.groupBy(key).agg(*verdicts, F.count_if(F.col("_c.quotes") == "invalid").alias("invalid_quotes"), F.count("*").alias("audited"), top.alias("top_rationale"))
 
 
 def _hit(rule: str, category: str, severity: str):
@@ -92,7 +124,7 @@ CLAIMS = "struct<claims:array<struct<claim:string,verdict:string,hasNumericClaim
 
 def parse_claims(raw: Column) -> Column:
     """The claims of a model's answer; what parses as it is goes past the repair."""
-    return F.coalesce(F.from_json(raw, CLAIMS, {"mode": "PERMISSIVE"}), F.from_json(repaired(F.when(F.try_parse_json(raw).isNull(), raw)), CLAIMS))
+    return F.when(F.try_parse_json(raw).isNotNull(), F.from_json(raw, CLAIMS)).otherwise(F.from_json(repaired(F.when(F.try_parse_json(raw).isNull(), raw)), CLAIMS))
 
 
 def _close(a: Column, b: Column) -> Column:

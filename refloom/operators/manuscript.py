@@ -120,7 +120,7 @@ def select_chunks(sources: DataFrame, key: str, text: str, passage: str, budget:
 def window(sentence_list: Column, at: Column, cap: int) -> Column:
     """The sentence at an index with its neighbours; a longer window is cut to cap characters at a space."""
     joined = F.array_join(F.filter(F.slice(sentence_list, F.greatest(at, F.lit(1)), F.when(at == 0, 2).otherwise(3)), lambda s: s.isNotNull()), " ")
-    return F.when(F.char_length(joined) <= cap, joined).otherwise(F.regexp_replace(F.left(joined, F.lit(cap)), r"\s+\S*$", ""))
+    return F.when(F.char_length(joined) <= cap, joined).otherwise(F.regexp_replace(F.left(joined, F.lit(cap)), r"\s+\S*\z", ""))
 
 
 HEADING = r"(?im)^\s*(?:\d+\.?\s+)?(references|bibliography|works cited|literature cited|reference list)\s*:?\s*$"

@@ -82,3 +82,68 @@ def cascade(items: DataFrame, stages: list[tuple[str, DataFrame, list[str]]]) ->
         left = left.join(d.select(*keys), keys, "left_anti").select(*items.columns)
         done = hit if done is None else done.unionByName(hit)
     return done.unionByName(left.withColumn("stage", F.lit("unresolved")), allowMissingColumns=True)
+
+
+# Titles that stand for none, and words that show that a title was read as an author.
+PLACEHOLDERS = ["()", "(?)", "\u2014", "-"]
+STUDY_WORDS = r"\b(study|injury|review|analysis|cohort|disease|factors|mechanisms|identification|prognostic)\b"
+FAMILY_WORDS = r"\b(incidence|mechanisms|factors|injury)\b"
+
+
+def implausible_title(title: Column) -> Column:
+    """Missing, a placeholder, shorter than 8 characters, or initials only."""
+    t = F.trim(F.coalesce(title, F.lit("")))
+    return (t == "") | t.isin(PLACEHOLDERS) | (F.char_length(t) < 8) | t.rlike(r"(?i)^(?:[A-Z]\.?\s*){1,4},?\s*(?:et\s+al\.?)?$") | t.rlike(r"(?i)^[A-Z]\.,?\s*et\s+al\.?$")
+
+
+def implausible_authors(author: Column, title: Column) -> Column:
+    """A given name of more than 35 characters or with study words, or a family name with such words that the title has as well."""
+
+    def odd(a: Column) -> Column:
+        given, family = F.lower(F.coalesce(a["given"], F.lit(""))), F.lower(F.coalesce(a["family"], F.lit("")))
+        return (F.char_length(given) > 35) | given.rlike(STUDY_WORDS) | ((family != "") & F.lower(F.coalesce(title, F.lit(""))).contains(family) & family.rlike(FAMILY_WORDS))
+
+    return F.coalesce(F.exists(author, odd), F.lit(False))
+
+
+def identity_compatible(q: str = "q", c: str = "c") -> Column:
+    """Whether a registry record may fill an item: one has no title, the item's is implausible (or short and its authors are), or the titles'
+    words have a Dice of at least 0.45."""
+    a, b = F.col(f"{q}.title"), F.col(f"{c}.title")
+    blank = lambda t: F.trim(F.coalesce(t, F.lit(""))) == ""
+    few = F.size(F.split(F.trim(a), r"\s+")) <= 4
+    alike = X.dice(X.long_words(X.normalize(a)), X.long_words(X.normalize(b))) >= 0.45
+    return blank(a) | blank(b) | implausible_title(a) | (implausible_authors(F.col(f"{q}.author"), a) & few) | alike
+
+
+def doi_by_title(pairs: DataFrame) -> DataFrame:
+    """The first candidate with the highest Dice of title words, 0.8 at least, among those with DOI and title and a year within 1."""
+    yq, yc = year_of(F.col("q.issued")), year_of(F.col("c.issued"))
+    p = pairs.filter(~is_blank(F.col("c.DOI")) & ~is_blank(F.col("c.title")) & ~is_blank(F.col("q.title")))
+    p = p.filter(~F.coalesce((yq != 0) & (yc != 0) & (F.abs(yq - yc) > 1), F.lit(False)))
+    p = p.withColumn("score", X.dice(X.long_words(X.normalize(F.col("q.title"))), X.long_words(X.normalize(F.col("c.title"))))).filter("score >= 0.8")
+    return p.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ord"))).filter("_n = 1").drop("_n")
+
+
+def same_family(a: Column, b: Column) -> Column:
+    """Whether two family names are one: as they are, without spaces and hyphens, or by their first words."""
+    norm = lambda c: X.normalize(F.trim(F.regexp_replace(c, r"\s+[A-Z]{1,4}$", "")))
+    bare = lambda c: F.regexp_replace(c, r"[\s-]+", "")
+    x, y = norm(a), norm(b)
+    return (x != "") & (y != "") & ((x == y) | (bare(x) == bare(y)) | (bare(F.split(x, r"\s+")[0]) == bare(F.split(y, r"\s+")[0])))
+
+
+def raw_line_match(pairs: DataFrame, years: int = 1) -> DataFrame:
+    """The candidate whose title's words the item's raw line holds most of, if it passes: 0.7 of them, or half and the author's family
+    name; years within `years`; no other author."""
+    raw = F.concat(F.lit(" "), X.normalize(F.col("q.original")), F.lit(" "))
+    t = X.long_words(X.normalize(F.col("c.title")))
+    share = F.when(F.size(t) > 0, F.size(F.filter(t, lambda w: raw.contains(F.concat(F.lit(" "), w, F.lit(" "))))) / F.size(t)).otherwise(0.0)
+    fq, fc = F.get(F.col("q.author"), 0)["family"], F.get(F.col("c.author"), 0)["family"]
+    yq, yc = year_of(F.col("q.issued")), year_of(F.col("c.issued"))
+    p = pairs.filter(F.trim(F.coalesce(F.col("q.original"), F.lit(""))) != "").withColumn("score", F.coalesce(share, F.lit(0.0)))
+    p = p.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ord"))).filter("_n = 1").drop("_n")
+    named = F.coalesce((F.char_length(fc) >= 3) & X.normalize(F.col("q.original")).contains(X.normalize(fc)), F.lit(False))
+    right_year = F.coalesce((yq == 0) | (yc == 0) | (F.abs(yq - yc) <= years), F.lit(True))
+    right_author = is_blank(fq) | is_blank(fc) | F.coalesce(same_family(fq, fc), F.lit(False))
+    return p.filter(((F.col("score") >= 0.7) | ((F.col("score") >= 0.5) & named)) & right_year & right_author)

@@ -47,6 +47,7 @@ def all_rules(as_of: date) -> list[Rule]:
     organisation = F.coalesce(F.exists("author", lambda a: ~is_blank(a["literal"])), F.lit(False))
     broken_if = lambda name, pattern: ~is_blank(F.col(name)) & ~F.col(name).rlike(pattern)
     need = lambda kind, *names: f"A {kind} should have {' or '.join(names)}"
+    # Ids, types, severities and conditions of the rules.
     return [
         Rule("required-title", ANY, "error", "title", _none("title"), "Title is missing"),
         Rule("required-author", ANY, "warning", "author", F.coalesce(F.size("author"), F.lit(0)) <= 0, "Author is missing"),
@@ -96,10 +97,10 @@ def applicable(rules: list[Rule], style: str | None) -> list[Rule]:
     return [r for r in rules if not r.styles or style in r.styles]
 
 
-def validate(items: DataFrame, style: str | None = None, as_of: date | None = None, rules: list[Rule] | None = None) -> DataFrame:
+def validate(items: DataFrame, style: str | None, as_of: date, rules: list[Rule] | None = None) -> DataFrame:
     """A row for each broken rule of each item: citation_id, rule_id, severity, field, message, auto_fixable."""
     found = []
-    for r in applicable(rules or all_rules(as_of or date.today()), style):
+    for r in applicable(rules or all_rules(as_of), style):
         on = F.col("type").isin(list(r.types)) & r.broken if r.types else r.broken
         found.append(F.when(on, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.field).alias("field"), F.lit(r.message).alias("message"), F.lit(r.fixable).alias("auto_fixable"))))
     return items.select(F.col("id").alias("citation_id"), F.explode(F.array_compact(F.array(*found))).alias("i")).select("citation_id", "i.*")

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from refloom.plans import catalog
+from refloom.plans import cases, catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -23,22 +23,37 @@ def _rows(names, rows):
     return sorted((tuple(_value(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.fixture(scope="module")
-def duck(small):
-    con = duckdb.connect()
-    for t in TABLES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
-    return con
+FOLDERS = {"small": "/root/testdata/sf0.001", "middle": "/root/testdata/sf0.01"}
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
-def test_query_matches_sql(spark, small, duck, name):
-    df = catalog.QUERIES[name](spark, small)
-    want = duck.sql(catalog.ORACLES[name])
+@pytest.fixture(scope="module")
+def duck():
+    out = {}
+    for name, folder in FOLDERS.items():
+        out[name] = duckdb.connect()
+        for t in TABLES:
+            out[name].sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return out
+
+
+def _check(spark, con, name, queries, oracles, folder):
+    df = queries[name](spark, folder)
+    want = con.sql(oracles[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert _rows(df.columns, df.collect()) == _rows(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("where", sorted(FOLDERS))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_query_matches_sql(spark, duck, name, where):
+    _check(spark, duck[where], name, catalog.QUERIES, catalog.ORACLES, FOLDERS[where])
+
+
+@pytest.mark.parametrize("name", sorted(cases.ORACLES))
+def test_case_gives_its_answers(spark, duck, name):
+    _check(spark, duck["small"], name, cases.QUERIES, cases.ORACLES, FOLDERS["small"])
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_runs(spark, small, name):
     df = catalog.QUERIES[name](spark, small)
