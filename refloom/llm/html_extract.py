@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, table
+from .common import ensure_checkpoint_dir, numbered, table
 from .url_filter import host_of
 
 #: A block below this importance is removed.
@@ -272,14 +272,14 @@ def style_trees(pages: DataFrame) -> DataFrame:
     return per.join(m, "host").select("host", "node", content.alias("content"), F.least(presentation, F.lit(1.0)).alias("presentation"), "kinds", F.least("on", "m").cast("int").alias("on"))
 
 
-def _with_trees(pages: DataFrame, trees: DataFrame) -> DataFrame:
-    """pages with nodes, the array of its host's tree nodes (all, or those that the page has).
+def _with_trees(pages: DataFrame, trees: DataFrame, shared: bool) -> DataFrame:
+    """pages with nodes, the array of its host's tree nodes (all if shared, else those that the page has).
 
     Trees of up to BROADCAST_NODES nodes are broadcast.  Of more, every page is joined to the nodes that it has, so no row
     holds more than a page's own nodes; a hot host's nodes are split by Spark's skew join.
     """
     node = F.struct("node", "content", "presentation", "kinds", "on").alias("n")
-    if trees.count() <= BROADCAST_NODES:
+    if shared:
         return pages.join(F.broadcast(trees.groupBy("host").agg(F.collect_list(node).alias("nodes"))), "host", "left")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,20 +300,23 @@ def extract_pages(pages: DataFrame, least: float = IMPORTANCE) -> DataFrame:
     count as pages of their host; on a host of one page the markup decides; an empty table gives an empty result; other
     columns are left out.  Texts of any length and depth are taken whole.
     """
+    ensure_checkpoint_dir(pages.sparkSession)
     p = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    out = _with_trees(p, style_trees(p)).select("page_id", "url", "html", "host", "nodes")
+    trees = style_trees(p).checkpoint()  # pages are parsed for it once
+    shared = trees.count() <= BROADCAST_NODES
+    out = _with_trees(p, trees, shared).select("page_id", "url", "html", "host", "nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[str, tuple[pa.Scalar, Tree]] = {}
+        made: dict[str, Tree] = {}
         for b in batches:
             texts = []
             for host, source, nodes in zip(b["host"].to_pylist(), b["html"].to_pylist(), b["nodes"], strict=True):
-                at = made.get(host)
-                if at is None or not at[0].equals(nodes):
+                tree = made.get(host) if shared else None
+                if tree is None:
                     if len(made) > 1000:
                         made.clear()
-                    at = made[host] = (nodes, {n["node"]: (n["content"], n["presentation"], n["kinds"], n["on"]) for n in nodes.as_py() or []})
-                texts.append(extract(source, at[1], least))
+                    tree = made[host] = {n["node"]: (n["content"], n["presentation"], n["kinds"], n["on"]) for n in nodes.as_py() or []}
+                texts.append(extract(source, tree, least))
             yield pa.record_batch({"page_id": b["page_id"], "url": b["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     kind = dict(pages.dtypes)["page_id"]
