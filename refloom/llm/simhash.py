@@ -385,7 +385,7 @@ def near_duplicates(docs: DataFrame, k: int = NEAR_SHINGLE, least: float = SIMIL
 
 
 def _linked(docs: DataFrame, p: DataFrame, rows: DataFrame, groups: DataFrame, text: str, k: int, least: float) -> DataFrame:
-    """groups (id, g), which similar pairs of rows (key, id, n, fp, size) join."""
+    """groups (id, g; each id its own), which similar pairs of rows (key, id, n, fp, size) join."""
     if rows.isEmpty():
         return groups
     apart = 1 - least + 1e-9
@@ -395,7 +395,9 @@ def _linked(docs: DataFrame, p: DataFrame, rows: DataFrame, groups: DataFrame, t
     first = rows.join(hubs, "key").filter("id != hub").select(*pair).union(tree_pairs(rows)).distinct()
     low = _least_distances(first, p).checkpoint()
     seen = overlaps(docs, low.filter(F.col("low") <= apart).select("a", "b"), text, k).checkpoint()
-    groups = _merged(groups, _similar(seen, least)).checkpoint()
+    # every text is a group of its own so far, so links lead between groups as they are
+    roots = connected_components(_similar(seen, least))
+    groups = groups.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "g").alias("g")).checkpoint()
     # what is known of the distance to the hub
     exact = seen.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
     far = low.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("far", "low").alias("low"), F.coalesce("far", F.lit(1.0)).alias("high"))
