@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,12 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def values(column: pa.Array, step: int = 256) -> Iterator:
+    """Python values of a column, of step rows at a time, so that the texts of a whole batch never stand beside their Arrow form."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with a unique long for every row; a column of that name is replaced.
 

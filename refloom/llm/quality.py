@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, table
+from .common import ensure_checkpoint_dir, table, values
 from .simhash import NEAR_SHINGLE, _Words, _words_of, shingle_set
 from .url_filter import _strength
 
@@ -35,7 +35,7 @@ SEED = 9
 FAULTS = ("toxic", "low")
 PUNCTUATION = ".,;:!?\"'()[]{}<>|%*#$&-_/\\+=~^`@…«»“”‘’„–—"
 #: Words that a task knows; when full, it starts anew.
-CACHE = 100_000
+CACHE = 50_000
 #: A site table of up to so many rows is broadcast (a few MB); a larger one is joined by shuffling.
 BROADCAST_SITES = 50_000
 
@@ -212,7 +212,7 @@ def _sample(docs: DataFrame, labels: DataFrame, text: str, rows: int) -> DataFra
         known = _Words()
         least = lambda h, m: int((h * np.uint64(m) >> np.uint64(1)).min()) if len(h) else 0
         for b in batches:
-            h = [shingle_set(_words_of(t), NEAR_SHINGLE, known) for t in b["text"].to_pylist()]
+            h = [shingle_set(_words_of(t), NEAR_SHINGLE, known) for t in values(b["text"])]
             yield pa.record_batch({"doc_id": b["doc_id"], "m1": pa.array([least(x, 1) for x in h], pa.int64()), "m2": pa.array([least(x, 0x9E3779B97F4A7C15) for x in h], pa.int64())})
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAI
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, total = Reader(), np.zeros((BUCKETS, len(names)), np.int32)
         for b in batches:
-            for t, h, *marks in zip(*(b[c].to_pylist() for c in ("text", "half", *FAULTS)), strict=True):
+            for t, h, *marks in zip(*(values(b[c]) for c in ("text", "half", *FAULTS)), strict=True):
                 words, form = reader.read(t)
                 seen = np.unique(np.concatenate([words.ravel(), form, [0]]))  # 0 counts documents
                 for i, mark in enumerate(marks):
@@ -263,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAI
         reader = Reader()
         for b in batches:
             got = []
-            for t, h in zip(b["text"].to_pylist(), b["half"].to_pylist(), strict=True):
+            for t, h in zip(values(b["text"]), values(b["half"]), strict=True):
                 words, form = reader.read(t)
                 got.append([v for f in FAULTS for v in sums(words, form, halves[f][h])])
             got = np.array(got, float).reshape(-1, 6)
@@ -295,7 +295,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     @F.arrow_udf("struct<toxic:double,low:double>")
     def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            scores = np.array([found.score(t) for t in texts.to_pylist()], float).reshape(-1, 2)
+            scores = np.array([found.score(t) for t in values(texts)], float).reshape(-1, 2)
             yield pa.StructArray.from_arrays([pa.array(scores[:, 0]), pa.array(scores[:, 1])], ["toxic", "low"])
 
     sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, partitions, table
+from .common import ensure_checkpoint_dir, partitions, table, values
 from .components import connected_components
 
 SEED = 42
@@ -35,7 +35,7 @@ NEAR_RADIUS = 18
 #: Nearest texts in a shard's tree that are tried before the last step.
 NEAREST = 2
 #: Hashes of words that a task keeps; when full, the cache starts anew.
-CACHE = 100_000
+CACHE = 50_000
 #: Shingles are ordered by their counts in all texts, or of more than SAMPLE texts in one of SAMPLE_SHARE; the most frequent
 #: ORDERED have a place of their own.  No pair depends on it.
 SAMPLE, SAMPLE_SHARE, ORDERED = 16_384, 16, 1 << 16
@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, k: int = SHINGLE) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(shingle_hashes(t, k)) for t in b[1].to_pylist()]
+            fp = [fingerprint(shingle_hashes(t, k)) for t in values(b[1])]
             yield pa.record_batch({key: b[0], "fp": pa.array(np.array(fp, np.uint64).view(np.int64))})
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, fp long")
@@ -231,7 +231,7 @@ def _frequent(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for b in batches:
-            h = [shingle_set(_words_of(t), k, known) for t in b[0].to_pylist()]
+            h = [shingle_set(_words_of(t), k, known) for t in values(b[0])]
             yield pa.record_batch({"h": pa.array(np.concatenate([np.zeros(0, np.uint64), *h]).view(np.int64))})
 
     n = part.select(text).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
@@ -254,7 +254,7 @@ def sketches(docs: DataFrame, text: str, k: int, least: float) -> DataFrame:
         known = _Words()
         for b in batches:
             same, fps, size, keys, bins, over = [], [], [], [], [], []
-            for t in b[1].to_pylist():
+            for t in values(b[1]):
                 words = _words_of(t)
                 same.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 h = shingle_set(words, k, known)
@@ -307,7 +307,7 @@ def overlaps(docs: DataFrame, pairs: DataFrame, text: str, k: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for b in batches:
-            yield pa.record_batch({"id": b[0], "s": pa.array([shingle_set(_words_of(t), k, known).tobytes() for t in b[1].to_pylist()], pa.binary())})
+            yield pa.record_batch({"id": b[0], "s": pa.array([shingle_set(_words_of(t), k, known).tobytes() for t in values(b[1])], pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
