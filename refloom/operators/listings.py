@@ -76,3 +76,28 @@ def abbreviation(items: DataFrame, journals: DataFrame) -> DataFrame:
     rest = a.filter("a1 IS NULL AND a2 IS NULL AND n != ''").select("id", "n").join(small(j), c("n").contains(c("jn")) | c("jn").contains(c("n")))
     best = rest.groupBy("id").agg(F.min_by("abbr", F.struct(-F.char_length("jn"), "ord")).alias("a3"))
     return a.join(best, "id", "left").select("id", F.coalesce("a1", "a2", "a3").alias("abbr"))
+
+
+#: Rows of a search's report.
+JOURNALS_SHOWN, STYLES_SHOWN = 20, 25
+
+
+def search_journals(journals: DataFrame, query: str) -> DataFrame:
+    """The first journals whose name or abbreviation holds the query, case aside; a query of under two characters finds none."""
+    q = query.lower().strip()
+    hit = F.lower("name").contains(q) | F.coalesce(F.lower("abbr").contains(q), F.lit(False))
+    return journals.filter(hit if len(q) >= 2 else F.lit(False)).orderBy("ord").limit(JOURNALS_SHOWN)
+
+
+def search_styles(style_list: DataFrame, query: str) -> DataFrame:
+    """The first styles whose id or name holds the query; a blank one finds all."""
+    q = query.lower().strip()
+    return style_list.filter(F.lower("id").contains(q) | F.lower("name").contains(q) if q else F.lit(True)).orderBy("ord").limit(STYLES_SHOWN)
+
+
+def style_for_journal(journals: DataFrame, name: str) -> DataFrame:
+    """style_id (one row or none) of the journal of that name, else of the first whose name or abbreviation holds it."""
+    q = name.lower().strip()
+    exact = F.lower("name") == q
+    found = journals.filter(exact | F.lower("name").contains(q) | F.coalesce(F.lower("abbr").contains(q), F.lit(False)))
+    return found.groupBy().agg(F.min_by("style_id", F.struct(~exact, F.col("ord"))).alias("style_id")).filter("style_id IS NOT NULL")

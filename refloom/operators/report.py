@@ -76,3 +76,9 @@ def cache_status(artifacts: DataFrame, cache: DataFrame) -> DataFrame:
     now = artifacts.withColumn("now", F.when(F.col("content").isNotNull(), F.sha2("content", 256)))
     c = cache.select(F.col("sha256").alias("now"), F.lit(True).alias("cached"))
     return now.join(c, "now", "left").select("id", F.when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("sha256"), "changed").when(F.col("cached"), "ready").otherwise("missing").alias("status"))
+
+
+def cache_info(files: DataFrame) -> DataFrame:
+    """files: name, length.  entries and bytes of cached artifacts, which are named by a SHA-256."""
+    own = files.filter(F.col("name").rlike(r"^[a-f0-9]{64}\.json$"))
+    return own.agg(F.count("*").alias("entries"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))

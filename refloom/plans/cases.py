@@ -6,7 +6,9 @@ Their SQL is the table of right answers, worked out by hand from the cases of FI
 from __future__ import annotations
 
 import json
+import zipfile
 from datetime import date
+from io import BytesIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from ..functions import identifiers as I
 from ..functions import text as X
 from ..operators import display, grounding, listings, manuscript, report, resolve, rules, styles, verify
 from ..schema import ITEM_DDL, as_items, year_of
-from ..sources import readers
+from ..sources import pages, readers, registries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -477,3 +479,122 @@ def integrity_levels(spark: SparkSession) -> DataFrame:
 def list_validation(spark: SparkSession) -> DataFrame:
     d = _rows(spark, "ord long, name string, aliases array<string>, issn array<string>, reason string", (0, "One", [], [], "r"))
     return listings.validate_list(d).select(F.lit(0).cast("long").alias("n"), F.col("ok").alias("valid"))
+
+
+# Registries, paged files and searches
+
+_DATACITE = [
+    {"doi": "10.5281/z.1", "url": "u", "titles": [{"title": "Bird Data"}], "creators": [{"name": "Doe, Jane", "familyName": "Doe", "givenName": "Jane"}, {"name": "Bird Lab", "nameType": "Organizational"}], "publisher": {"name": "Archive"}, "publicationYear": 2022, "types": {"resourceTypeGeneral": "Dataset"}, "container": {"title": "Series", "volume": "", "firstPage": "3", "lastPage": "9"}},
+    {"doi": "10.5281/z.2", "titles": [{"title": "Draft"}], "creators": [{"name": "Lab"}], "publisher": "Plain", "types": {"resourceTypeGeneral": "Text", "resourceType": "Pre-print"}, "container": {"firstPage": "7"}},
+    {"doi": "10.5281/z.3", "types": {"resourceTypeGeneral": "Unheard"}},
+]
+
+
+@case(
+    _FIELDS + " publisher genre",
+    ("datacite-10-5281-z-1", "dataset", "Bird Data", "Series", None, "3-9", "10.5281/z.1", 2022, "Doe", 2, "Archive", None),
+    ("datacite-10-5281-z-2", "article", "Draft", None, None, "7", "10.5281/z.2", None, "Lab", 1, "Plain", "Pre-print"),
+    ("datacite-10-5281-z-3", "document", None, None, None, None, "10.5281/z.3", None, None, 0, None, None),
+)
+def from_datacite(spark: SparkSession) -> DataFrame:
+    bodies = [json.dumps({"data": {"attributes": a}}) for a in _DATACITE]
+    i = registries.from_datacite(_rows(spark, "body string", *[(b,) for b in [*bodies, "no JSON", '{"data": null}']]))
+    return _fields(i).join(i.select("id", "publisher", "genre"), "id").withColumn("authors", F.greatest("authors", F.lit(0).cast("long")))
+
+
+_PUBMED = {"title": "Birds at night", "authors": [{"name": "Van Berg JA"}, {"name": "Roe"}], "sortpubdate": "2019/05/01 00:00", "pubdate": "2018", "fulljournalname": "", "source": "J Birds", "volume": "", "pages": "4-6", "elocationid": "doi: 10.1234/night.", "articleids": [{"idtype": "pmc", "value": "PMC77"}]}
+
+
+@case(_FIELDS + " PMID PMCID given", ("pmid-55", "article-journal", "Birds at night", "J Birds", None, "4-6", "10.1234/night", 2019, "Van", 2, "55", "PMC77", "Berg JA"))
+def from_pubmed(spark: SparkSession) -> DataFrame:
+    body = json.dumps({"result": {"uids": ["55"], "55": _PUBMED, "56": {"error": "none"}}})
+    i = registries.from_pubmed(_rows(spark, "pmid string, body string", ("PMID: 55", body), ("56", body), ("57", body), ("58", None)))
+    return _fields(i).join(i.select("id", "PMID", "PMCID", F.get("author", 0)["given"].alias("given")), "id")
+
+
+_OPENALEX = [
+    {"id": "https://openalex.org/W1", "doi": "https://doi.org/10.9/W", "type": "posted-content", "title": None, "display_name": "Shown", "authorships": [{"author": {"display_name": "Jane Q Doe"}}, {"author": {"display_name": "Group"}}], "publication_year": 2020, "abstract_inverted_index": {"fly": [1], "Birds": [0]}, "primary_location": {"landing_page_url": None, "source": {"display_name": "Letters", "issn_l": "1-2", "host_organization_name": "Host"}}, "open_access": {"oa_url": "oa"}, "biblio": {"volume": "4", "first_page": "1", "last_page": None}, "ids": {"pmid": "https://pubmed.ncbi.nlm.nih.gov/99"}},
+    {"id": "https://openalex.org/W2", "title": "Bare"},
+]
+
+
+@case(
+    _FIELDS + " URL publisher abstract PMID",
+    ("openalex-W1", "article", "Shown", "Letters", "4", "1", "10.9/W", 2020, "Doe", 2, "oa", "Host", "Birds fly", "99"),
+    ("openalex-W2", "article-journal", "Bare", None, None, None, None, None, None, 0, None, None, None, None),
+)
+def from_openalex(spark: SparkSession) -> DataFrame:
+    i = registries.from_openalex(_rows(spark, "body string", *[(json.dumps(w),) for w in _OPENALEX], ("{",)))
+    return _fields(i).join(i.select("id", "URL", "publisher", "abstract", "PMID"), "id").withColumn("authors", F.greatest("authors", F.lit(0).cast("long")))
+
+
+@case("id title first_author given year publisher", ("isbn-97", "The Bird Book", "Poe", "Edgar Allan", 1999, "House"))
+def from_openlibrary(spark: SparkSession) -> DataFrame:
+    book = {"title": "The Bird Book", "authors": [{"name": "Edgar Allan Poe"}], "publish_date": "May 1999", "publishers": [{"name": "House"}]}
+    i = registries.from_openlibrary(_rows(spark, "isbn string, body string", ("97", json.dumps({"ISBN:97": book})), ("98", "{}")))
+    a = F.get("author", 0)
+    return i.select("id", "title", a["family"].alias("first_author"), a["given"].alias("given"), year_of(F.col("issued")).cast("long").alias("year"), "publisher")
+
+
+@case("k page start_at end_at content", ("a", 1, 3, 6, "one"), ("a", 2, 6, 9, "two"), ("b", 1, 0, 5, "plain"), ("d", 4, 0, 0, ""))
+def page_markers(spark: SparkSession) -> DataFrame:
+    d = _rows(spark, "k string, t string", ("a", "pre<!-- Page 1 -->one<!--page 2-->two"), ("b", " plain\n"), ("c", None), ("d", "<!-- Page 4 -->"))
+    p = pages.page_spans(d, "k", "t")
+    return p.select("k", F.col("page").cast("long").alias("page"), F.col("start").alias("start_at"), F.col("end").alias("end_at"), "content")
+
+
+@case(
+    "n mode tier text",
+    *[(0, m, "embedded", "good") for m in ("auto", "embedded_only", "ocr_preferred")],
+    *[(1, m, t, x) for m, t, x in (("auto", "ocr", "seen"), ("embedded_only", "embedded", "thin"), ("ocr_preferred", "ocr", "seen"))],
+    *[(2, m, t, "arabic") for m, t in (("auto", "deferred"), ("embedded_only", "embedded"), ("ocr_preferred", "deferred"))],
+    *[(3, m, t, x) for m, t, x in (("auto", "embedded", "thin"), ("embedded_only", "embedded", "thin"), ("ocr_preferred", None, None))],
+    *[(4, m, t, x) for m, t, x in (("auto", "ocr", "seen"), ("embedded_only", None, None), ("ocr_preferred", "ocr", "seen"))],
+)
+def pdf_tiers(spark: SparkSession) -> DataFrame:
+    """Good, thin with recognised text, Arabic, thin without, and unreadable but recognised."""
+    d = _rows(spark, "n long, embedded_text string, needs_review boolean, arabic boolean, ocr_text string", (0, "good", False, False, "seen"), (1, "thin", True, False, "seen"), (2, "arabic", True, True, "seen"), (3, "thin", True, False, None), (4, None, None, None, "seen"))
+    out = None
+    for mode in ("auto", "embedded_only", "ocr_preferred"):
+        t = pages.pdf_text(mode)
+        r = d.select("n", F.lit(mode).alias("mode"), t["tier"].alias("tier"), t["text"].alias("text"))
+        out = r if out is None else out.union(r)
+    return out
+
+
+def _docx(*paragraphs: tuple[str, str | None]) -> bytes:
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{s}{chr(34)}/></w:pPr>' if s else ''}<w:r><w:t>{t}</w:t></w:r></w:p>" for t, s in paragraphs)
+    out = BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+@case("n text headings needs_review", (0, "Birds\n\nThey fly.\n\nNight", "1:Birds:0:5|2:Night:18:23", False), (1, None, None, True), (2, "", "", True))
+def structured_docx(spark: SparkSession) -> DataFrame:
+    d = _rows(spark, "n long, content binary", (0, _docx(("Birds", "Heading1"), ("They fly.", None), (" ", None), ("Night", "heading 2"))), (1, b"no DOCX"), (2, _docx()))
+    show = F.transform("headings", lambda h: F.concat_ws(":", h["level"].cast("string"), h["title"], h["start"].cast("string"), h["end"].cast("string")))
+    return pages.with_blocks(d).select("n", "text", F.when(F.col("headings").isNotNull(), F.array_join(show, "|")).alias("headings"), "needs_review")
+
+
+_JOURNALS = [(0, "Journal of Birds", "J Birds", "s0"), (1, "Birds", None, "s1"), (2, "Letters", "Bird Lett", "s2")]
+
+
+@case("q found", ("journal bird", 3), ("journal b", 0), ("style", 2), ("style all", 30 - 5), ("exact", 1), ("partial", 0), ("abbr", 2))
+def list_searches(spark: SparkSession) -> DataFrame:
+    """Counts of rows that searches find, and the number of the style that a journal's name leads to."""
+    j = _rows(spark, "ord long, name string, abbr string, style_id string", *_JOURNALS)
+    s = _rows(spark, "ord long, id string, name string", *[(n, f"id{n}", "APA 7" if n < 2 else "Other") for n in range(30)])
+    out = None
+    for q, d in (("journal bird", listings.search_journals(j, " BIRD")), ("journal b", listings.search_journals(j, "b")), ("style", listings.search_styles(s, "apa")), ("style all", listings.search_styles(s, " "))):
+        r = d.groupBy().agg(F.count("*").alias("found")).select(F.lit(q).alias("q"), "found")
+        out = r if out is None else out.union(r)
+    for q, name in (("exact", "BIRDS"), ("partial", "of birds"), ("abbr", "bird lett"), ("none", "cats")):
+        out = out.union(listings.style_for_journal(j, name).select(F.lit(q).alias("q"), F.substring("style_id", 2, 9).cast("long").alias("found")))
+    return out
+
+
+@case("entries bytes", (2, 30))
+def cache_contents(spark: SparkSession) -> DataFrame:
+    return report.cache_info(_rows(spark, "name string, length long", ("a" * 64 + ".json", 10), ("0" * 64 + ".json", 20), ("a" * 63 + ".json", 40), ("A" * 64 + ".json", 80)))
