@@ -598,3 +598,15 @@ def list_searches(spark: SparkSession) -> DataFrame:
 @case("entries bytes", (2, 30))
 def cache_contents(spark: SparkSession) -> DataFrame:
     return report.cache_info(_rows(spark, "name string, length long", ("a" * 64 + ".json", 10), ("0" * 64 + ".json", 20), ("a" * 63 + ".json", 40), ("A" * 64 + ".json", 80)))
+
+
+_TAGGED = """<html><head><title> Plain
+title</title><meta name="citation_title" content="First"><META content="Tagged Title" name="citation_title"/><meta name="citation_author" content="Doe, Jane">
+<meta name="author" content="doe, jane"><meta name="author" content="John Q Roe"><meta property="og:site_name" content="Site"><meta name="citation_journal_title" content="J Birds">
+<meta name="citation_doi" content="https://doi.org/10.1234/tag"><meta name="citation_firstpage" content="3"><meta name="citation_lastpage" content="8"><meta name="date" content="May 2017"></head></html>"""
+
+
+@case(_FIELDS, ("u1", "article-journal", "Tagged Title", "J Birds", None, "3-8", "10.1234/tag", 2017, "Doe", 2), ("u2", "webpage", "Only a title", None, None, None, None, None, None, 0), ("u4", "webpage", None, None, None, None, None, None, None, 0))
+def page_metadata(spark: SparkSession) -> DataFrame:
+    i = registries.from_pages(_rows(spark, "url string, html string", ("u1", _TAGGED), ("u2", "<title>Only a title</title>"), ("u3", None), ("u4", "")))
+    return _fields(i).withColumn("authors", F.greatest("authors", F.lit(0).cast("long")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
+from ..functions import text as X
 from ..schema import NAME, as_items
 from .readers import _date, inverted_abstract
 
@@ -101,3 +102,34 @@ def from_openlibrary(responses: DataFrame, isbn: str = "isbn", body: str = "body
     b = responses.select(F.col(isbn).alias("isbn"), book.alias("b")).filter("b IS NOT NULL")
     year = _full(F.regexp_extract("b.publish_date", r"(\d{4})", 1))
     return as_items(b.select(F.concat(F.lit("isbn-"), "isbn").alias("id"), F.lit("book").alias("type"), "b.title", F.transform("b.authors", lambda a: _family_last(a["name"], False)).alias("author"), F.get("b.publishers", 0)["name"].alias("publisher"), F.col("isbn").alias("ISBN"), _date(year).alias("issued"), F.lit("isbn").alias("source_format"), F.lit(1.0).alias("parse_confidence")))
+
+
+META = r"(?i)<meta\s+(?:name|property)=[\"'][^\"']+[\"']\s+content=[\"'][^\"']*[\"']"
+META_TURNED = r"(?i)<meta\s+content=[\"'][^\"']*[\"']\s+(?:name|property)=[\"'][^\"']+[\"']"
+
+
+def meta_tags(html: Column) -> Column:
+    """array of (name, content) of meta tags, either attribute first; of repeated names the last counts."""
+    one = lambda t: F.struct(F.lower(F.regexp_extract(t, r"(?i)(?:name|property)=[\"']([^\"']+)", 1)).alias("name"), F.regexp_extract(t, r"(?i)\scontent=[\"']([^\"']*)", 1).alias("content"))
+    return F.transform(F.concat(F.regexp_extract_all(html, F.lit(META), 0), F.regexp_extract_all(html, F.lit(META_TURNED), 0)), one)
+
+
+def from_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """pages: url, html.  Items from the meta tags of pages; a page without any has its title only.  Null html: no item."""
+    d = pages.filter(F.col(html).isNotNull()).select(F.col(url).alias("url"), meta_tags(F.col(html)).alias("m"), F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1).alias("head"))
+    every = lambda name: F.transform(F.filter("m", lambda e: e["name"] == name), lambda e: F.trim(e["content"]))
+    last = lambda name: F.get(F.reverse(F.filter("m", lambda e: e["name"] == name)), 0)["content"]
+    first = lambda *names: _full(F.coalesce(*map(last, names)))
+    names = F.filter(F.concat(*map(every, ("citation_author", "dc.creator", "author", "article:author"))), lambda n: n != "")
+    once = F.filter(names, lambda n, i: F.array_position(F.transform(names, F.lower), F.lower(n)) == i + 1)
+    halves = lambda n: F.split(n, r",\s*")
+    person = lambda n: F.when((F.size(halves(n)) == 2) & (F.char_length(F.get(halves(n), 0)) > 1) & (F.get(halves(n), 1) != ""), _person(F.get(halves(n), 0), F.get(halves(n), 1))).otherwise(_family_last(F.regexp_replace(n, r"\s+", " "), True))
+    site = first("og:site_name", "application-name", "publisher", "dc.publisher", "citation_journal_title")
+    date = F.coalesce(*map(last, ("citation_publication_date", "citation_date", "article:published_time", "date", "dc.date")))
+    return as_items(
+        d.select(
+            F.col("url").alias("id"), F.when(first("citation_journal_title").isNotNull(), "article-journal").otherwise("webpage").alias("type"), F.coalesce(first("citation_title", "dc.title", "og:title"), _full(X.collapse(F.col("head")))).alias("title"), F.when(F.size(once) > 0, F.transform(once, person)).alias("author"),
+            F.coalesce(first("citation_journal_title"), site).alias("container_title"), first("description", "og:description", "dc.description").alias("abstract"), I.doi(F.coalesce(last("citation_doi"), last("dc.identifier"))).alias("DOI"), first("citation_volume").alias("volume"), first("citation_issue").alias("issue"),
+            _pages(last("citation_firstpage"), last("citation_lastpage")).alias("page"), _date(_full(F.regexp_extract(date, r"(\d{4})", 1))).alias("issued"), F.col("url").alias("URL"), F.lit("url").alias("source_format"),
+        )
+    )
