@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -32,6 +35,37 @@ def values(column: pa.Array, step: int = 256) -> Iterator:
         yield from column.slice(i, step).to_pylist()
 
 
+def give_back() -> None:
+    """Returns the process's free memory to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function of a partition's batches, after which the worker gives its memory back: it waits idle beside the workers of later stages."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most rows rows in the jobs run inside, as wide columns stand in them in the JVM and in Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with a unique long for every row; a column of that name is replaced.
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, table, values
+from .common import ensure_checkpoint_dir, give_back, table, tidy, values
 from .simhash import NEAR_SHINGLE, _Words, _words_of, shingle_set
 from .url_filter import _strength
 
@@ -216,7 +216,7 @@ def _sample(docs: DataFrame, labels: DataFrame, text: str, rows: int) -> DataFra
             yield pa.record_batch({"doc_id": b["doc_id"], "m1": pa.array([least(x, 1) for x in h], pa.int64()), "m2": pa.array([least(x, 0x9E3779B97F4A7C15) for x in h], pa.int64())})
 
     kind = dict(docs.dtypes)["doc_id"]
-    m = d.select("doc_id", "text").mapInArrow(lows, f"doc_id {kind}, m1 long, m2 long")
+    m = d.select("doc_id", "text").mapInArrow(tidy(lows), f"doc_id {kind}, m1 long, m2 long")
     first = lambda c: F.min("doc_id").over(Window.partitionBy(c)) == F.col("doc_id")  # noqa: E731  of the sample's rows
     once = m.withColumn("f1", first("m1")).withColumn("f2", first("m2")).filter("f1 and f2").select("doc_id").distinct()
     part = part.join(once, "doc_id").checkpoint()
@@ -248,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAI
         at = np.flatnonzero(total.any(axis=1))
         yield pa.record_batch({"bucket": pa.array(at, pa.int32()), **{c: pa.array(total[at, i]) for i, c in enumerate(names)}})
 
-    c = d.mapInArrow(counts, "bucket int, " + ", ".join(f"{x} int" for x in names)).groupBy("bucket").agg(*[F.sum(x).cast("int").alias(x) for x in names]).toArrow()
+    c = d.mapInArrow(tidy(counts), "bucket int, " + ", ".join(f"{x} int" for x in names)).groupBy("bucket").agg(*[F.sum(x).cast("int").alias(x) for x in names]).toArrow()
     table_ = {x: np.zeros(BUCKETS, np.int32) for x in names}
     for x in names:
         table_[x][c["bucket"].to_numpy()] = c[x].to_numpy()
@@ -269,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAI
             got = np.array(got, float).reshape(-1, 6)
             yield pa.record_batch({**{f: b[f] for f in FAULTS}, **{f"x{i}": pa.array(got[:, i]) for i in range(6)}})
 
-    x = d.mapInArrow(sum_up, ", ".join(f"{f} int" for f in FAULTS) + ", " + ", ".join(f"x{i} double" for i in range(6))).toArrow()
+    x = d.mapInArrow(tidy(sum_up), ", ".join(f"{f} int" for f in FAULTS) + ", " + ", ".join(f"x{i} double" for i in range(6))).toArrow()
     x = x.take(np.lexsort([x[c].fill_null(-1).to_numpy() for c in x.column_names]))  # sums in one order, whatever the tasks' order was
     weights = {}
     for i, f in enumerate(FAULTS):
@@ -297,6 +297,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
         for texts in batches:
             scores = np.array([found.score(t) for t in values(texts)], float).reshape(-1, 2)
             yield pa.StructArray.from_arrays([pa.array(scores[:, 0]), pa.array(scores[:, 1])], ["toxic", "low"])
+        give_back()
 
     sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
     d = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("_evidence", evidence(F.col("text")))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, partitions, table, values
+from .common import ensure_checkpoint_dir, partitions, small_batches, table, tidy, values
 from .components import connected_components
 
 SEED = 42
@@ -39,6 +39,8 @@ CACHE = 50_000
 #: Shingles are ordered by their counts in all texts, or of more than SAMPLE texts in one of SAMPLE_SHARE; the most frequent
 #: ORDERED have a place of their own.  No pair depends on it.
 SAMPLE, SAMPLE_SHARE, ORDERED = 16_384, 16, 1 << 16
+#: Rows of a batch: sets of shingles are wide.
+BATCH = 1000
 #: Members of a key that are paired in one part.
 CROWD = 512
 #: Shingles of a text are counted in so many bins, which bound what two sets can share.
@@ -105,7 +107,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, k: int = SHINGLE) -> Data
             fp = [fingerprint(shingle_hashes(t, k)) for t in values(b[1])]
             yield pa.record_batch({key: b[0], "fp": pa.array(np.array(fp, np.uint64).view(np.int64))})
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, fp long")
+    return docs.select(key, text).mapInArrow(tidy(run), f"`{key}` {dict(docs.dtypes)[key]}, fp long")
 
 
 def _block_keys(fp: Column, radius: int) -> Column:
@@ -234,7 +236,7 @@ def _frequent(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarra
             h = [shingle_set(_words_of(t), k, known) for t in values(b[0])]
             yield pa.record_batch({"h": pa.array(np.concatenate([np.zeros(0, np.uint64), *h]).view(np.int64))})
 
-    n = part.select(text).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    n = part.select(text).mapInArrow(tidy(run), "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     t = n.orderBy(F.col("n").desc(), "h").limit(ORDERED).toArrow()
     h, n = t["h"].to_numpy().view(np.uint64), t["n"].to_numpy()
     order = np.argsort(h)
@@ -273,7 +275,7 @@ def sketches(docs: DataFrame, text: str, k: int, least: float) -> DataFrame:
                  "bins": pa.array(bins, pa.binary()), "over": pa.array(over, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))}
             )
 
-    return docs.select("id", text).mapInArrow(run, "id long, same binary, fp long, size long, bins binary, over long, keys array<long>")
+    return docs.select("id", text).mapInArrow(tidy(run), "id long, same binary, fp long, size long, bins binary, over long, keys array<long>")
 
 
 def tree_pairs(rows: DataFrame) -> DataFrame:
@@ -319,9 +321,9 @@ def overlaps(docs: DataFrame, pairs: DataFrame, text: str, k: int) -> DataFrame:
             yield pa.record_batch({"a": batch["a"], "b": batch["b"], "both": pa.array(both, pa.int64()), "either": pa.array(either, pa.int64())})
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    s = docs.join(wanted, "id", "left_semi").select("id", text).mapInArrow(sets, "id long, s binary")
+    s = docs.join(wanted, "id", "left_semi").select("id", text).mapInArrow(tidy(sets), "id long, s binary")
     both = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long, both long, either long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(tidy(count), "a long, b long, both long, either long")
 
 
 def _least_distances(pairs: DataFrame, p: DataFrame) -> DataFrame:
@@ -336,7 +338,7 @@ def _least_distances(pairs: DataFrame, p: DataFrame) -> DataFrame:
 
     for c in ("a", "b"):
         pairs = pairs.join(p.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("size", "bins", "over")]), c)
-    return pairs.mapInArrow(run, "a long, b long, low double")
+    return pairs.mapInArrow(tidy(run), "a long, b long, low double")
 
 
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -372,7 +374,11 @@ def near_duplicates(docs: DataFrame, k: int = NEAR_SHINGLE, least: float = SIMIL
     than k words have one shingle; repeated rows are copies; empty in, empty out; other columns are left out.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    d = docs.select("id", "text")
+    with small_batches(docs.sparkSession, BATCH):  # all that runs Python runs here
+        return _grouped(docs.select("id", "text"), k, least)
+
+
+def _grouped(d: DataFrame, k: int, least: float) -> DataFrame:
     p = sketches(d, "text", k, least).checkpoint()
     copies = p.groupBy("same").agg(F.min("id").alias("first"))
     groups = copies.select(F.col("first").alias("id"), F.col("first").alias("g")).checkpoint()
