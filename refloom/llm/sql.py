@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
-The others use what DuckDB's SQL lacks: an HTML parser (1), a byte-pair encoder (3), byte strings of UTF-8 text (4), XXH64 (5) and the
-fitted classifier (9); tests hold them against brute force.
+The others use what DuckDB's SQL lacks: an HTML parser (1), a byte-pair encoder (3), byte strings of UTF-8 text (4), XXH64 (5), the
+fitted classifier (9), eigenvectors (11), runs of words (12) and possessive patterns with a corpus statistic (13); tests hold them against brute force.
 """
 
 from __future__ import annotations
