@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import ensure_checkpoint_dir
+from ..checkpoints import ensure_checkpoint_dir, written
 from ..functions import text as X
 from ..schema import is_blank, year_of
 from .display import placed
 
 THRESHOLD = 0.8
-#: Deletions of a quarter are the most that titles of 0.6 can differ by, so titles are compared within bands of length.
-TITLE_RATIO = 0.6
 
 
 def features(items: DataFrame, compat: bool = False) -> DataFrame:
@@ -41,31 +41,114 @@ def similarity(a: str, b: str, compat: bool = False) -> Column:
     return F.when(some, total / weight).otherwise(0.0)
 
 
-def _bands(length: Column) -> Column:
-    """A text's length band and the one above: any two lengths with a ratio of 0.6 or more share a band, as bands grow by 1 / 0.6."""
-    at = F.floor(F.ln(F.greatest(length, F.lit(1)).cast("double")) / F.ln(F.lit(1 / TITLE_RATIO))).cast("int")
-    return F.array(at, at + 1)
+def _cut(length: Column, pieces: Column, i: Column) -> tuple[Column, Column]:
+    """Start and length of piece i of a text cut evenly, the longer pieces last."""
+    short, longer = F.floor(length / pieces), F.pmod(length, pieces)
+    late = i - (pieces - longer)
+    return i * short + F.greatest(late, F.lit(0)), short + F.when(late >= 0, 1).otherwise(0)
+
+
+def pieces(c: Column, ratio: float) -> Column:
+    """Keys of a text as the shorter one of a pair: for every number of edits k that a partner's length allows, its k + 1 pieces.
+
+    A text within k edits has one of them unchanged, not far from its place.  A key is a hash of length, k, the piece's number and the piece.
+    """
+    n = F.char_length(c)
+    least, most = F.floor((1 - ratio) * n + 1e-6).cast("int"), F.floor((1 - ratio) / ratio * n + 1e-6).cast("int")
+
+    def keys(k: Column) -> Column:
+        def key(i: Column) -> Column:
+            at, long = _cut(n, k + 1, i)
+            return F.xxhash64(n, k, i, F.substring(c, at.cast("int") + 1, long.cast("int")))
+
+        return F.transform(F.sequence(F.lit(0), k), key)
+
+    return F.flatten(F.transform(F.sequence(least, most), keys))
+
+
+def probes(c: Column, ratio: float, lengths: list[int]) -> Column:
+    """Keys of a text as the longer one: with k edits in all, i before piece i at most and k - i after it, which bounds how far a piece can have
+    moved.  lengths: those that occur, so that no others are asked for."""
+    n = F.char_length(c)
+    k = F.floor((1 - ratio) * n + 1e-6).cast("int")
+    shorter = F.filter(F.array(*map(F.lit, lengths)), lambda m: (m <= n) & (n - m <= k))
+
+    def of_length(m: Column) -> Column:
+        def of_piece(i: Column) -> Column:
+            at, long = _cut(m, k + 1, i)
+            first = F.greatest(F.lit(0), at - i, at + (n - m) - (k - i)).cast("int")
+            last = F.least(n - long, at + i, at + (n - m) + (k - i)).cast("int")
+            places = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda p: F.xxhash64(m, k, i, F.substring(c, p + 1, long.cast("int"))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), k), of_piece))
+
+    return F.array_distinct(F.flatten(F.transform(shorter, of_length)))
+
+
+def _grams(c: Column) -> Column:
+    """The distinct pairs of adjacent characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, 2)))
+
+
+def similar_texts(rows: DataFrame, text: str, ratio: float, within: str | None = None) -> DataFrame:
+    """lo, hi: by ord, the pairs of rows (ord, text) with 1 - distance / longer length of at least ratio, and of one value of `within`.  No
+    pair is missed.
+
+    Equal texts are one row of the index, so that copies make no hot keys.  Of different ones, those meet that share a piece (see
+    pieces() and probes()); then each edit takes two pairs of adjacent characters away at most, and only what that count leaves is
+    compared.  A text has about k*k/2 keys for each length within its reach, k being the edits allowed.
+    """
+    same = [within] if within else []
+    d = rows.filter(F.col(text).isNotNull()).select("ord", F.col(text).alias("t"), *same)
+    each = d.groupBy("t", *same).agg(F.min("ord").alias("first"))
+    each = each.withColumn("id", F.xxhash64("t", *same)) if same else each.withColumn("id", F.xxhash64("t"))
+    # short rows with very many keys: dealt by number, not by their size
+    each = written(each.select("id", "t", *same), "texts").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    lengths = sorted(r[0] for r in each.select(F.char_length("t")).distinct().collect())
+    shut = lambda key: F.xxhash64(key, *same) if same else key
+    index = each.select(F.col("id").alias("a"), F.explode(pieces(F.col("t"), ratio)).alias("key"), *same).select("a", shut(F.col("key")).alias("key"))
+    asked = each.select(F.col("id").alias("b"), F.explode(probes(F.col("t"), ratio, lengths)).alias("key"), *same).select("b", shut(F.col("key")).alias("key"))
+    met = index.join(asked, "key").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x = each.select(F.col("id").alias("a"), F.col("t").alias("x"), *[F.col(c).alias("_w") for c in same])
+    y = each.select(F.col("id").alias("b"), F.col("t").alias("y"), *[F.col(c).alias("_v") for c in same])
+    longer = F.greatest(F.char_length("x"), F.char_length("y"))
+    most = F.floor((1 - ratio) * longer + 1e-6).cast("int")
+    common = F.size(F.array_intersect("gx", "gy"))
+    alike = met.join(x.withColumn("gx", _grams(F.col("x"))), "a").join(y.withColumn("gy", _grams(F.col("y"))), "b").filter(common >= F.greatest(F.size("gx"), F.size("gy")) - 2 * most)
+    alike = alike.filter((F.levenshtein("x", "y") <= most) & (F.col("_w") == F.col("_v") if same else F.lit(True))).select("a", "b")
+    alike = alike.union(each.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    ids = d.select("ord", (F.xxhash64("t", *same) if same else F.xxhash64("t")).alias("id"))
+    both = alike.join(ids.select(F.col("id").alias("a"), F.col("ord").alias("p")), "a").join(ids.select(F.col("id").alias("b"), F.col("ord").alias("q")), "b").filter("p != q")
+    return both.select(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).distinct()
 
 
 def edges(items: DataFrame, threshold: float = THRESHOLD, compat: bool = False) -> DataFrame:
-    """lo, hi, score of the pairs that reach the threshold, by ord.
+    """lo, hi, score of the pairs that reach the threshold (over 6/11), by ord.
 
-    No pair is missed.  Rows whose DOIs differ can't reach it.  Of the others, rows with equal DOIs meet by DOI, rows with titles
-    need a title ratio of 0.6, hence lengths in that ratio, and meet in a band of lengths, and where a title is missing
-    the same holds for authors.  Bands are joined by key and the scores are computed in the join; only pairs that
-    reach the threshold leave it.  This is for reference lists: rows that can be told equal beforehand should be
-    grouped beforehand.  In compat mode rows that share nothing but a year are not joined.
+    No pair is missed, since one of these must hold: the DOIs are equal; or the titles' ratio t is at least the threshold; or the years are equal and t is what
+    the year's weight leaves to be reached; or the authors' ratio is, alone or with equal years.  Rows whose DOIs differ can't reach
+    it.  Each case is a join of similar texts (see similar_texts()), and only pairs that one of them finds are scored.
     """
-    f = features(items, compat)
-    band = lambda name, c: F.transform(_bands(F.char_length(c)), lambda b: F.concat(F.lit(name), b.cast("string")))
-    keys = F.array_compact(F.concat(F.array(F.concat(F.lit("d"), "doi")), F.coalesce(band("t", "title"), F.array().cast("array<string>")), F.coalesce(band("a", "authors"), F.array().cast("array<string>"))))
-    k = f.withColumn("k", F.explode(keys))
-    a, b = k.alias("a"), k.alias("b")
-    both = F.col("a.title").isNotNull() & F.col("b.title").isNotNull()
+    f = written(features(items, compat), "features")
+    year = lambda r: max(0.1, (r * threshold - 1) / (r - 1))  # noqa: E731  what is left to reach where the year counts 1 of r
+    dated = f.filter("year IS NOT NULL")
+    doi = f.filter("doi IS NOT NULL").select("ord", "doi")
+    found = [doi.alias("a").join(doi.alias("b"), (F.col("a.doi") == F.col("b.doi")) & (F.col("a.ord") < F.col("b.ord"))).select(F.col("a.ord").alias("lo"), F.col("b.ord").alias("hi"))]
+    if not f.filter("title IS NOT NULL").isEmpty():
+        found.append(similar_texts(f, "title", threshold))
+        if not dated.isEmpty():
+            found.append(similar_texts(dated, "title", year(4), "year"))
+    if not f.filter("authors IS NOT NULL").isEmpty():
+        found.append(similar_texts(f, "authors", threshold))
+        if not dated.isEmpty():
+            found.append(similar_texts(dated, "authors", year(3), "year"))
+    pairs = reduce(DataFrame.union, found).distinct()
+    side = lambda n: f.select(*[F.col(c).alias(f"{n}_{c}") for c in f.columns])
+    both = pairs.join(side("a"), F.col("lo") == F.col("a_ord")).join(side("b"), F.col("hi") == F.col("b_ord"))
+    both = both.select("lo", "hi", *[F.struct(*[F.col(f"{n}_{c}").alias(c) for c in f.columns]).alias(n) for n in ("a", "b")])
     apart = F.coalesce(F.col("a.doi") != F.col("b.doi"), F.lit(False))
-    on = (F.col("a.k") == F.col("b.k")) & (F.col("a.ord") < F.col("b.ord")) & ~apart & (~F.col("a.k").startswith("a") | ~both)
-    score = similarity("a", "b", compat)
-    return a.join(b, on).select(F.col("a.ord").alias("lo"), F.col("b.ord").alias("hi"), score.alias("score")).filter(F.col("score") >= threshold).distinct()
+    return both.filter(~apart).select("lo", "hi", similarity("a", "b", compat).alias("score")).filter(F.col("score") >= threshold)
 
 
 def greedy_groups(items: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
 from ..functions import text as X
-from ..operators import autocorrect, dedup, display, grounding, listings, manuscript, report, rules, styles, verify
+from ..operators import autocorrect, dedup, display, grounding, listings, manuscript, overlap, report, rules, styles, verify
 from ..schema import as_items
 from ..sources import writers
 from ..streaming import events
@@ -41,6 +41,12 @@ NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\s]', '', 'g'),
 TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]+', ' ', 'g'), '\s+'), lambda x: length(x) >= 3)"
 
 
+def _token_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with their distinct tokens, and benchmark texts with all of theirs."""
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(X.tokens(F.col("text"))).alias("ts"))
+    return d, _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), X.tokens(F.col("text")).alias("ts"))
+
+
 @query(
     f"""WITH d AS (SELECT doc_id, unnest(list_distinct({TOKENS.format("text")})) AS t FROM documents),
 b AS (SELECT item_id, list_distinct({TOKENS.format("text")}) AS ts FROM benchmark), bt AS (SELECT item_id, len(ts) AS n, unnest(ts) AS t FROM b),
@@ -50,13 +56,11 @@ SELECT doc_id, item_id, hits::BIGINT AS hits, round(hits / n, 6) AS score, CASE
 )
 def token_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark passage of which each document has the largest share of tokens."""
-    b = _t(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(X.tokens(F.col("text"))).alias("ts"))
-    bt = b.select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("t"))
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("t"))
-    h = d.join(listings.small(bt), "t").groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"), F.max("n").alias("n"))
-    best = h.groupBy("doc_id").agg(F.max_by(F.struct("item_id", "hits", "n"), F.struct(F.col("hits") / F.col("n"), -F.col("item_id"))).alias("b"))
-    score = F.col("b.hits") / F.col("b.n")
-    return best.select("doc_id", "b.item_id", "b.hits", F.round(score, 6).alias("score"), X.bucket(score).alias("bucket"))
+    docs, items = _token_lists(spark, sf_dir)
+    h = overlap.scored(docs, items.withColumn("ts", F.array_distinct("ts")))
+    best = h.groupBy("id").agg(F.max_by(F.struct("item", "hits", "score"), F.struct("score", -F.col("item"))).alias("b"))
+    score = F.col("b.score")
+    return best.select(F.col("id").alias("doc_id"), F.col("b.item").alias("item_id"), "b.hits", F.round(score, 6).alias("score"), X.bucket(score).alias("bucket"))
 
 
 @query(f"SELECT doc_id, {NORM.format('text')} AS normal FROM documents")
@@ -205,6 +209,24 @@ def dup_merge_first_non_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.merge(o, "grp", "ord", ["status", "priority"])
 
 
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as items: the first 40 characters are the title, and two of three have a year."""
+    d = _t(spark, sf_dir, "documents").filter("doc_id IS NOT NULL")
+    year = F.when(F.pmod("doc_id", F.lit(3)) > 0, (2000 + F.pmod("doc_id", F.lit(2))).cast("int"))
+    dated = F.struct(F.array(F.array(year)).alias("date_parts"), F.lit(None).cast("string").alias("season"), F.lit(None).cast("boolean").alias("circa"), F.lit(None).cast("string").alias("literal"), F.lit(None).cast("string").alias("raw"))
+    return as_items(d.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.lit("document").alias("type"), F.left("text", F.lit(40)).alias("title"), dated.alias("issued")))
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, {NORM.format("left(text, 40)")} AS t, CASE WHEN doc_id % 3 > 0 THEN 2000 + doc_id % 2 END AS y FROM documents),
+p AS (SELECT a.doc_id AS lo, b.doc_id AS hi, 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) AS r, a.y = b.y AS same FROM n a JOIN n b ON a.doc_id < b.doc_id AND a.t <> '' AND b.t <> ''),
+s AS (SELECT lo, hi, CASE WHEN same IS NULL THEN r ELSE (3 * r + same::INT) / 4 END AS score FROM p) SELECT lo, hi, round(score, 6) AS score FROM s WHERE score >= 0.8"""
+)
+def dup_title_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that begin alike, by title and year."""
+    return dedup.edges(_titles(spark, sf_dir)).select("lo", "hi", F.round("score", 6).alias("score"))
+
+
 _LIST = [(0, "Small Ring", "a"), (1, "The Red Widget!", "b"), (2, "blue gadgett", "c"), (3, "large bolt", "d"), (4, "green screww", "e"), (5, "red widgets", "f"), (6, "small rings", "g")]
 
 
@@ -234,10 +256,8 @@ h AS (SELECT doc_id, item_id, count(*) / any_value(n) AS share FROM bt JOIN d US
 )
 def containment_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many benchmark texts have 0.35 or more of their tokens, repeats counted, in each document."""
-    bt = _t(spark, sf_dir, "benchmark").select("item_id", X.tokens(F.col("text")).alias("ts")).select("item_id", F.size("ts").alias("n"), F.explode("ts").alias("t"))
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("t"))
-    h = d.join(listings.small(bt), "t").groupBy("doc_id", "item_id").agg((F.count("*") / F.max("n")).alias("share"))
-    return h.groupBy("doc_id").agg(F.count_if(F.col("share") >= 0.35).alias("items"), F.round(F.max("share"), 6).alias("most"))
+    h = overlap.scored(*_token_lists(spark, sf_dir), first=0.35)
+    return h.groupBy(F.col("id").alias("doc_id")).agg(F.count_if(F.col("score") >= 0.35).alias("items"), F.round(F.max("score"), 6).alias("most"))
 
 
 @query(
@@ -247,12 +267,10 @@ SELECT name, other, round(dice, 6) AS dice FROM h QUALIFY row_number() OVER (PAR
 )
 def dice_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar other part name by words."""
-    t = _t(spark, sf_dir, "part").select("p_name").distinct().withColumn("ts", F.array_distinct(X.long_words(F.col("p_name"))))
-    t = t.select("p_name", F.size("ts").alias("n"), F.explode("ts").alias("t"))
-    a, b = t.alias("a"), t.alias("b")
-    h = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.p_name") != F.col("b.p_name"))).groupBy(F.col("a.p_name").alias("name"), F.col("b.p_name").alias("other")).agg((2 * F.count("*") / (F.max("a.n") + F.max("b.n"))).alias("dice"))
-    n = F.row_number().over(Window.partitionBy("name").orderBy(F.col("dice").desc(), "other"))
-    return h.withColumn("_n", n).filter("_n = 1").select("name", "other", F.round("dice", 6).alias("dice"))
+    p = _t(spark, sf_dir, "part").select("p_name").distinct().withColumn("ts", F.array_distinct(X.long_words(F.col("p_name"))))
+    h = overlap.scored(p.select(F.col("p_name").alias("id"), "ts"), p.select(F.col("p_name").alias("item"), "ts"), dice=True, others=True)
+    best = F.min(F.struct((-F.col("score")).alias("score"), F.col("item").alias("other"))).alias("b")
+    return h.groupBy(F.col("id").alias("name")).agg(best).select("name", "b.other", F.round(-F.col("b.score"), 6).alias("dice"))
 
 
 _PERTURBED = """u AS (SELECT o_orderkey AS citation_id, o_orderpriority AS title, year(o_orderdate)::VARCHAR AS year, o_orderstatus AS volume, o_custkey::VARCHAR AS page FROM orders),
