@@ -451,11 +451,34 @@ def event_counts_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.windowed_counts(_t(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
-@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 86400) ORDER BY ts, event_id) = 1")
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, ts, min(event_id) AS event_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+k AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY 1 UNION ALL SELECT k.user_id, min(e.ts) FROM k JOIN e ON e.user_id = k.user_id AND e.ts >= k.ts + INTERVAL 24 HOUR GROUP BY k.user_id)
+SELECT e.event_id, k.user_id FROM k JOIN e USING (user_id, ts)"""
+)
 def throttle_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that are let through if a user must wait 24 hours after the last one that was."""
     return events.throttle(_t(spark, sf_dir, "events")).select("event_id", "user_id")
 
 
+def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as progress of audits: an owner is one of 50, runs are numbered 0 to 2 and begin at signups."""
+    kind = F.when(F.col("event_type") == "signup", "started").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("finding")
+    return _t(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(50)).alias("owner"), "ts", F.col("event_id").alias("ord"), F.pmod("event_id", F.lit(3)).alias("run_id"), kind.alias("event"))
+
+
+@query(
+    """WITH p AS (SELECT user_id % 50 AS owner, ts, event_id AS ord, event_id % 3 AS run_id, CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'finding' END AS event FROM events),
+s AS (SELECT owner, ts, ord, run_id, lead(ts) OVER w AS until, lead(ord) OVER w AS until_ord FROM p WHERE event = 'started' WINDOW w AS (PARTITION BY owner ORDER BY ts, ord)),
+m AS (SELECT p.*, s.ord AS began FROM p JOIN s ON p.owner = s.owner AND p.run_id = s.run_id AND (p.ts, p.ord) >= (s.ts, s.ord) AND (s.until IS NULL OR (p.ts, p.ord) < (s.until, s.until_ord))),
+c AS (SELECT owner, began, min((ts, ord)) AS ended FROM m WHERE event IN ('completed', 'failed') GROUP BY ALL)
+SELECT m.owner, m.ord, m.event FROM m LEFT JOIN c USING (owner, began) WHERE c.ended IS NULL OR (m.ts, m.ord) <= c.ended"""
+)
+def current_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of runs that were neither superseded nor over."""
+    return events.current_progress(_progress(spark, sf_dir)).select("owner", "ord", "event")
+
+
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY c_name, year(o_orderdate), o_orderkey) AS place FROM orders JOIN customer ON o_custkey = c_custkey")
 def sort_author_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every order by customer, year and key, in the order of reference lists."""

@@ -44,10 +44,88 @@ def latest_stream(events: DataFrame) -> DataFrame:
 
 
 def throttle(events: DataFrame, hours: int = 24) -> DataFrame:
-    """The first event of each user in every period of so many hours since the epoch."""
-    slot = F.floor(F.unix_timestamp("ts") / (3600 * hours))
-    w = Window.partitionBy("user_id", "slot").orderBy("ts", "event_id")
-    return events.withColumn("slot", slot).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The events of each user that come so many hours or more after the last one kept; the first is kept, of equal times the smallest id.
+
+    A user's events pass one task in order, which remembers one time only; users are many.  Events without user or time are no attempts and go.
+    """
+    gap, names = pd.Timedelta(hours=hours), events.columns
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, last = None, None
+        for b in batches:
+            keep = []
+            for u, ts in zip(b["user_id"], b["ts"], strict=True):
+                keep.append(u != user or ts - last >= gap)
+                if keep[-1]:
+                    user, last = u, ts
+            yield b[keep][names]
+
+    ordered = events.filter("user_id IS NOT NULL AND ts IS NOT NULL").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    return ordered.mapInPandas(fold, events.schema)
+
+
+def throttle_stream(events: DataFrame, hours: int = 24, late: str = "10 minutes") -> DataFrame:
+    """user_id, event_id, ts of what throttle() keeps of a stream whose files come in order of time.
+
+    The state is the time last kept.  Its timer is the watermark's passing the end of the gap: what then comes is kept anyway, so the
+    state goes and idle users cost nothing.
+    """
+    gap = hours * 3_600_000_000
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        kept = []
+        for i, ts in zip(rows["event_id"], rows["ts"].astype("datetime64[us]").astype("int64"), strict=True):
+            if last is None or ts - last >= gap:
+                last = int(ts)
+                kept.append((key[0], i, pd.Timestamp(last, unit="us")))
+        state.update((last,))
+        if last + gap > state.getCurrentWatermarkMs() * 1000:
+            state.setTimeoutTimestamp((last + gap) // 1000 + 1)
+        yield pd.DataFrame(kept, columns=["user_id", "event_id", "ts"])
+
+    e = events.filter("user_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).select("user_id", "event_id", "ts")
+    return e.groupBy("user_id").applyInPandasWithState(fold, "user_id long, event_id long, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: What ends a run.
+CLOSING = ("completed", "cancelled", "failed")
+
+
+def current_progress(progress: DataFrame) -> DataFrame:
+    """progress: owner, ts, ord, run_id, event.  The events that count: an owner's new run supersedes the one before, of which nothing is heard
+    any more, and after a run has ended nothing counts until the next begins."""
+    before = Window.partitionBy("owner").orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.when(F.col("event") == "started", F.struct("run_id", "ts", "ord"))
+    p = progress.withColumn("_run", F.last(start, ignorenulls=True).over(before)).filter(F.col("run_id") == F.col("_run.run_id"))
+    within = Window.partitionBy("owner", "_run").orderBy("ts", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    closed = F.coalesce(F.max(F.col("event").isin(*CLOSING)).over(within), F.lit(False))
+    return p.withColumn("_closed", closed).filter("NOT _closed").drop("_run", "_closed")
+
+
+def current_progress_stream(progress: DataFrame) -> DataFrame:
+    """owner, ord of what current_progress() lets count of a stream, with the run at work as an owner's state."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        run = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["ts", "ord"])
+        kept = []
+        for o, r, event in zip(rows["ord"], rows["run_id"], rows["event"], strict=True):
+            run = r if event == "started" else run
+            if r == run:
+                kept.append((key[0], o))
+                run = None if event in CLOSING else run
+        if run is None:
+            state.remove()
+        else:
+            state.update((int(run),))
+        yield pd.DataFrame(kept, columns=["owner", "ord"])
+
+    return progress.groupBy("owner").applyInPandasWithState(fold, "owner long, ord long", "run long", "append", GroupStateTimeout.NoTimeout)
 
 
 def fold_report(progress: DataFrame) -> DataFrame:
