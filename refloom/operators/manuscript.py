@@ -3,59 +3,96 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import unicodedata
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import places as P
 from ..functions import text as X
 
 RANGE = 10_000
-_NUMBERS = re.compile(r"[\[(](\d+(?:\s*[-–,;]\s*\d+)*)[\])]")
-_BRACKETED = re.compile(r"\(([^()]*?\b(?:1[5-9]|20)\d{2}[a-z]?[^()]*)\)")
-_NARRATIVE = re.compile(r"\b([A-Z][\w’'-]+)(?:\s+(?:and|&)\s+([A-Z][\w’'-]+)|\s+et\s+al\.?)?\s+\(((?:1[5-9]|20)\d{2})([a-z]?)(?:,[^()]*)?\)")
-_YEAR = re.compile(r"\b((?:1[5-9]|20)\d{2})([a-z]?)\b")
-_FAMILY = re.compile(r"[A-Z][\w’'-]+")
-SPAN = "kind string, start int, end int, raw string, numbers array<int>, families array<string>, year int, suffix string"
-
-
-def _expand(inner: str) -> list[int]:
-    out: list[int] = []
-    for part in re.split(r"\s*[,;]\s*", inner):
-        ends = [int(x) for x in re.split(r"\s*[-–]\s*", part) if x][:2]
-        out += range(ends[0], min(ends[-1], ends[0] + RANGE) + 1) if len(ends) == 2 else ends
-    return list(dict.fromkeys(out))
-
-
-def spans_of(text: str | None) -> list[dict]:
-    """In-text citations: numbers in brackets or parentheses, author and year in parentheses, and Author (year).  A range of more than
-    RANGE numbers is cut there."""
-    out = []
-    for m in _NUMBERS.finditer(text or ""):
-        out.append({"kind": "numeric", "start": m.start(), "end": m.end(), "raw": m.group(), "numbers": _expand(m.group(1)), "families": [], "year": None, "suffix": None})
-    for m in _BRACKETED.finditer(text or ""):
-        y = _YEAR.search(m.group(1))
-        families = [f.lower() for f in _FAMILY.findall(m.group(1)[: y.start()])]
-        if families:
-            out.append({"kind": "author-year", "start": m.start(), "end": m.end(), "raw": m.group(), "numbers": [], "families": families, "year": int(y.group(1)), "suffix": y.group(2)})
-    for m in _NARRATIVE.finditer(text or ""):
-        out.append({"kind": "author-year", "start": m.start(), "end": m.end(), "raw": m.group(), "numbers": [], "families": [f.lower() for f in m.group(1, 2) if f], "year": int(m.group(3)), "suffix": m.group(4)})
-    seen = {(s["kind"], s["start"], s["end"]): s for s in reversed(out)}
-    return sorted(seen.values(), key=lambda s: (s["start"], s["end"], s["kind"]))
+_NUMBER_LIST = r"\s*\d+(?:\s*[-–]\s*\d+)?(?:\s*,\s*\d+(?:\s*[-–]\s*\d+)?)*"
+# The forms of citations in a text, in their order of precedence.
+NUMERIC = (
+    ("high", rf"\[({_NUMBER_LIST})\s*(?:,\s*([^\]]{{1,30}}))?\]"),
+    ("high", rf"\(({_NUMBER_LIST})\s*\)"),
+    ("medium", rf"<sup>({_NUMBER_LIST})</sup>"),
+)
+PARENTHETICAL = r"(?i)\(([^()]{2,80}?)\s*,\s*(\d{4})([a-z])?(?:\s*,\s*([^)]{1,30}))?\)"
+NARRATIVE = r"(?iu)(?<![\p{L}\p{N}_])([A-Z][\p{L}'’-]+)\s*\((\d{4})([a-z])?\)"
+CITATION = "array<struct<start:int,end:int,place:int,kind:string,raw:string,numbers:array<int>,families:array<string>,year:int,suffix:string,locator:string,confidence:string>>"
 
 
-def in_text(manuscripts: DataFrame, key: str, text: str) -> DataFrame:
-    """key and one row per citation in the text, with code-point offsets.  The matches need offsets, which built-in regex
-    functions don't give, so this runs over Arrow batches."""
+def _plain(c: int) -> str:
+    return re.sub("[^a-z0-9'’-]", "", unicodedata.normalize("NFKD", chr(c).lower()))
+
+
+#: Letters that decompose to one Latin letter and marks, and those.
+_MARKED = [(chr(c), _plain(c)) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and len(_plain(c)) == 1 and _plain(c) != chr(c)]
+
+
+def family_name(c: Column) -> Column:
+    """Lower case, marks off letters, nothing but a-z, digits, apostrophes and hyphens.  Signs that stand for several letters go."""
+    plain = F.translate(c, "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED))
+    return F.regexp_replace(F.lower(F.when(F.octet_length(c) == F.char_length(c), c).otherwise(plain)), "[^a-z0-9'’-]+", "")
+
+
+def _numbers(inner: Column) -> Column:
+    """The numbers of a list like 1, 3-5 in order, each once; a range of more than RANGE is cut there, a turned one left out."""
+
+    def part(p: Column) -> Column:
+        ends = F.transform(F.split(p, "[-–]"), lambda e: F.trim(e).try_cast("int"))
+        lo, hi = F.get(ends, 0), F.coalesce(F.get(ends, 1), F.get(ends, 0))
+        fine = lo.isNotNull() & (hi >= lo) & ((F.size(ends) == 1) | F.get(ends, 1).isNotNull())
+        return F.when(fine, F.sequence(lo, F.least(F.greatest(hi, lo), lo + RANGE))).otherwise(F.array().cast("array<int>"))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(inner, ","), part))))
+
+
+def _families(authors: Column) -> Column:
+    joined = F.regexp_replace(F.regexp_replace(F.regexp_replace(authors, r"(?i)et\s+al\.?", ""), "[&;]", " and "), r"\s+", " ")
+    each = F.filter(F.transform(F.split(F.trim(joined), r"(?i)\band\b"), F.trim), lambda p: p != "")
+    first = F.transform(each, lambda p: F.get(F.split(F.trim(F.get(F.split(p, ","), 0)), " "), 0))
+    return F.array_distinct(F.transform(F.filter(first, lambda f: f != ""), family_name))
 
-    @F.arrow_udf(f"array<struct<{', '.join(p.replace(' ', ':', 1) for p in SPAN.split(', '))}>>")
-    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("raw", pa.string()), ("numbers", pa.list_(pa.int32())), ("families", pa.list_(pa.string())), ("year", pa.int32()), ("suffix", pa.string())]))
-        for b in batches:
-            yield pa.array([spans_of(t) for t in b.to_pylist()], kind)
 
-    return manuscripts.select(key, F.explode(spans(F.col(text))).alias("s")).select(key, "s.*")
+def citations(text: Column) -> Column:
+    """array of in-text citations by start and end: numbers in brackets, parentheses or superscripts, (authors, year) and Author (year), with
+    offsets in code points; of equal spans of a kind the first form counts."""
+    none, nothing = F.lit(None).cast("string"), F.array().cast("array<string>")
+    group = lambda m, p, k: F.nullif(F.trim(F.regexp_extract(m["raw"], p, k)), F.lit(""))
+
+    def form(place: int, p: str, kind: str, confidence: str, numbers, families, year, suffix, locator) -> Column:
+        def one(m: Column) -> Column:
+            end = m["start"] + F.char_length(m["raw"])
+            about = {"start": m["start"], "end": end, "place": F.lit(place), "kind": F.lit(kind), "raw": m["raw"], "numbers": numbers(m), "families": families(m)}
+            return F.struct(*[c.alias(n) for n, c in (about | {"year": year(m).try_cast("int"), "suffix": suffix(m), "locator": locator(m), "confidence": F.lit(confidence)}).items()])
+
+        return F.transform(P.places(text, p), one).cast(CITATION)
+
+    def numeric(place: int, confidence: str, p: str) -> Column:
+        found = form(place, p, "numeric", confidence, lambda m: _numbers(F.regexp_extract(m["raw"], p, 1)), lambda m: nothing, lambda m: none, lambda m: none, lambda m: group(m, p, 2) if place == 0 else none)
+        return F.filter(found, lambda c: F.size(c["numbers"]) > 0)
+
+    def dated(place: int, p: str, families, locator: int | None) -> Column:
+        found = form(place, p, "author-year", "medium", lambda m: F.array().cast("array<int>"), families, lambda m: F.regexp_extract(m["raw"], p, 2), lambda m: group(m, p, 3), lambda m: group(m, p, locator) if locator else none)
+        return F.filter(found, lambda c: F.size(c["families"]) > 0)
+
+    forms = [numeric(i, c, p) for i, (c, p) in enumerate(NUMERIC)]
+    forms.append(dated(3, PARENTHETICAL, lambda m: _families(F.regexp_extract(m["raw"], PARENTHETICAL, 1)), 4))
+    forms.append(dated(4, NARRATIVE, lambda m: F.array(family_name(F.regexp_extract(m["raw"], NARRATIVE, 1))), None))
+
+    def first_only(every: Column) -> Column:
+        same = lambda a, b: (a["kind"] == b["kind"]) & (a["start"] == b["start"]) & (a["end"] == b["end"])
+        return F.filter(every, lambda c, i: F.when(i == 0, True).otherwise(~same(F.get(every, F.greatest(i - 1, F.lit(0))), c)))
+
+    return P.let(F.array_sort(F.concat(*forms)), first_only)
+
+
+def in_text(manuscripts: DataFrame, key: str, text: str) -> DataFrame:
+    """key and one row per citation in the text; see citations()."""
+    return manuscripts.select(key, F.explode(citations(F.col(text))).alias("s")).select(key, "s.kind", "s.start", "s.end", "s.raw", "s.numbers", "s.families", "s.year", "s.suffix", "s.locator", "s.confidence")
 
 
 def paren_numbers(text: Column) -> Column:

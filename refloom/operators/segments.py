@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.places import let
+
 # Headings of reference lists, and headings that are not.
 HEADINGS = r"references?|bibliography|works?\s+cited|literature\s+cited|cited\s+references?|reference\s+list"
 HEADING_LINES = (
@@ -81,11 +83,6 @@ def is_wrapped(line: Column) -> Column:
     return (F.char_length(t) >= 12) & ~t.rlike(WRAP_STOPS) & ~is_numbered(line) & (is_marked(t) | t.rlike(r"^[a-z(]") | t.rlike(r"[;,.)]\s*$"))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with value found once: the lambda of a transform over an array of one names it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def segment(text: Column) -> Column:
     """struct(kind, start, after): where the references begin and where their text does, in code points; null if nowhere.
 
@@ -121,7 +118,7 @@ def segment(text: Column) -> Column:
         by_block = F.struct(F.lit("numbered").alias("kind"), start.cast("int").alias("start"), start.cast("int").alias("after"))
         return F.when(head.isNotNull(), by_head).when(fine, by_block)
 
-    return _let(t, lambda u: _let(F.split(u, "\n"), lambda lines: _let(F.struct(u.alias("t"), lines.alias("lines"), found(lines).alias("c")), where)))
+    return let(t, lambda u: let(F.split(u, "\n"), lambda lines: let(F.struct(u.alias("t"), lines.alias("lines"), found(lines).alias("c")), where)))
 
 
 def body_and_references(text: Column) -> Column:
@@ -132,7 +129,7 @@ def body_and_references(text: Column) -> Column:
         tail = trim(F.substring(t, at["after"] + 1, F.lit(1 << 30)))
         return F.struct(at["kind"].alias("kind"), body.alias("body"), F.when(tail != "", tail).alias("references"))
 
-    return _let(F.struct(unix_lines(text).alias("t"), segment(text).alias("at")), cut)
+    return let(F.struct(unix_lines(text).alias("t"), segment(text).alias("at")), cut)
 
 
 def trim(c: Column) -> Column:
@@ -173,10 +170,10 @@ def split_entries(references: Column) -> Column:
         authors = F.transform(F.filter(F.transform(line, lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda c: c["c"].rlike(AUTHOR)), lambda c: c["i"])
         starts = F.array_distinct(F.concat(F.array(F.lit(0)), F.when(F.size(marks) >= 2, taken).otherwise(authors)))
         ends = lambda s: F.transform(s, lambda a, k: F.struct(a.alias("a"), F.coalesce(F.get(s, k + 1), F.size(line)).alias("b")))
-        return _let(starts, lambda s: F.transform(ends(s), lambda e: F.array_join(F.slice(line, e["a"] + 1, e["b"] - e["a"]), " ")))
+        return let(starts, lambda s: F.transform(ends(s), lambda e: F.array_join(F.slice(line, e["a"] + 1, e["b"] - e["a"]), " ")))
 
     numbered = F.exists(parts, lambda p: entry_number(p).isNotNull())
-    listed = _let(lines, lambda ls: _let(F.struct(ls.alias("lines"), F.transform(ls, entry_number).alias("numbers")), by_lines))
+    listed = let(lines, lambda ls: let(F.struct(ls.alias("lines"), F.transform(ls, entry_number).alias("numbers")), by_lines))
     return F.filter(F.when((F.size(parts) >= 2) & ~numbered, parts).otherwise(listed), is_entry)
 
 
@@ -192,7 +189,7 @@ def trim_preamble(references: Column) -> Column:
         n = F.aggregate(bs, _at(0, F.lit(0)), step)["n"]
         return F.when(F.size(bs) == 0, references).otherwise(F.array_join(F.slice(bs, n + 1, F.greatest(F.size(bs), F.lit(1))), "\n\n"))
 
-    return _let(blocks, cut)
+    return let(blocks, cut)
 
 
 def _at(skip, n: Column) -> Column:

@@ -318,11 +318,6 @@ def paren_number_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.explode(manuscript.paren_numbers(F.col("text"))).alias("number"))
 
 
-@query()
-def in_text_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manuscript.in_text(_t(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 def _lines_as_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders as documents: line numbers 1 to 7 are cited and the lines there are the entries."""
     spans = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.lit(0).alias("start"), F.sequence(F.lit(1), (F.pmod("o_custkey", F.lit(5)) + 1).cast("int")).alias("numbers"))

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import segments
+from ..functions import places as P
+from ..operators import manuscript, segments
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +95,65 @@ def reference_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _with_lists(spark, sf_dir).select("doc_id", segments.body_and_references(F.col("t")).alias("s"))
     e = d.select("doc_id", F.posexplode(segments.split_entries(F.col("s.references"))).alias("pos", "entry"))
     return e.withColumn("pos", F.col("pos").cast("long"))
+
+
+_CITED = """c AS (SELECT doc_id, left(text, 60) || ' seen [' || (doc_id % 9 + 1) || ', 12-14, p. 3] and (' || (doc_id % 7) || ') by Müller (2020a) as said (Smith & Ångström-Lee, ' || (1990 + doc_id % 20) || ', p. ' || doc_id || ')<sup>7,8</sup> [9-4] (see Roe et al., 2001b). ' || substring(text, 61) AS t FROM documents WHERE doc_id IS NOT NULL)"""
+
+
+def _with_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, t: documents with citations of all forms after their first 60 characters."""
+    d, i = _t(spark, sf_dir, "documents").filter("doc_id IS NOT NULL"), F.col("doc_id")
+    mod = lambda n, add: (F.pmod(i, F.lit(n)) + add).cast("string")
+    begin = [F.left("text", F.lit(60)), " seen [", mod(9, 1), ", 12-14, p. 3] and (", mod(7, 0), ") by Müller (2020a) as said (Smith & Ångström-Lee, ", mod(20, 1990), ", p. ", i.cast("string")]
+    parts = [*begin, ")<sup>7,8</sup> [9-4] (see Roe et al., 2001b). ", F.substring("text", 61, 1 << 30)]
+    return d.select("doc_id", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("t"))
+
+
+_LISTED = r"\s*\d+(?:\s*[-–]\s*\d+)?(?:\s*,\s*\d+(?:\s*[-–]\s*\d+)?)*"
+_FORMS = {
+    0: rf"\[({_LISTED})\s*(?:,\s*([^\]]{{1,30}}))?\]",
+    1: rf"\(({_LISTED})\s*\)",
+    2: rf"<sup>({_LISTED})</sup>",
+    3: r"(?i)\(([^()]{2,80}?)\s*,\s*(\d{4})([a-z])?(?:\s*,\s*([^)]{1,30}))?\)",
+    4: r"(?i)([A-Z][\p{L}''’-]+)\s*\((\d{4})([a-z])?\)",
+}
+
+
+def _form_sql(k: int) -> str:
+    """Matches of a form with offsets: the lengths of what the text splits into and of the matches before."""
+    p, name = _FORMS[k], r"regexp_replace(strip_accents(lower({0})), '[^a-z0-9''’-]+', '', 'g')"
+    inner = f"regexp_extract(raw, '{p}', 1)"
+    ends = f"list_transform(string_split({inner}, ','), lambda x: list_transform(string_split_regex(x, '[-–]'), lambda y: trim(y)::INT))"
+    numbers = f"list_sort(list_distinct(flatten(list_transform({ends}, lambda e: range(e[1], e[-1] + 1)))))"
+    joined = rf"regexp_replace(regexp_replace({inner}, '(?i)et\s+al\.?', '', 'g'), '[&;]', ' and ', 'g')"
+    authors = rf"list_filter(list_transform(string_split_regex({joined}, '(?i)\band\b'), lambda a: string_split(trim(string_split(trim(a), ',')[1]), ' ')[1]), lambda a: a <> '')"
+    families = {3: f"list_transform({authors}, lambda a: {name.format('a')})", 4: f"[{name.format(inner)}]"}.get(k, "[]::VARCHAR[]")
+    year, suffix = (f"regexp_extract(raw, '{p}', 2)::INT", f"nullif(regexp_extract(raw, '{p}', 3), '')") if k > 2 else ("NULL::INT", "NULL::VARCHAR")
+    locator = f"nullif(trim(regexp_extract(raw, '{p}', {2 if k == 0 else 4})), '')" if k in (0, 3) else "NULL::VARCHAR"
+    return f"""SELECT doc_id, {k} AS form, raw, start, {numbers if k < 3 else "[]"}::INT[] AS numbers, {families} AS families, {year} AS year, {suffix} AS suffix, {locator} AS locator FROM (
+SELECT doc_id, m[j] AS raw, (list_sum(list_transform(s[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0))::INT AS start FROM (
+SELECT doc_id, m, s, unnest(range(1, len(m) + 1)) AS j FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS s FROM c)))"""
+
+
+@query(
+    f"WITH {_CITED}, f AS ("
+    + " UNION ALL ".join(map(_form_sql, _FORMS))
+    + """) SELECT doc_id, CASE WHEN form < 3 THEN 'numeric' ELSE 'author-year' END AS kind, start, (start + length(raw))::INT AS "end", raw,
+array_to_string(numbers, ',') AS numbers, array_to_string(families, ',') AS families, year, suffix, locator, CASE WHEN form < 2 THEN 'high' ELSE 'medium' END AS confidence FROM f
+WHERE form < 3 AND len(numbers) > 0 OR form > 2 AND len(families) > 0"""
+)
+def in_text_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All citations of the documents, with places that are exact slices of the text."""
+    s = manuscript.in_text(_with_citations(spark, sf_dir), "doc_id", "t")
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return s.select("doc_id", "kind", "start", "end", "raw", joined("numbers"), joined("families"), "year", "suffix", "locator", "confidence")
+
+
+def citation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passage of 300 characters at most about every citation.  Sentences and words cut by rule: held against plain Python in the tests."""
+    d = _with_citations(spark, sf_dir)
+    each = d.select("doc_id", "t", F.explode(manuscript.citations(F.col("t"))).alias("c"))
+    return each.select("doc_id", F.col("c.start").alias("at"), P.passage(F.col("t"), F.col("c.start"), F.col("c.end"), 300).alias("w")).select("doc_id", "at", "w.*")
+
+
+QUERIES["citation_windows"] = citation_windows
