@@ -44,29 +44,62 @@ def trimmed(text: Column, start: Column, end: Column) -> Column:
     return F.struct(F.least(start + left, end).cast("int").alias("start"), F.greatest(end - right, F.least(start + left, end)).cast("int").alias("end"))
 
 
-def sentence_ranges(text: Column, start: Column, end: Column) -> Column:
-    """array<struct<start, end>> of the sentences of a part of a text; what follows the last full stop is one too."""
-    part = cut(text, start, end)
+def _sentences(part: Column, zero: Column, step) -> Column:
+    """Folds step(state, start, end) over a text's sentences, from pieces and their ends, so that the text is read once.  The state has `at`, where the
+    next piece begins.  What follows the last full stop is a sentence too; blank ones are passed over."""
+
+    def fold(x: Column) -> Column:
+        ends = F.array_append(x["raw"], F.lit(""))
+        pieces = F.zip_with(x["pieces"], ends, lambda p, r: F.struct(p.alias("p"), r.alias("r")))
+
+        def each(s: Column, x: Column) -> Column:
+            whole = F.concat(x["p"], x["r"])
+            n = F.char_length(whole)
+            first = s["at"] + n - F.char_length(F.regexp_replace(whole, r"^\s+", ""))
+            last = s["at"] + F.char_length(F.regexp_replace(whole, r"\s+$", ""))
+            moved = lambda c: c.withField("at", s["at"] + n)
+            return let(F.struct(first.alias("a"), last.alias("b")), lambda r: F.when(r["b"] > r["a"], moved(step(s, r["a"], r["b"]))).otherwise(moved(s)))
+
+        return F.aggregate(pieces, zero, each)
+
+    return let(F.struct(F.split(part, SENTENCE_END, -1).alias("pieces"), F.regexp_extract_all(part, F.lit(SENTENCE_END), 0).alias("raw")), fold)
+
+
+def sentence_ranges(text: Column) -> Column:
+    """array<struct<start, end>> of a text's sentences."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
+    return _sentences(text, zero, lambda s, a, b: F.struct(s["at"].alias("at"), F.array_append(s["found"], F.struct(a.alias("start"), b.alias("end"))).alias("found")))["found"]
 
-    def ranges(ends: Column) -> Column:
-        all_ends = F.concat(F.transform(ends, lambda m: start + m["start"] + F.char_length(m["raw"])), F.array(end))
-        pair = lambda e, i: trimmed(text, F.when(i == 0, start).otherwise(F.get(all_ends, i - 1)), e)
-        return F.filter(F.transform(all_ends, pair), lambda r: r["end"] > r["start"])
 
-    return let(places(part, SENTENCE_END), ranges)
+def overlaps(a: Column, b: Column, start: Column, end: Column) -> Column:
+    """Whether a span overlaps a range, or a point lies in it or at its ends."""
+    return F.when(start == end, (start >= a) & (start <= b)).otherwise((start < b) & (end > a))
 
 
 def sentence_at(sentences: Column, start: Column, end: Column) -> Column:
-    """The number, from 0, of the first sentence that a span overlaps, or that a point lies in or at; null if none."""
-    hit = lambda s: F.when(start == end, (start >= s["start"]) & (start <= s["end"])).otherwise((start < s["end"]) & (end > s["start"]))
-    return F.array_min(F.transform(F.filter(F.transform(sentences, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: hit(x["s"])), lambda x: x["i"]))
+    """The number, from 0, of the first sentence that a span overlaps; null if none."""
+    numbered = F.transform(sentences, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
+    return F.array_min(F.transform(F.filter(numbered, lambda x: overlaps(x["s"]["start"], x["s"]["end"], start, end)), lambda x: x["i"]))
+
+
+def _around(part: Column, start: Column, end: Column) -> Column:
+    """struct(first, last): from the sentence before the first one that a span overlaps to the sentence after it; nulls if there is none."""
+    names = ("at", "before", "first", "last", "after")
+    zero = F.struct(F.lit(0).alias("at"), *[F.lit(None).cast("int").alias(n) for n in names[1:]])
+
+    def step(s: Column, a: Column, b: Column) -> Column:
+        found = s["last"].isNotNull()
+        hit = ~found & overlaps(a, b, start, end)
+        new = (s["at"], F.when(found, s["before"]).otherwise(a), F.when(hit, F.coalesce(s["before"], a)).otherwise(s["first"]), F.when(hit, b).otherwise(s["last"]), F.when(found, F.coalesce(s["after"], b)))
+        return F.struct(*[c.cast("int").alias(n) for n, c in zip(names, new, strict=True)])
+
+    return let(_sentences(part, zero, step), lambda s: F.struct(s["first"].alias("first"), F.coalesce(s["after"], s["last"]).alias("last")))
 
 
 def paragraph(text: Column, start: Column, end: Column) -> Column:
     """struct(start, end) of the paragraph about a span: between the last empty line before it and the first after it."""
-    before, after = places(F.left(text, start), EMPTY_LINE), places(F.substring(text, end + 1, F.lit(1 << 30)), EMPTY_LINE)
-    a = let(before, lambda b: F.when(F.size(b) > 0, F.element_at(b, -1)["start"] + F.char_length(F.element_at(b, -1)["raw"])).otherwise(0))
-    b = let(after, lambda m: F.when(F.size(m) > 0, end + F.get(m, 0)["start"]).otherwise(F.char_length(text)))
+    a = let(places(F.left(text, start), EMPTY_LINE), lambda b: F.when(F.size(b) > 0, F.element_at(b, -1)["start"] + F.char_length(F.element_at(b, -1)["raw"])).otherwise(0))
+    b = let(F.regexp_instr(F.substring(text, end + 1, F.lit(1 << 30)), F.lit(EMPTY_LINE)), lambda at: F.when(at > 0, end + at - 1).otherwise(F.char_length(text)))
     return let(F.struct(a.alias("a"), b.alias("b")), lambda x: trimmed(text, x["a"], x["b"]))
 
 
@@ -103,15 +136,8 @@ def passage(text: Column, start: Column, end: Column, most: int = 1500) -> Colum
         t, a, b = x["t"], x["a"], x["b"]
 
         def within(p: Column) -> Column:
-            def pick(s: Column) -> Column:
-                def chosen(i: Column) -> Column:
-                    first = F.when(i.isNull(), p["start"]).otherwise(F.get(s, F.greatest(i - 1, F.lit(0)))["start"])
-                    last = F.when(i.isNull(), p["end"]).otherwise(F.get(s, F.least(i + 1, F.size(s) - 1))["end"])
-                    return let(F.struct(first.alias("f"), last.alias("l")), lambda y: fitted(t, y["f"], y["l"], a, b, most))
-
-                return let(sentence_at(s, a, b), chosen)
-
-            return let(sentence_ranges(t, p["start"], p["end"]), pick)
+            first, last = (lambda y: F.coalesce(p["start"] + y["first"], p["start"])), (lambda y: F.coalesce(p["start"] + y["last"], p["end"]))
+            return let(_around(cut(t, p["start"], p["end"]), a - p["start"], b - p["start"]), lambda y: fitted(t, first(y), last(y), a, b, most))
 
         return let(let(paragraph(t, a, b), within), lambda r: F.struct(cut(t, r["start"], r["end"]).alias("text"), r["start"].alias("start"), r["end"].alias("end")))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from ..functions import identifiers as I
 from ..functions import text as X
+from .joins import containing
 
 FUZZY = 0.92
 STRENGTH = {"issn": 104, "name": 103, "publisher": 2, "fuzzy-name": 1}
@@ -65,16 +67,20 @@ def flags(items: DataFrame, journals: DataFrame, publishers: DataFrame, fuzzy: f
 
 
 def abbreviation(items: DataFrame, journals: DataFrame) -> DataFrame:
-    """items: id, container_title, ISSN.  id, abbr: by ISSN, else by name or abbreviation, else by the longest listed name that
-    one contains the other of."""
+    """items: id, container_title, ISSN; journals: ord, name, abbr, issn.  id, abbr: by ISSN, else by name or abbreviation, else by the longest listed
+    name of which one contains the other, found by their rarest parts."""
     c = F.col
     it = items.select("id", X.normalize(c("container_title")).alias("n"), F.get(I.issn(c("ISSN")), 0).alias("i"))
     j = journals.select("ord", "abbr", X.normalize(c("name")).alias("jn"), X.normalize(c("abbr")).alias("ja"), F.transform("issn", lambda x: F.regexp_replace(F.upper(x), "[^0-9X]", "")).alias("issns"))
     one = lambda d, k: d.groupBy(k).agg(F.min_by("abbr", "ord").alias("abbr"))
     a = it.join(small(one(j.withColumn("i", F.explode("issns")), "i").withColumnRenamed("abbr", "a1")), "i", "left")
     a = a.join(small(one(j.select("ord", "abbr", F.explode(F.array("jn", "ja")).alias("n")), "n").withColumnRenamed("abbr", "a2")), "n", "left")
-    rest = a.filter("a1 IS NULL AND a2 IS NULL AND n != ''").select("id", "n").join(small(j), c("n").contains(c("jn")) | c("jn").contains(c("n")))
-    best = rest.groupBy("id").agg(F.min_by("abbr", F.struct(-F.char_length("jn"), "ord")).alias("a3"))
+    rest = written(a.filter("a1 IS NULL AND a2 IS NULL AND n != ''").select("id", "n"), "unlisted")
+    listed = written(j.select("ord", "abbr", "jn").filter("jn != ''"), "listed")
+    item, name = rest.select(c("id").alias("a"), c("n").alias("x")), listed.select(c("ord").alias("b"), c("jn").alias("y"))
+    inside = containing(item, name).select(c("a").alias("id"), c("b").alias("ord"))
+    around = containing(name.select(c("b").alias("a"), c("y").alias("x")), item.select(c("a").alias("b"), c("x").alias("y"))).select(c("b").alias("id"), c("a").alias("ord"))
+    best = inside.union(around).join(small(listed), "ord").groupBy("id").agg(F.min_by("abbr", F.struct(-F.char_length("jn"), "ord")).alias("a3"))
     return a.join(best, "id", "left").select("id", F.coalesce("a1", "a2", "a3").alias("abbr"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import places as P
-from ..operators import manuscript, segments
+from ..operators import joins, listings, manuscript, segments
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +157,41 @@ def citation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["citation_windows"] = citation_windows
+
+
+@query(
+    """WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE doc_id IS NOT NULL), p AS (SELECT doc_id, unnest(range(0, n, 400)) AS a, n FROM d), g AS (SELECT doc_id, a // 400 + 1 AS page, a, least(a + CASE WHEN a // 400 % 7 = 3 THEN 0 ELSE 400 END, n) AS b FROM p),
+s AS (SELECT doc_id, unnest([0, 1, 2, 3]) AS span, unnest([doc_id * 37 % (n + 1), 0, 5, 1200]) AS a, unnest([doc_id * 37 % (n + 1) + doc_id % 900, n, 5, 1201]) AS b FROM d),
+h AS (SELECT s.doc_id, span, min(page) AS lo, max(page) AS hi FROM s JOIN g ON s.doc_id = g.doc_id AND g.b > s.a AND g.a < s.b AND s.b > s.a GROUP BY ALL)
+SELECT doc_id, span, CASE WHEN lo = hi THEN 'p. ' || lo ELSE 'pp. ' || lo || '-' || hi END AS hint FROM h"""
+)
+def span_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of four spans of each document: a short one, the whole text, an empty one and one character.  Pages hold 400 characters; some are blank."""
+    d = _t(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.char_length("text").cast("long").alias("n"))
+    a = F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(400).cast("long"))).otherwise(F.array().cast("array<long>")))
+    page = F.floor(F.col("range_start") / 400)
+    pages = d.select("doc_id", "n", a.alias("range_start")).select("doc_id", (page + 1).alias("page"), "range_start", F.least(F.col("range_start") + F.when(page % 7 == 3, 0).otherwise(400), F.col("n")).alias("range_end"))
+    first = F.pmod(F.col("doc_id") * 37, F.col("n") + 1)
+    four = [(0, first, first + F.pmod("doc_id", F.lit(900))), (1, F.lit(0), F.col("n")), (2, F.lit(5), F.lit(5)), (3, F.lit(1200), F.lit(1201))]
+    spans = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("span"), x.cast("long").alias("span_start"), y.cast("long").alias("span_end")) for i, x, y in four])).alias("s")).select("doc_id", "s.*")
+    return joins.page_hints(spans, pages, "doc_id", "span")
+
+
+_CONTAINER = "CASE doc_id % 4 WHEN 0 THEN 'Journal of ' || p_name || ' ' || lang WHEN 1 THEN left(p_name, 5 + (doc_id % 3)::INT) WHEN 2 THEN 'x' || substring(p_name, 2) || ', ' || p_name || 's' ELSE left(text, 30) END"
+
+
+@query(
+    rf"""WITH j AS (SELECT min(p_partkey) AS ord, p_name AS name, 'abbr. ' || min(p_partkey) AS abbr FROM part GROUP BY p_name),
+p AS (SELECT p_partkey, p_name FROM part), i AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower({_CONTAINER}), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS n FROM documents JOIN p ON p_partkey = doc_id % 40),
+x AS (SELECT doc_id, abbr, CASE WHEN n = name THEN 0 ELSE 1 END AS step, name, ord FROM i JOIN j ON n <> '' AND (contains(n, name) OR contains(name, n)))
+SELECT doc_id AS id, b.abbr FROM i LEFT JOIN (SELECT doc_id, arg_min(abbr, (step, -length(name), ord)) AS abbr FROM x GROUP BY 1) b USING (doc_id)"""
+)
+def abbreviation_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abbreviations of the containers of documents, which hold a part's name, are a piece of one, or neither."""
+    p, k = _t(spark, sf_dir, "part"), F.pmod("doc_id", F.lit(4))
+    j = p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord")).select("ord", "name", F.concat(F.lit("abbr. "), F.col("ord").cast("string")).alias("abbr"), F.array().cast("array<string>").alias("issn"))
+    d = _t(spark, sf_dir, "documents").join(p.select("p_partkey", "p_name"), F.pmod("doc_id", F.lit(40)) == F.col("p_partkey"))
+    name = F.col("p_name")
+    c = F.when(k == 0, F.concat(F.lit("Journal of "), name, F.lit(" "), "lang")).when(k == 1, F.left(name, (5 + F.pmod("doc_id", F.lit(3))).cast("int")))
+    c = c.when(k == 2, F.concat(F.lit("x"), F.substring(name, 2, 1000), F.lit(", "), name, F.lit("s"))).otherwise(F.left("text", F.lit(30)))
+    return listings.abbreviation(d.select(F.col("doc_id").alias("id"), c.alias("container_title"), F.lit(None).cast("string").alias("ISSN")), j)
