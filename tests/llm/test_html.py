@@ -1,6 +1,7 @@
 """HTML extraction against a naive merged tree built with the standard library's parser."""
 
 import math
+import time
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
@@ -138,3 +139,33 @@ def test_very_long_page(spark):
     long = "<article>" + "<p>some words here</p>" * 100_000 + "</article>"
     got = _got(spark, [(1, "http://a.org", long), (2, "http://a.org", "<article>" + "w " * 1_000_000 + "</article>")]).collect()
     assert sorted(r["n_chars"] for r in got) == [100_000 * 16 - 1, 1_999_999]
+
+
+def _blocks(source):
+    return [(n.noise, s) for n, s in H.parse(source)[1]]
+
+
+def test_names_that_only_mention_noise():
+    for source in (
+        '<div class="has-sidebar"><article>One two</article></div>',
+        '<body class="post ad-free"><p>One two</p></body>',
+        '<article class="post has-comments">One two</article>',
+        '<section class="social-science">One two</section>',
+        '<article><h2 id="related-work">One two</h2></article>',
+        '<p>One <a class="skip-link">two</a></p>',
+    ):
+        assert _blocks(source) == [(False, "One two")], source
+    for source in ('<div class="sidebar-left">x</div>', '<div id="cookieNotice">x</div>', '<ul class="related-posts">x</ul>', '<div class="post-comments">x</div>', '<div class="nav">x</div>', '<article class="comment">x</article>'):
+        assert _blocks(source) == [(True, "x")], source
+
+
+def test_inline_elements_do_not_split_blocks():
+    assert _blocks('<p>See <a class="skip-link">this</a> and <b>more</b>.</p>') == [(False, "See this and more.")]
+    assert _blocks('<a class="skip-link">Skip</a>Text <i>here</i><p>x</p>') == [(True, "Skip"), (False, "Text here"), (False, "x")]
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<p x='", "<", "<!", "<!--", "</", '<a ">', "<a '\">", "<a"])
+def test_broken_markup_takes_linear_time(unit):
+    began = time.process_time()
+    H.parse(unit * 200_000)
+    assert time.process_time() - began < 5
