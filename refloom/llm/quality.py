@@ -203,10 +203,11 @@ def site_posteriors(docs: DataFrame, labels: DataFrame, host: str, path: str) ->
 
 def _sample(docs: DataFrame, labels: DataFrame, text: str, rows: int) -> DataFrame:
     """text, half (0 or 1), toxic, low of about rows labelled documents at most; copies and near copies, found by two minimal hashes
-    of word shingles, count once, so that a copied document's words don't become evidence."""
+    of word shingles, count once, so that a copied document's words don't become evidence.  Of several rows of one doc_id the smallest text counts."""
     n = labels.count()
     part = labels if n <= rows else labels.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    d = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(part), "doc_id")  # at most about rows rows are broadcast
+    once_each = lambda p: docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(p.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    d = once_each(part)  # at most about rows rows are broadcast
 
     def lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -220,7 +221,7 @@ def _sample(docs: DataFrame, labels: DataFrame, text: str, rows: int) -> DataFra
     first = lambda c: F.min("doc_id").over(Window.partitionBy(c)) == F.col("doc_id")  # noqa: E731  of the sample's rows
     once = m.withColumn("f1", first("m1")).withColumn("f2", first("m2")).filter("f1 and f2").select("doc_id").distinct()
     part = part.join(once, "doc_id").checkpoint()
-    d = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(part), "doc_id")
+    d = once_each(part).join(F.broadcast(part), "doc_id")
     half = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(2)).cast("int")
     return d.select("text", half.alias("half"), *FAULTS).checkpoint()
 
@@ -284,13 +285,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     Adds _toxic and _low, the posterior probabilities of the faults, and _keep: neither reaches one half.  Every row of docs
     is judged on its whole text.  Without labels nothing is rejected but for priors (all shares 1/1000).  A null or
     wordless text has shape evidence only; a null host or path is a site of its own; repeated rows are judged alike; empty
-    in, empty out.
+    in, empty out.  Other columns of docs may have any name; those named like added ones are replaced.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     marks = document_labels(labels)
-    sites, overall = site_posteriors(docs, marks, host, path)
-    found = fit(docs, marks, rows=rows)
-    kept = [c for c in docs.columns if c not in ("_toxic", "_low", "_keep")]
+    sites, overall = site_posteriors(docs.select(*{c: None for c in ("doc_id", host, path)}), marks, host, path)
+    found = fit(docs.select("doc_id", "text"), marks, rows=rows)
+    kept = [c for c in docs.columns if c.lower() not in ("_toxic", "_low", "_keep")]
 
     @F.arrow_udf("struct<toxic:double,low:double>")
     def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -300,11 +301,11 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
         give_back()
 
     sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
-    d = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("_evidence", evidence(F.col("text")))
-    d = d.join(sites, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")), "left")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row")).withColumn("_evidence", evidence(F.col("_row.text")))
+    d = d.join(sites, F.col(f"_row.`{host}`").eqNullSafe(F.col("_host")) & F.col(f"_row.`{path}`").eqNullSafe(F.col("_path")), "left")
     chance = lambda f: 1 / (1 + F.exp(-(F.col(f"_evidence.{f}") + F.coalesce(f"site_{f}", F.lit(math.log(overall[f] / (1 - overall[f])))))))
     d = d.withColumn("_toxic", chance("toxic")).withColumn("_low", chance("low"))
-    return d.withColumn("_keep", (F.col("_toxic") < 0.5) & (F.col("_low") < 0.5)).select(*[F.col(f"`{c}`") for c in kept], "_toxic", "_low", "_keep")
+    return d.withColumn("_keep", (F.col("_toxic") < 0.5) & (F.col("_low") < 0.5)).select("_row.*", "_toxic", "_low", "_keep")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
-from refloom.llm import quality, url_filter
+from refloom.llm import quality, suffix_dedup, url_filter
 
 
 def strength(level):
@@ -103,3 +104,22 @@ def test_reader_starts_anew_when_full(monkeypatch):
         other, form2 = quality.Reader().read(text)
         assert sorted(map(tuple, words)) == sorted(map(tuple, other)) and list(form) == list(form2)
     assert len(fresh.read("Trash! trash trash")[0]) == 1
+
+
+def test_columns_with_names_that_the_operators_use(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    names = ["_host", "_path", "site_toxic", "_evidence", "_row", "_block", "_kept", "_starts", "half", "m1"]
+    wide = docs.selectExpr("*", *[f"{i} AS {n}" for i, n in enumerate(names)])
+    got = quality.classify(wide, labels)
+    assert got.columns == [*wide.columns, "_toxic", "_low", "_keep"] and got.count() == 60
+    plain = {r["doc_id"]: r["_toxic"] for r in quality.classify(docs, labels).collect()}
+    assert {r["doc_id"]: r["_toxic"] for r in got.collect()} == pytest.approx(plain)
+    cut = suffix_dedup.cut_repeats(wide)
+    assert cut.count() == 60 and set(docs.columns) <= set(cut.columns)
+
+
+def test_sample_of_one_repeated_id(spark):
+    docs = spark.range(5000).selectExpr("1L AS doc_id", "concat('text ', id % 7) AS text")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, toxic int, low int")
+    assert [r["text"] for r in quality._sample(docs, labels, "text", quality.TRAIN_ROWS).collect()] == ["text 0"]
