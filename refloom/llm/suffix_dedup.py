@@ -525,8 +525,10 @@ def cut_repeats(docs: DataFrame, threshold: int = THRESHOLD, block_bytes: int =
 
     A byte goes if a string of threshold bytes covers it that also starts earlier: in a smaller doc_id, or earlier in
     the same document.  Rows of one doc_id are ordered by text, so that of repeated rows the first stays; null ids come
-    last.  Null texts count as empty; texts shorter than the threshold stay whole; an empty table gives an empty result.
+    last.  Null texts count as empty; texts shorter than the threshold stay whole; an empty table gives an empty result.  Columns of docs
+    with the names of added ones, or _block, are replaced or go.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("_block", "_n_bytes", "_starts", "_ends", "_kept")])
     blocked, spans = repeated_spans(docs, threshold, block_bytes, hot)
     add = {"_n_bytes": pa.int64(), "_starts": pa.list_(pa.int64()), "_ends": pa.list_(pa.int64()), "_kept": pa.string() if as_text else pa.binary()}
 
