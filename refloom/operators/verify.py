@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from ..functions import text as X
 from ..schema import is_blank
 
@@ -68,3 +69,27 @@ def priority(items: DataFrame, odd_year: Column, limit: int = LIMIT) -> DataFram
 
 def integrity_risk(status: Column) -> Column:
     return F.when(status == "fail", "high").when(status.isin("warn", "insufficient"), "medium").when(status == "pass", "low").otherwise("unknown")
+
+
+def unified(items: DataFrame, check, fields: list[str], odd_year: Column, limit: int | None = LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Checks items, patches what may be patched and checks again.  Returns the patched items, the differences that remain, and citation_id, verdict of
+    all that were checked, as the later check has it.
+
+    check: from items to mismatches with anchor, see mismatches() and held(); it should keep the ids and read its records once.  Only the first `limit` rows by
+    priority are checked each time, all if it is None.  All differences of a row whose title is of another work are held and never patched; they
+    remain as the first check found them.  Each check is written once, so that it is one scan of items and records.
+    """
+    chosen = lambda d: priority(d, odd_year, limit) if limit is not None else d
+    once = chosen(items)
+    first = written(held(check(once)), "first-check")
+    loose = first.filter("NOT held")
+    patches = loose.select(F.monotonically_increasing_id().alias("ord"), F.col("citation_id").alias("id"), F.regexp_replace("field", "-", "_").alias("field"), F.col("canonical_value").alias("value"))
+    patched = apply_patches(items, patches, fields)
+    again = chosen(patched)
+    second = written(check(again), "second-check")
+    kept = first.filter("held").drop("held")
+    conflicts = kept.select("citation_id").distinct()
+    remaining = kept.unionByName(second.join(conflicts, "citation_id", "left_anti"))
+    late, early = verdict(again.select("id"), second), verdict(once.select("id"), first)
+    layers = early.join(late.withColumnRenamed("verdict", "late"), "citation_id", "full").select("citation_id", F.coalesce("late", "verdict").alias("verdict"))
+    return patched, remaining, layers

@@ -299,6 +299,29 @@ def mismatch_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.verdict(o, verify.mismatches(_compared(spark, sf_dir)))
 
 
+@query(
+    _FOUND
+    + """, h AS (SELECT DISTINCT citation_id FROM m WHERE field = 'title'), r AS (SELECT citation_id, count(*) AS remaining FROM m WHERE citation_id IN (FROM h) GROUP BY 1)
+SELECT u.citation_id, CASE WHEN h.citation_id IS NULL THEN c.year ELSE u.year END AS year, CASE WHEN h.citation_id IS NULL THEN c.volume ELSE u.volume END AS volume, coalesce(remaining, 0) AS remaining, CASE WHEN h.citation_id IS NULL THEN 'pass' ELSE 'fail' END AS verdict
+FROM u JOIN c USING (citation_id) LEFT JOIN h USING (citation_id) LEFT JOIN r USING (citation_id)"""
+)
+def verify_and_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders checked, patched where no other work is meant, and checked again; all rows, without a limit."""
+    both = _compared(spark, sf_dir)
+    user = {c: c.removeprefix("user_") for c in both.columns if c.startswith("user_")}
+    records = both.select("citation_id", *[c for c in both.columns if c.startswith("canonical_")])
+    items = both.select(F.col("citation_id").alias("id"), F.col("citation_id").alias("ord"), *[F.col(a).alias(b) for a, b in user.items()], *[F.lit(None).cast("string").alias(c) for c in ("DOI", "PMID", "PMCID")])
+
+    def check(d: DataFrame) -> DataFrame:
+        pairs = d.select(F.col("id").alias("citation_id"), *[F.col(b).alias(a) for a, b in user.items()]).join(records, "citation_id")
+        return verify.mismatches(pairs).withColumn("anchor", F.lit(None).cast("string"))
+
+    patched, remaining, layers = verify.unified(items, check, ["title", "year", "volume", "page"], F.lit(False), None)
+    left = remaining.groupBy("citation_id").agg(F.count("*").alias("remaining"))
+    out = patched.select(F.col("id").alias("citation_id"), "year", "volume").join(left, "citation_id", "left").join(layers, "citation_id")
+    return out.select("citation_id", "year", "volume", F.coalesce("remaining", F.lit(0)).alias("remaining"), "verdict")
+
+
 @query(
     """WITH l AS (SELECT l_orderkey AS id, l_linenumber, l_partkey, l_suppkey, l_quantity, unnest([{'f': 'o_orderstatus', 'v': CASE WHEN l_linenumber % 3 = 0 THEN '(missing)' ELSE l_returnflag END}, {'f': 'o_orderpriority', 'v': l_linestatus}]) AS x FROM lineitem),
 p AS (SELECT id, x.f AS f, arg_max(x.v, l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey + l_quantity / 100) AS v FROM l WHERE trim(x.v) NOT IN ('', '(missing)') GROUP BY ALL)

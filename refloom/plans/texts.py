@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import places as P
 from ..operators import joins, listings, manuscript, segments
+from ..sources import jsonld
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -195,3 +196,48 @@ def abbreviation_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.when(k == 0, F.concat(F.lit("Journal of "), name, F.lit(" "), "lang")).when(k == 1, F.left(name, (5 + F.pmod("doc_id", F.lit(3))).cast("int")))
     c = c.when(k == 2, F.concat(F.lit("x"), F.substring(name, 2, 1000), F.lit(", "), name, F.lit("s"))).otherwise(F.left("text", F.lit(30)))
     return listings.abbreviation(d.select(F.col("doc_id").alias("id"), c.alias("container_title"), F.lit(None).cast("string").alias("ISSN")), j)
+
+
+_LD = {
+    0: """<script type="application/ld+json">{"@type":"WebPage","name":"Site page","publisher":{"name":" Pub "}}</script><SCRIPT id=x type='application/ld+json'>[{"@graph":[{"@type":"NewsArticle","headline":"Head <b>of</b> it","author":[{"@type":"Person","name":"Ann Bo"},{"@type":"Organization","name":"Org"}],"datePublished":"2019-05-01","identifier":["x","doi:10.1234/p.1"]}]}]</SCRIPT>""",
+    1: """<script type="application/ld+json">{"@type": </script><script type="application/ld+json">{"@type":"http://schema.org/Article","name":"Tee","creator":"Cy Do","dateModified":"updated in 2011","publisher":"Name"}</script>""",
+    2: """<script type="application/ld+json">{broken}</script><script type="application/ld+json"> </script>""",
+    4: """<script type="application/ld+json">[[{"@type":"Report","headline":"R","sourceOrganization":{"name":"Second"}},{"@type":["Thing","ScholarlyArticle"],"headline":" ","name":"N","publisher":"First"}],7,{"@type":"BlogPosting","author":[{"givenName":"A","familyName":"B"},{"familyName":"C"}],"dateCreated":"2001"}]</script>""",
+}
+_LD_SQL = "CASE page_id % 5 " + " ".join(f"WHEN {k} THEN $ld${v}$ld$" for k, v in _LD.items()) + " ELSE '' END"
+
+
+def _ld_text(path: str) -> str:
+    return f"CASE WHEN json_type(v, '{path}') = 'VARCHAR' THEN nullif(trim(json_extract_string(v, '{path}')), '') END"
+
+
+_LD_NAMES = """list_filter(list_transform(CASE json_type(v, '$.{0}') WHEN 'ARRAY' THEN json_extract(v, '$.{0}[*]') ELSE [json_extract(v, '$.{0}')] END, lambda p: CASE WHEN json_type(p) = 'VARCHAR' THEN nullif(trim(json_extract_string(p, '$')), '')
+  WHEN json_type(p) = 'OBJECT' AND NOT contains(lower(coalesce(json_extract_string(p, '$."@type"'), '')), 'organization') THEN coalesce(nullif(trim(json_extract_string(p, '$.name')), ''), nullif(concat_ws(' ', nullif(trim(json_extract_string(p, '$.givenName')), ''), nullif(trim(json_extract_string(p, '$.familyName')), '')), '')) END), lambda n: n IS NOT NULL)"""
+
+
+@query(
+    rf"""WITH RECURSIVE b AS (SELECT page_id, unnest(regexp_extract_all(html || {_LD_SQL}, '(?is)<script[^>]*type=["'']application/ld\+json["''][^>]*>(.*?)</script>', 1)) AS raw, unnest(range(0, len(regexp_extract_all(html || {_LD_SQL}, '(?is)<script[^>]*type=["'']application/ld\+json["''][^>]*>(.*?)</script>', 1)))) AS k FROM pages WHERE page_id IS NOT NULL),
+r AS (SELECT page_id, [k] AS path, trim(raw)::JSON AS v FROM b WHERE trim(raw) <> '' AND json_valid(trim(raw))),
+o(page_id, path, v, fin) AS (SELECT page_id, path, v, false FROM r UNION ALL SELECT page_id, list_append(path, i), w, false FROM (SELECT page_id, path, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') ELSE json_extract(v, '$."@graph"[*]') END) AS w,
+  unnest(range(0, len(CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') ELSE json_extract(v, '$."@graph"[*]') END))) AS i FROM o WHERE json_type(v) = 'ARRAY' OR json_type(v, '$."@graph"') = 'ARRAY')),
+n AS (SELECT page_id, path, v FROM o WHERE json_type(v) = 'OBJECT' AND json_type(v, '$."@graph"') IS DISTINCT FROM 'ARRAY'),
+t AS (SELECT *, list_max(list_transform(CASE WHEN json_type(v, '$."@type"') = 'ARRAY' THEN json_extract_string(v, '$."@type"[*]') ELSE [json_extract_string(v, '$."@type"')] END, lambda x: CASE regexp_replace(lower(coalesce(x, '')), '^https?://schema\.org/', '') WHEN 'scholarlyarticle' THEN 5 WHEN 'newsarticle' THEN 5 WHEN 'article' THEN 4 WHEN 'blogposting' THEN 3 WHEN 'webpage' THEN 2 WHEN 'medicalwebpage' THEN 2 WHEN 'report' THEN 1 ELSE 0 END)) AS rank,
+  nullif(trim(regexp_replace(regexp_replace(coalesce({_ld_text('$.headline')}, {_ld_text('$.name')}), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '') AS title,
+  CASE WHEN len({_LD_NAMES.format('author')}) > 0 THEN {_LD_NAMES.format('author')} ELSE {_LD_NAMES.format('creator')} END AS authors,
+  coalesce({_ld_text('$.datePublished')}, {_ld_text('$.dateCreated')}, {_ld_text('$.dateModified')}) AS d,
+  nullif(regexp_extract(array_to_string(CASE WHEN json_type(v, '$.identifier') = 'ARRAY' THEN json_extract_string(v, '$.identifier[*]') ELSE [json_extract_string(v, '$.identifier')] END, ' '), '(?i)\b(10\.\d{{4,}}/[^\s,;)}}\]"]+)', 1), '') AS doi,
+  coalesce({_ld_text('$.publisher')}, {_ld_text('$.publisher.name')}, {_ld_text('$.sourceOrganization')}, {_ld_text('$.sourceOrganization.name')}) AS site FROM n),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, path) AS i, coalesce(nullif(regexp_extract(d, '^(\d{{4}})', 1), ''), nullif(regexp_extract(d, '\b((?:19|20)\d{{2}})\b', 1), ''))::INT AS year FROM t),
+e AS (SELECT page_id, greatest(min(i) FILTER (title IS NOT NULL), min(i) FILTER (len(authors) > 0)) AS stop, count(*) FILTER (title IS NOT NULL) * count(*) FILTER (len(authors) > 0) AS whole FROM k GROUP BY 1),
+u AS (SELECT k.* FROM k JOIN e USING (page_id) WHERE whole = 0 OR i <= stop)
+SELECT page_id, arg_min(title, i) FILTER (title IS NOT NULL) AS title, array_to_string(arg_min(authors, i) FILTER (len(authors) > 0), '; ') AS authors, arg_min(year, i) FILTER (year IS NOT NULL) AS year, arg_min(doi, i) FILTER (doi IS NOT NULL) AS doi,
+(list(site ORDER BY i) FILTER (site IS NOT NULL))[1] AS container_title, (list(site ORDER BY i) FILTER (site IS NOT NULL))[2] AS publisher FROM u GROUP BY page_id"""
+)
+def page_json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of pages with JSON-LD blocks planted, some of them malformed."""
+    p, k = _t(spark, sf_dir, "pages").filter("page_id IS NOT NULL"), F.pmod("page_id", F.lit(5))
+    block = F.lit("")
+    for i, v in _LD.items():
+        block = F.when(k == i, F.lit(v)).otherwise(block)
+    m = p.select("page_id", jsonld.metadata(F.concat("html", block)).alias("m")).filter("m IS NOT NULL")
+    return m.select("page_id", "m.title", F.array_join("m.authors", "; ").alias("authors"), "m.year", "m.doi", "m.container_title", "m.publisher")
