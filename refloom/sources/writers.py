@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import identifiers as I
-from ..schema import is_blank, year_of
+from ..schema import DATE, NAME, is_blank, year_of
 from .readers import BIB_TYPES, RIS_TYPES
 
 _RIS = {v: k for k, v in reversed(RIS_TYPES.items())}
@@ -51,8 +52,20 @@ def bibtex(items: DataFrame) -> DataFrame:
 
 
 def csl_json(items: DataFrame) -> DataFrame:
-    """id, json."""
-    return items.select("id", F.to_json(F.struct(*[c for c in items.columns if c not in ("ord", "extra", "original", "source_format", "parse_confidence")])).alias("json"))
+    """id, json, with the hyphenated names of the format."""
+    hyphens = lambda n: n.replace("_", "-")
+    renamed = lambda c, fields: F.struct(*[c[n].alias(hyphens(n)) for n in fields])
+    person, date = (StructType.fromDDL(f"x {t}")["x"].dataType.names for t in (NAME, DATE))
+
+    def column(n: str) -> Column:
+        if n == "author":
+            return F.transform("author", lambda a: renamed(a, person)).alias(n)
+        if n in ("issued", "accessed"):
+            return F.when(F.col(n).isNotNull(), renamed(F.col(n), date)).alias(n)
+        return F.col(n).alias(hyphens(n))
+
+    left_out = ("ord", "extra", "original", "source_format", "parse_confidence")
+    return items.select("id", F.to_json(F.struct(*[column(c) for c in items.columns if c not in left_out])).alias("json"))
 
 
 def formatted(items: DataFrame, style: str = "apa-7th") -> DataFrame:

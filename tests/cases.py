@@ -1,4 +1,4 @@
-"""Queries over literal rows: formats, registry records and judgements that the driver tables don't hold.
+"""Cases over literal rows: formats, registry records and judgements that the driver tables don't hold.
 
 Their SQL is the table of right answers, worked out by hand from the cases of FIXTURES.md and the operators' definitions.
 """
@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions import identifiers as I
-from ..functions import text as X
-from ..operators import display, grounding, listings, manuscript, report, resolve, rules, styles, verify
-from ..schema import ITEM_DDL, as_items, year_of
-from ..sources import pages, readers, registries
+from refloom.functions import identifiers as I
+from refloom.functions import text as X
+from refloom.operators import display, grounding, listings, manuscript, report, resolve, rules, styles, verify
+from refloom.schema import ITEM_DDL, as_items, year_of
+from refloom.sources import pages, readers, registries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +35,7 @@ def _sql(v) -> str:
 
 
 def case(columns: str, *answers: tuple):
-    """Registers a query and its answers."""
+    """Registers a case and its answers."""
     rows = ", ".join("(" + ", ".join(map(_sql, a)) + ")" for a in answers)
 
     def add(f):

@@ -5,7 +5,8 @@ import math
 import duckdb
 import pytest
 
-from refloom.plans import cases, catalog
+from refloom.plans import catalog
+from tests import cases
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
