@@ -15,7 +15,7 @@ COMMON_WORDS = (
     "the and for are but not you all can had her was one our out has have been this that with they from were many some them than its over such into only other new after "
     "also made did most between during through about using based among within across study analysis effects impact role review results evidence"
 ).split()
-ZERO_WIDTH_AND_BIDI = "[​‌‍⁠﻿‪-‮⁦-⁩]"
+ZERO_WIDTH_AND_BIDI = r"[\u200B-\u200D\u2060\uFEFF\u202A-\u202E\u2066-\u2069]"
 
 
 def normalize(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import places as P
 from ..functions import text as X
 
 # Rule, category, severity, pattern (case is ignored).
@@ -46,13 +47,13 @@ CONTEXT = 28
 
 def injection_scan(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, rule, category, severity, match, nr, index, context: at most PER_RULE hits of a rule and IN_ALL of a text, which are features
-    of the report.  index is the code point where the rule's first equal match stands, context what is around it."""
-    hits = F.concat(*[F.transform(F.slice(F.regexp_extract_all(F.col(text), F.lit("(?i)(" + p + ")"), 1), 1, PER_RULE), _hit(r, c, s)) for r, c, s, p in INJECTION])
+    of the report.  index is the code point where the match stands, context what is around it."""
+    hits = F.concat(*[F.transform(F.slice(P.places(F.col(text), f"(?i){p}"), 1, PER_RULE), _hit(r, c, s)) for r, c, s, p in INJECTION])
     found = texts.select(key, F.col(text).alias("_text"), F.posexplode(F.slice(hits, 1, IN_ALL)).alias("nr", "h")).select(key, "_text", "h.*", "nr")
-    at = F.instr("_text", F.col("match")) - 1
+    at = F.col("at")
     start = F.greatest(at - CONTEXT, F.lit(0))
     around = F.substring(F.col("_text"), start + 1, at + CONTEXT + 1 - start)
-    return found.withColumn("index", at).withColumn("context", F.regexp_replace(around, r"\s+", " ")).drop("_text")
+    return found.withColumn("index", at).withColumn("context", F.regexp_replace(around, r"\s+", " ")).drop("_text", "at")
 
 
 def injection_guard(verdict: Column, reasons: Column, findings: Column, most: int = 4) -> Column:
@@ -79,7 +80,7 @@ def claim_breakdown(sites: DataFrame, key: str, order: str = "ord", most: int =
 
 
 def _hit(rule: str, category: str, severity: str):
-    return lambda m: F.struct(F.lit(rule).alias("rule"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), m.alias("match"))
+    return lambda m: F.struct(F.lit(rule).alias("rule"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), m["raw"].alias("match"), m["start"].alias("at"))
 
 
 def repair_json(raw: str | None) -> str | None:

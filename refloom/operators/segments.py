@@ -55,7 +55,7 @@ def unix_lines(text: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """A heading of references that is no line of a table of contents, which ends in a page number after a tab or a wide gap."""
-    t = F.trim(F.regexp_replace(line, "^[\\s﻿]+|[\\s﻿]+$", ""))
+    t = F.trim(F.regexp_replace(line, r"^[\s\uFEFF]+|[\s\uFEFF]+$", ""))
     plain = t.rlike(HEADING_LINES[0])
     other = ~t.rlike(GLOSSARY) & _any(t, HEADING_LINES[1:])
     toc = line.rlike(r"\t\d{1,4}\s*$") | t.rlike(r"\s{2,}\d{1,4}\s*$")

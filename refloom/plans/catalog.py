@@ -359,10 +359,22 @@ def span_to_entry_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc", F.array_join("keys", ",").alias("keys"), F.size("missing").cast("long").alias("missing"))
 
 
-@query(_MAPPED + " SELECT count(*) FILTER (keys IS NOT NULL) AS matched, 0::BIGINT AS ambiguous, count(*) FILTER (keys IS NULL) AS unmatched FROM m")
+_DATED = """WITH s AS (SELECT o_orderkey AS doc, year(o_orderdate) + (o_custkey % 3) - 1 AS y, ['smith', 'dupont', 'roe'][o_custkey % 3 + 1] AS f FROM orders),
+e AS (SELECT l_orderkey AS doc, l_linenumber AS ord, 'ref-' || l_linenumber AS key, CASE l_partkey % 4 WHEN 0 THEN 'Smith, J. ' WHEN 1 THEN 'Dupont, A. ' WHEN 2 THEN 'Roe and Smith. ' ELSE 'Lee. ' END || l_returnflag || ' (' || year(o_orderdate) || ')' AS raw FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+h AS (SELECT s.doc, count(DISTINCT e.key) AS n FROM s LEFT JOIN e ON e.doc = s.doc AND contains(e.raw, s.y::VARCHAR) AND contains(lower(e.raw), s.f) GROUP BY 1)"""
+
+
+@query(_DATED + " SELECT count(*) FILTER (n = 1) AS matched, count(*) FILTER (n > 1) AS ambiguous, count(*) FILTER (n = 0) AS unmatched FROM h")
 def mapping_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = manuscript.map_numbers(*_lines_as_spans(spark, sf_dir), "doc")
-    return manuscript.mapping_summary(m.withColumn("candidates", F.lit(None).cast("array<string>")))
+    """A citation by author and year for each order against its lines as entries: one may fit, several or none."""
+    o, l = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    k = F.pmod("o_custkey", F.lit(3))
+    spans = o.select(F.col("o_orderkey").alias("doc"), F.lit(0).alias("start"), F.array(F.get(F.array(F.lit("Smith"), F.lit("DuPont"), F.lit("Roe")), k.cast("int"))).alias("families"), (F.year("o_orderdate") + k - 1).alias("year"))
+    who = F.get(F.array(F.lit("Smith, J. "), F.lit("Dupont, A. "), F.lit("Roe and Smith. "), F.lit("Lee. ")), F.pmod("l_partkey", F.lit(4)).cast("int"))
+    e = l.join(o.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    raw = F.concat(who, "l_returnflag", F.lit(" ("), F.year("o_orderdate"), F.lit(")"))
+    entries = e.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("ref-"), "l_linenumber").alias("key"), raw.alias("raw"))
+    return manuscript.mapping_summary(manuscript.map_author_year(spans, entries, "doc"))
 
 
 @query(r"""WITH x AS (SELECT doc_id, string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents)
@@ -574,14 +586,29 @@ def bibtex_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.bibtex(_documents_as_items(spark, sf_dir))
 
 
-@query()
+def _style_sql() -> str:
+    """Points of each style by its patterns, and the plain guess for lines that none tells."""
+    bare = "regexp_replace(line, '^\\s*\\[?\\d+[\\].)]\\s*', '')"
+    each = []
+    for s, name, family, weight, author, dated, container, number, structure in styles.STYLES:
+        tests = [(number, "line", 0.3), (author, bare, 0.25), (dated, "line", 0.2), (container, "line", 0.1), (structure, "line", 0.3)]
+        hits = [(f"regexp_matches({text}, $p${p}$p$)::INT", w) for p, text, w in tests if p]
+        score, n = (" + ".join(x) for x in ([f"{w} * {h}" for h, w in hits], [h for h, _ in hits]))
+        each.append(f"SELECT id, '{s}' AS style, '{name}' AS name, '{family}' AS family, least(({score}) * {weight}, 1) AS confidence FROM l WHERE {n} >= 2")
+    guess = "CASE WHEN regexp_matches(line, '^\\[\\d+\\]') THEN ['ieee', 'IEEE', 'numeric', '0.3'] WHEN regexp_matches(line, '^\\d+\\.\\s') THEN ['vancouver', 'Vancouver', 'numeric', '0.3'] WHEN regexp_matches(line, '\\(\\d{4}\\)') THEN ['apa-7th', 'APA 7th Edition', 'author-date', '0.2'] END"
+    return f"""WITH l AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN '[' || o_orderkey || '] J. Smith, ' || o_orderpriority || ', ' || year(o_orderdate) WHEN o_orderkey % 3 = 0 THEN o_orderpriority || ' ' || year(o_orderdate) ELSE 'Smith, J. (' || year(o_orderdate) || '). ' || o_orderpriority || '. Journal, 1(2).' END AS line FROM orders),
+f AS ({" UNION ALL ".join(each)}), g AS (SELECT id, {guess} AS x FROM l WHERE id NOT IN (SELECT id FROM f)) SELECT id, style, name, family, round(confidence, 6) AS confidence FROM f UNION ALL SELECT id, x[1], x[2], x[3], x[4]::DOUBLE FROM g WHERE x IS NOT NULL"""
+
+
+@query(_style_sql())
 def style_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Style guesses for reference lines made from parts and orders."""
-    o = _t(spark, sf_dir, "orders")
-    line = F.concat(F.lit("["), "o_orderkey", F.lit("] J. Smith, "), "o_orderpriority", F.lit(", "), F.year("o_orderdate"))
+    """Style guesses for reference lines made from orders in three forms."""
+    o, k = _t(spark, sf_dir, "orders"), F.col("o_orderkey")
+    line = F.concat(F.lit("["), k.cast("string"), F.lit("] J. Smith, "), "o_orderpriority", F.lit(", "), F.year("o_orderdate"))
     apa = F.concat(F.lit("Smith, J. ("), F.year("o_orderdate"), F.lit("). "), "o_orderpriority", F.lit(". Journal, 1(2)."))
-    lines = o.select(F.col("o_orderkey").alias("id"), F.when(F.pmod("o_orderkey", F.lit(2)) == 0, line).otherwise(apa).alias("line"))
-    return styles.detect(lines)
+    plain = F.concat("o_orderpriority", F.lit(" "), F.year("o_orderdate"))
+    lines = o.select(k.alias("id"), F.when(F.pmod(k, F.lit(2)) == 0, line).when(F.pmod(k, F.lit(3)) == 0, plain).otherwise(apa).alias("line"))
+    return styles.detect(lines).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")

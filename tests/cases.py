@@ -85,7 +85,7 @@ _ENDNOTE = "<xml><records><record><rec-number>5</rec-number><ref-type name=\"Jou
 
 @case("n format", (0, "bibtex"), (1, "ris"), (2, "csl-json"), (3, "plain-text"), (4, "plain-text"), (5, "csl-json"), (6, "bibtex"), (7, "ris"), (8, "plain-text"), (9, "plain-text"))
 def format_sniff(spark: SparkSession) -> DataFrame:
-    raw = [_BIB, _RIS, _CSL, _LINES, '{"title": "no type"}', '{"type": "book"}', "﻿  @misc {k, title={x}}", "\n\nTY  - JOUR\nER  - ", "see @article{k} there", ""]
+    raw = [_BIB, _RIS, _CSL, _LINES, '{"title": "no type"}', '{"type": "book"}', "\ufeff  @misc {k, title={x}}", "\n\nTY  - JOUR\nER  - ", "see @article{k} there", ""]
     return _rows(spark, "n long, raw string", *enumerate(raw)).select("n", readers.sniff(F.col("raw")).alias("format"))
 
 
