@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import manuscript
 from ..schema import as_items, year_of
-from ..sources import readers, registries, writers
+from ..sources import layout, readers, registries, writers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,23 @@ def section_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = [F.when(F.pmod(F.floor(i / 4) + n, F.lit(5)) > 0, F.get(F.array(*map(F.lit, _SECTIONS)), F.pmod(i + n, F.lit(4)).cast("int"))) for n in range(4)]
     t = F.array_join(F.transform(F.array_compact(F.array(*heads)), lambda h: F.concat(h, F.lit("\n"), F.regexp_replace(F.left("text", F.lit(300)), "\n", " "))), "\n")
     return d.select("doc_id", manuscript.structure(t).alias("s")).select("doc_id", F.array_join("s.missing", ",").alias("missing"), F.size("s.inversions").cast("long").alias("inversions"))
+
+
+def _glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page and runs of glyphs: 120 words a page, in two columns for every second document, rows a little uneven, each 13th word small."""
+    d = _t(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("p", "text"))
+    d = d.withColumn("page", F.floor(F.col("p") / 120)).withColumn("j", F.pmod("p", F.lit(120)))
+    two, half = F.pmod("doc_id", F.lit(2)) == 0, F.pmod("j", F.lit(60))
+    row, col = F.when(two, F.floor(half / 3)).otherwise(F.floor(F.col("j") / 6)), F.when(two, F.floor(F.col("j") / 60)).otherwise(0)
+    x = F.when(two, F.pmod(half, F.lit(3)) * 80 + col * 300).otherwise(F.pmod("j", F.lit(6)) * 90)
+    small = F.pmod("p", F.lit(13)) == 12
+    y = 700 - row * 12 + (F.pmod("j", F.lit(3)) - 1) * 0.75 - F.when(two & (col == 1), 5).otherwise(0)
+    return d.select("doc_id", "page", (row * 12 + col * 6 + F.pmod("j", F.lit(6))).cast("long").alias("ord"), (x + 20.0).alias("x"), y.cast("double").alias("y"), F.when(small, 4.5).otherwise(10.0).alias("size"), F.when(small, F.concat("p", F.lit(","))).otherwise(F.col("text")).alias("text"))
+
+
+def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of pages laid out from documents' words.  Lines grow by what was placed before: held against plain Python in the tests."""
+    return layout.page_lines(_glyphs(spark, sf_dir), ["doc_id", "page"]).select("doc_id", "page", F.array_join("lines", "\n").alias("text"))
+
+
+QUERIES["page_layout"] = page_layout
