@@ -71,7 +71,10 @@ def scored(docs: DataFrame, items: DataFrame, first: float = FIRST, dice: bool =
     docs: id, ts (distinct tokens); items: item, ts.  The score is hits / n, or with dice twice the hits by both sizes together.  Rows
     and items without tokens, null ones included, are in no pair.  others: a row is not paired with the item of its own id.
     """
-    d = written(docs.filter(F.size("ts") > 0).select("id", "ts", F.size("ts").alias("size")), "overlap-rows")
+    # of a row only tokens that some item has can count; the others go before anything is joined
+    vocabulary = small(items.select(F.explode("ts").alias("t")).distinct())
+    each = docs.filter(F.size("ts") > 0).select("id", F.size("ts").alias("size"), F.explode("ts").alias("t")).join(vocabulary, "t", "left_semi")
+    d = written(each.groupBy("id", "size").agg(F.collect_list("t").alias("ts")), "overlap-rows")
     tokens = written(ranked(items, frequencies(d)), "overlap-tokens")
     score = F.col("hits") / _of(F.col("n"), F.col("size"), dice)
     sure = written(shared(candidates(d.withColumn("floor", F.lit(first)), tokens, dice, others=others), d, items).withColumn("score", score), "overlap-first")
