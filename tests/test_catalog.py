@@ -55,7 +55,5 @@ def test_case_gives_its_answers(spark, duck, name):
     _check(spark, duck["small"], name, cases.QUERIES, cases.ORACLES, FOLDERS["small"])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_query_without_sql_runs(spark, small, name):
-    df = catalog.QUERIES[name](spark, small)
-    assert df.columns and df.count() > 0
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
