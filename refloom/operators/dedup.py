@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import ensure_checkpoint_dir, written
 from ..functions import text as X
+from ..functions.places import let
 from ..schema import is_blank, year_of
 from .display import placed
 
 THRESHOLD = 0.8
+#: Longs that hold a text's pairs of characters, a bit each.
+WORDS = 4
 
 
 def features(items: DataFrame, compat: bool = False) -> DataFrame:
@@ -87,8 +90,21 @@ def probes(c: Column, ratio: float, lengths: list[int]) -> Column:
 
 
 def _grams(c: Column) -> Column:
-    """The distinct pairs of adjacent characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, 2)))
+    """The distinct pairs of adjacent characters, as a bit each in WORDS longs: an edit turns two of them off and two on at most."""
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(c, i, 2)), F.lit(64 * WORDS)).cast("int"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)))
+    word = lambda hs, w: F.aggregate(F.filter(hs, lambda h: F.floor(h / 64) == w), F.lit(0).cast("long"), lambda s, h: s.bitwiseOR(bit(h)))
+    return let(at, lambda hs: F.struct(*[word(hs, w).alias(f"w{w}") for w in range(WORDS)]))
+
+
+def _off(x: str, y: str) -> Column:
+    """How many bits of x are off in y."""
+    return sum(F.bit_count(F.col(f"{x}.w{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}.w{w}")))) for w in range(WORDS))
+
+
+def _shuffled(d: DataFrame) -> DataFrame:
+    """d as a side that is not sent through the driver: what Parquet files weigh tells nothing of the rows made of them."""
+    return d.hint("merge")
 
 
 def similar_texts(rows: DataFrame, text: str, ratio: float, within: str | None = None) -> DataFrame:
@@ -97,29 +113,29 @@ def similar_texts(rows: DataFrame, text: str, ratio: float, within: str | None =
 
     Equal texts are one row of the index, so that copies make no hot keys.  Of different ones, those meet that share a piece (see
     pieces() and probes()); then each edit takes two pairs of adjacent characters away at most, and only what that count leaves is
-    compared.  A text has about k*k/2 keys for each length within its reach, k being the edits allowed.
+    compared.  A text has about k*k/2 keys for each length within its reach, k being the edits allowed.  Nothing is broadcast, and texts
+    are fetched only for the pairs that the count leaves.
     """
     same = [within] if within else []
     d = rows.filter(F.col(text).isNotNull()).select("ord", F.col(text).alias("t"), *same)
-    each = d.groupBy("t", *same).agg(F.min("ord").alias("first"))
-    each = each.withColumn("id", F.xxhash64("t", *same)) if same else each.withColumn("id", F.xxhash64("t"))
+    each = d.groupBy("t", *same).agg(F.min("ord").alias("id"))
     # short rows with very many keys: dealt by number, not by their size
-    each = written(each.select("id", "t", *same), "texts").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    lengths = sorted(r[0] for r in each.select(F.char_length("t")).distinct().collect())
+    each = written(each.select("id", "t", *same, F.char_length("t").alias("n"), _grams(F.col("t")).alias("g")), "texts").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    lengths = sorted(r[0] for r in each.select("n").distinct().collect())
     shut = lambda key: F.xxhash64(key, *same) if same else key
     index = each.select(F.col("id").alias("a"), F.explode(pieces(F.col("t"), ratio)).alias("key"), *same).select("a", shut(F.col("key")).alias("key"))
     asked = each.select(F.col("id").alias("b"), F.explode(probes(F.col("t"), ratio, lengths)).alias("key"), *same).select("b", shut(F.col("key")).alias("key"))
-    met = index.join(asked, "key").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x = each.select(F.col("id").alias("a"), F.col("t").alias("x"), *[F.col(c).alias("_w") for c in same])
-    y = each.select(F.col("id").alias("b"), F.col("t").alias("y"), *[F.col(c).alias("_v") for c in same])
-    longer = F.greatest(F.char_length("x"), F.char_length("y"))
-    most = F.floor((1 - ratio) * longer + 1e-6).cast("int")
-    common = F.size(F.array_intersect("gx", "gy"))
-    alike = met.join(x.withColumn("gx", _grams(F.col("x"))), "a").join(y.withColumn("gy", _grams(F.col("y"))), "b").filter(common >= F.greatest(F.size("gx"), F.size("gy")) - 2 * most)
-    alike = alike.filter((F.levenshtein("x", "y") <= most) & (F.col("_w") == F.col("_v") if same else F.lit(True))).select("a", "b")
+    met = index.join(_shuffled(asked), "key").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    most = lambda n, m: F.floor((1 - ratio) * F.greatest(n, m) + 1e-6).cast("int")
+    side = lambda id, **cols: _shuffled(each.select(F.col("id").alias(id), *[F.col(c).alias(n) for n, c in cols.items()]))
+    near = met.join(side("a", n="n", gx="g"), "a").join(side("b", m="n", gy="g"), "b")
+    near = near.filter((_off("gx", "gy") <= 2 * most("n", "m")) & (_off("gy", "gx") <= 2 * most("n", "m"))).select("a", "b")
+    own = {"_w": within} if within else {}
+    both = near.join(side("a", x="t", **own), "a").join(side("b", y="t", **({"_v": within} if within else {})), "b")
+    alike = both.filter((F.levenshtein("x", "y") <= most(F.char_length("x"), F.char_length("y"))) & (F.col("_w") == F.col("_v") if same else F.lit(True))).select("a", "b")
     alike = alike.union(each.select(F.col("id").alias("a"), F.col("id").alias("b")))
-    ids = d.select("ord", (F.xxhash64("t", *same) if same else F.xxhash64("t")).alias("id"))
-    both = alike.join(ids.select(F.col("id").alias("a"), F.col("ord").alias("p")), "a").join(ids.select(F.col("id").alias("b"), F.col("ord").alias("q")), "b").filter("p != q")
+    ids = d.join(_shuffled(each.select("id", "t", *same)), ["t", *same]).select("ord", "id")
+    both = alike.join(_shuffled(ids.select(F.col("id").alias("a"), F.col("ord").alias("p"))), "a").join(_shuffled(ids.select(F.col("id").alias("b"), F.col("ord").alias("q"))), "b").filter("p != q")
     return both.select(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).distinct()
 
 
@@ -129,12 +145,17 @@ def edges(items: DataFrame, threshold: float = THRESHOLD, compat: bool = False)
     No pair is missed, since one of these must hold: the DOIs are equal; or the titles' ratio t is at least the threshold; or the years are equal and t is what
     the year's weight leaves to be reached; or the authors' ratio is, alone or with equal years.  Rows whose DOIs differ can't reach
     it.  Each case is a join of similar texts (see similar_texts()), and only pairs that one of them finds are scored.
+
+    Rows that are alike in all that is compared are one row until all is scored, so that copies are paired in the result only.
     """
-    f = written(features(items, compat), "features")
+    what = ["doi", "title", "authors", "year"]
+    some = features(items, compat).filter("doi IS NOT NULL OR title IS NOT NULL OR authors IS NOT NULL")
+    f = written(some.groupBy(*what).agg(F.min("ord").alias("ord"), F.collect_list("ord").alias("rows")), "features")
     year = lambda r: max(0.1, (r * threshold - 1) / (r - 1))  # noqa: E731  what is left to reach where the year counts 1 of r
     dated = f.filter("year IS NOT NULL")
     doi = f.filter("doi IS NOT NULL").select("ord", "doi")
-    found = [doi.alias("a").join(doi.alias("b"), (F.col("a.doi") == F.col("b.doi")) & (F.col("a.ord") < F.col("b.ord"))).select(F.col("a.ord").alias("lo"), F.col("b.ord").alias("hi"))]
+    found = [doi.alias("a").join(_shuffled(doi).alias("b"), (F.col("a.doi") == F.col("b.doi")) & (F.col("a.ord") < F.col("b.ord"))).select(F.col("a.ord").alias("lo"), F.col("b.ord").alias("hi"))]
+    found.append(f.filter(F.size("rows") > 1).select(F.col("ord").alias("lo"), F.col("ord").alias("hi")))
     if not f.filter("title IS NOT NULL").isEmpty():
         found.append(similar_texts(f, "title", threshold))
         if not dated.isEmpty():
@@ -144,11 +165,13 @@ def edges(items: DataFrame, threshold: float = THRESHOLD, compat: bool = False)
         if not dated.isEmpty():
             found.append(similar_texts(dated, "authors", year(3), "year"))
     pairs = reduce(DataFrame.union, found).distinct()
-    side = lambda n: f.select(*[F.col(c).alias(f"{n}_{c}") for c in f.columns])
+    side = lambda n: _shuffled(f.select(F.col("ord").alias(f"{n}_ord"), F.struct("ord", *what).alias(n)))
     both = pairs.join(side("a"), F.col("lo") == F.col("a_ord")).join(side("b"), F.col("hi") == F.col("b_ord"))
-    both = both.select("lo", "hi", *[F.struct(*[F.col(f"{n}_{c}").alias(c) for c in f.columns]).alias(n) for n in ("a", "b")])
     apart = F.coalesce(F.col("a.doi") != F.col("b.doi"), F.lit(False))
-    return both.filter(~apart).select("lo", "hi", similarity("a", "b", compat).alias("score")).filter(F.col("score") >= threshold)
+    fine = both.filter(~apart).select("lo", "hi", similarity("a", "b", compat).alias("score")).filter(F.col("score") >= threshold)
+    each = lambda c, n: _shuffled(f.select(F.col("ord").alias(c), F.explode("rows").alias(n)))
+    rows = fine.join(each("lo", "p"), "lo").join(each("hi", "q"), "hi").filter("lo != hi OR p < q")
+    return rows.select(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "score")
 
 
 def greedy_groups(items: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -108,3 +108,20 @@ def test_best_overlap(spark, dice):
     got = {(r["id"], r["item"]): r["score"] for r in out}
     assert len(got) == len(out) and all(score[k] == pytest.approx(s) for k, s in got.items())
     assert {k for k, s in score.items() if s >= min(best[k[0]], overlap.FIRST)} - {k for k, s in score.items() if s < best[k[0]] and s < overlap.FIRST} <= set(got)
+
+
+def test_similar_texts_send_nothing_through_the_driver(spark):
+    """Rows of keys are many times what the files of their texts weigh: none is broadcast, and copies are one row until they are scored."""
+    rows = [(i, str(i), f"a title of some length, number {i % 40}", [[2000 + i % 2]] if i % 3 else None) for i in range(400)]
+    date = "CASE WHEN y IS NOT NULL THEN named_struct('date_parts', y, 'season', CAST(NULL AS string), 'circa', CAST(NULL AS boolean), 'literal', CAST(NULL AS string), 'raw', CAST(NULL AS string)) END AS issued"
+    items = as_items(spark.createDataFrame(rows, "ord long, id string, title string, y array<array<int>>").selectExpr("ord", "id", "'book' AS type", "title", date))
+    out = dedup.edges(items)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    year = lambda r: r[3] and r[3][0][0]
+    ratio = lambda a, b: 1 - _distance(a, b) / max(len(a), len(b))
+    clean = lambda t: t.replace(",", "")
+    known = {(a, b): ratio(clean(a), clean(b)) for a in {r[2] for r in rows} for b in {r[2] for r in rows}}
+    score = lambda a, b: (3 * known[a[2], b[2]] + (year(a) == year(b))) / 4 if year(a) and year(b) else known[a[2], b[2]]
+    want = {(a[0], b[0]): s for a in rows for b in rows if a[0] < b[0] and (s := score(a, b)) >= 0.8}
+    got = out.collect()
+    assert len(got) == len(want) and {(r["lo"], r["hi"]): r["score"] for r in got} == pytest.approx(want)
