@@ -83,3 +83,26 @@ def test_pages_of_the_query(spark, small):
     got = {(r["doc_id"], r["page"]): r["text"] for r in formats.page_layout(spark, small).collect()}
     want = {p: "\n".join(plain_page(rs)) for p, rs in _pages(rows).items()}
     assert got == want and len(want) > 200 and any("^" in t for t in want.values())
+
+
+def test_pages_over_several_batches(spark):
+    """Pages that end inside a batch, with it, or go on through many; keys may be null."""
+    rng = random.Random(11)
+    rows = []
+    for page, n in enumerate([3, 40, 7, 7, 90, 1, 25, 30]):
+        for i in range(n):
+            rows.append((None if page == 5 else page, i, rng.choice([20.0, 350.0]) + rng.random(), 700 - rng.randrange(10) * 12 + rng.random() * 3, rng.choice([10.0, 4.0]), rng.choice(["word", "12", "é😀", " "])))
+    df = spark.createDataFrame(rows, "page int, ord int, x double, y double, size double, text string")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        out = layout.page_lines(df, ["page"])
+        got = {r["page"]: r["lines"] for r in out.collect()}
+    finally:
+        spark.conf.set(name, before)
+    pages = {}
+    for r in rows:
+        pages.setdefault(r[0], []).append(r[2:])
+    assert got == {p: plain_page(rs) for p, rs in pages.items()}
+    assert "MapInArrow" in out._jdf.queryExecution().toString()  # not a fold over structs for every run
