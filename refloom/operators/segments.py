@@ -30,7 +30,9 @@ SECTIONS = r"(?i)^(?:introduction|abstract|methods?|materials?|results?|discussi
 WRAP_STOPS = r"(?i)^(?:introduction|abstract|methods|results|discussion|conclusion|background|references?|bibliography)(?:[^a-z0-9_]|$)"
 # Marks of a line of a reference list.
 YEAR = r"\b(?:19|20)\d{2}\b"
-MARKS = (YEAR, r"(?i)doi\.org|10\.\d{4,}/", r";\s*\d+\(\d+", r"\.\s+[A-Z][\p{L}&]+.*\d{4}")
+# The last is a capitalised word after a full stop with four digits somewhere behind it: of a line only its first such word is tried, as digits behind
+# a later one are behind the first as well.  So a long line without digits is read once and not once for every sentence.
+MARKS = (YEAR, r"(?i)doi\.org|10\.\d{4,}/", r";\s*\d+\(\d+", r"(?:^|[\x{85}\x{2028}\x{2029}\r\n])(?>.*?\.\s+[A-Z][\p{L}&]).*\d{4}")
 BRACKET = r"^\s*\[(\d+)\]\s*\S"
 DOTTED = r"^\s*(\d+)[.)]\s+\S"
 AUTHOR = r"^(?:(?:\p{Lu}\.)+\s*\p{L}|\p{Lu}[\p{L}'’-]*[\s,])"
@@ -55,11 +57,14 @@ def unix_lines(text: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """A heading of references that is no line of a table of contents, which ends in a page number after a tab or a wide gap."""
-    t = F.trim(F.regexp_replace(line, r"^[\s\uFEFF]+|[\s\uFEFF]+$", ""))
-    plain = t.rlike(HEADING_LINES[0])
-    other = ~t.rlike(GLOSSARY) & _any(t, HEADING_LINES[1:])
-    toc = line.rlike(r"\t\d{1,4}\s*$") | t.rlike(r"\s{2,}\d{1,4}\s*$")
-    return (t != "") & (F.char_length(t) <= HEADING_CHARS) & (plain | other) & ~toc
+
+    def short(t: Column) -> Column:
+        plain = t.rlike(HEADING_LINES[0])
+        other = ~t.rlike(GLOSSARY) & _any(t, HEADING_LINES[1:])
+        toc = line.rlike(r"\t\d{1,4}\s*$") | t.rlike(r"\s{2,}\d{1,4}\s*$")
+        return F.when((t != "") & (F.char_length(t) <= HEADING_CHARS), (plain | other) & ~toc).otherwise(False)
+
+    return let(F.trim(F.regexp_replace(line, r"^[\s\uFEFF]+|[\s\uFEFF]+$", "")), short)
 
 
 def is_marked(line: Column) -> Column:
@@ -67,20 +72,21 @@ def is_marked(line: Column) -> Column:
     return _any(line, MARKS)
 
 
-def is_numbered(line: Column) -> Column:
-    """A numbered line of a reference list, and not a numbered heading of a section."""
-    t = F.trim(line)
-    title = F.regexp_extract(t, r"^\d{1,2}\.\s+(.+)$", 1)
-    short = (F.char_length(title) < 45) & ~title.rlike("[;,]") & ~title.rlike(YEAR)
-    section = (title != "") & (F.char_length(title) <= 55) & ~is_marked(t) & (title.rlike(SECTIONS) | short)
-    long = ((F.char_length(t) >= 50) & t.rlike("[,;]")) | (F.char_length(t) >= 70)
-    return line.rlike(r"^\s*\[\d{1,4}\]\s*\S") | (line.rlike(r"^\s*\d{1,4}\.\s+\S") & ~section & (is_marked(t) | long))
+def _is_numbered(line: Column, t: Column, marked: Column) -> Column:
+    """A numbered line of a reference list, and not a numbered heading of a section; t: the line without blanks at its ends, marked: see is_marked()."""
+
+    def listed(title: Column) -> Column:
+        short = (F.char_length(title) < 45) & ~title.rlike("[;,]") & ~title.rlike(YEAR)
+        section = (title != "") & (F.char_length(title) <= 55) & ~marked & (title.rlike(SECTIONS) | short)
+        long = ((F.char_length(t) >= 50) & t.rlike("[,;]")) | (F.char_length(t) >= 70)
+        return ~section & (marked | long)
+
+    return F.when(line.rlike(r"^\s*\[\d{1,4}\]\s*\S"), True).when(line.rlike(r"^\s*\d{1,4}\.\s+\S"), let(F.regexp_extract(t, r"^\d{1,2}\.\s+(.+)$", 1), listed)).otherwise(False)
 
 
-def is_wrapped(line: Column) -> Column:
+def _is_wrapped(t: Column, numbered: Column, marked: Column) -> Column:
     """A line that goes on with a reference."""
-    t = F.trim(line)
-    return (F.char_length(t) >= 12) & ~t.rlike(WRAP_STOPS) & ~is_numbered(line) & (is_marked(t) | t.rlike(r"^[a-z(]") | t.rlike(r"[;,.)]\s*$"))
+    return ~numbered & (F.char_length(t) >= 12) & ~t.rlike(WRAP_STOPS) & (marked | t.rlike(r"^[a-z(]") | t.rlike(r"[;,.)]\s*$"))
 
 
 def segment(text: Column) -> Column:
@@ -90,10 +96,18 @@ def segment(text: Column) -> Column:
     them, if it has three or more of which two or more are marked, and doesn't stand at the very beginning of a longer text.
     Seen from the end, the block ends with the last numbered line and goes back to the first line that is neither blank nor part of it.
     """
-    t = unix_lines(text)
 
     def found(lines: Column) -> Column:
-        return F.transform(lines, lambda line, i: F.struct(i.alias("i"), (F.trim(line) == "").alias("blank"), is_heading(line).alias("head"), is_numbered(line).alias("num"), is_marked(F.trim(line)).alias("marked"), is_wrapped(line).alias("wrap"), F.char_length(line).alias("n")))
+        def one(line: Column, i: Column) -> Column:
+            def marked(x: Column) -> Column:
+                return let(F.struct(x["t"].alias("t"), x["m"].alias("m"), _is_numbered(line, x["t"], x["m"]).alias("num")), about)
+
+            def about(x: Column) -> Column:
+                return F.struct(i.alias("i"), (x["t"] == "").alias("blank"), is_heading(line).alias("head"), x["num"].alias("num"), x["m"].alias("marked"), _is_wrapped(x["t"], x["num"], x["m"]).alias("wrap"), F.char_length(line).alias("n"))
+
+            return let(F.trim(line), lambda t: let(F.struct(t.alias("t"), is_marked(t).alias("m")), marked))
+
+        return F.transform(lines, one)
 
     def place(lines: Column, i: Column) -> Column:
         return F.when(i == 0, 0).otherwise(F.char_length(F.array_join(F.slice(lines, 1, F.greatest(i, F.lit(1))), "\n")) + 1)
@@ -101,35 +115,57 @@ def segment(text: Column) -> Column:
     def last(c: Column, keep) -> Column:
         return F.array_max(F.transform(F.filter(c, keep), lambda x: x["i"]))
 
-    def where(x: Column) -> Column:
-        lines, c, full = x["lines"], x["c"], x["t"]
-        head, end = last(c, lambda k: k["head"]), last(c, lambda k: k["num"] & ~k["blank"])
+    def by_head(x: Column, head: Column) -> Column:
+        def at(start: Column) -> Column:
+            after = F.least(start + F.get(x["c"], head)["n"] + 1, F.char_length(x["t"]))
+            return F.struct(F.lit("header").alias("kind"), start.cast("int").alias("start"), after.cast("int").alias("after"))
+
+        return let(place(x["lines"], head), at)
+
+    # each place is named before the lines are read for the next: inside a filter it would be found anew for every line
+    def by_block(x: Column, end: Column) -> Column:
+        c, full = x["c"], F.char_length(x["t"])
+
+        def whole(b: Column) -> Column:
+            least = F.when(full < 10_000, 0.05).otherwise(0.12)
+
+            def judged(start: Column) -> Column:
+                early = (start < full * least) & ((end + 1) / F.greatest(b["filled"], F.lit(1)) < 0.45) & (start > 0)
+                return F.when(~early, F.struct(F.lit("numbered").alias("kind"), start.cast("int").alias("start"), start.cast("int").alias("after")))
+
+            return F.when((b["numbered"] >= 3) & (b["marked"] >= 2), let(place(x["lines"], b["first"]), judged))
+
+        def counted(block: Column) -> Column:
+            of = lambda keep: F.size(F.filter(block, keep))
+            first = F.array_min(F.transform(block, lambda k: k["i"]))
+            filled = F.size(F.filter(c, lambda k: ~k["blank"]))
+            return let(F.struct(first.alias("first"), filled.alias("filled"), of(lambda k: k["num"]).alias("numbered"), of(lambda k: k["num"] & k["marked"]).alias("marked")), whole)
+
         stop = F.coalesce(last(c, lambda k: ~k["blank"] & ~k["num"] & ~k["wrap"] & (k["i"] < end)), F.lit(-1))
-        block = F.filter(c, lambda k: ~k["blank"] & (k["i"] > stop) & (k["i"] <= end))
-        first = F.array_min(F.transform(block, lambda k: k["i"]))
-        numbered = F.filter(block, lambda k: k["num"])
-        start, filled = place(lines, first), F.size(F.filter(c, lambda k: ~k["blank"]))
-        least = F.when(F.char_length(full) < 10_000, 0.05).otherwise(0.12)
-        early = (start < F.char_length(full) * least) & ((end + 1) / F.greatest(filled, F.lit(1)) < 0.45) & (start > 0)
-        fine = (F.size(numbered) >= 3) & (F.size(F.filter(numbered, lambda k: k["marked"])) >= 2) & ~early
-        at = place(lines, head)
-        after = F.least(at + F.get(c, head)["n"] + 1, F.char_length(full))
-        by_head = F.struct(F.lit("header").alias("kind"), at.cast("int").alias("start"), after.cast("int").alias("after"))
-        by_block = F.struct(F.lit("numbered").alias("kind"), start.cast("int").alias("start"), start.cast("int").alias("after"))
-        return F.when(head.isNotNull(), by_head).when(fine, by_block)
-
-    return let(t, lambda u: let(F.split(u, "\n"), lambda lines: let(F.struct(u.alias("t"), lines.alias("lines"), found(lines).alias("c")), where)))
+        return let(stop, lambda s: let(F.filter(c, lambda k: ~k["blank"] & (k["i"] > s) & (k["i"] <= end)), counted))
+
+    def where(x: Column) -> Column:
+        ends = F.struct(last(x["c"], lambda k: k["head"]).alias("head"), last(x["c"], lambda k: k["num"] & ~k["blank"]).alias("end"))
+        return let(ends, lambda e: F.when(e["head"].isNotNull(), by_head(x, e["head"])).when(e["end"].isNotNull(), by_block(x, e["end"])))
 
+    return let(unix_lines(text), lambda u: let(F.split(u, "\n"), lambda lines: let(F.struct(u.alias("t"), lines.alias("lines"), found(lines).alias("c")), where)))
+
+
+def parts(text: Column) -> Column:
+    """struct(kind, start, body, references): see segment(); trimmed; without a list all is body and the others null."""
 
-def body_and_references(text: Column) -> Column:
-    """struct(kind, body, references), trimmed; without a list all is body and the others null."""
     def cut(x: Column) -> Column:
         at, t = x["at"], x["t"]
         body = F.when(at.isNull(), t).otherwise(trim(F.substring(t, F.lit(1), at["start"])))
-        tail = trim(F.substring(t, at["after"] + 1, F.lit(1 << 30)))
-        return F.struct(at["kind"].alias("kind"), body.alias("body"), F.when(tail != "", tail).alias("references"))
+        tail = F.nullif(trim(F.substring(t, at["after"] + 1, F.lit(1 << 30))), F.lit(""))
+        return F.struct(at["kind"].alias("kind"), at["start"].alias("start"), body.alias("body"), tail.alias("references"))
+
+    return let(unix_lines(text), lambda u: let(F.struct(u.alias("t"), segment(u).alias("at")), cut))
+
 
-    return let(F.struct(unix_lines(text).alias("t"), segment(text).alias("at")), cut)
+def body_and_references(text: Column) -> Column:
+    """struct(kind, body, references) of parts()."""
+    return let(parts(text), lambda p: F.struct(p["kind"].alias("kind"), p["body"].alias("body"), p["references"].alias("references")))
 
 
 def trim(c: Column) -> Column:
@@ -144,10 +180,13 @@ def entry_number(line: Column) -> Column:
 
 def is_entry(entry: Column) -> Column:
     """Whether a text can be a reference: numbered, dated, with a DOI, or beginning with an author."""
-    t = trim(entry)
-    heading = ((F.char_length(t) <= 140) & _any(t, SUBSECTIONS)) | t.rlike(RESUME)
-    number = F.coalesce(entry_number(t), F.lit(0)) > 0
-    return (F.char_length(t) >= 12) & ~heading & (number | t.rlike(YEAR) | t.rlike(MARKS[1]) | t.rlike(AUTHOR))
+
+    def fine(t: Column) -> Column:
+        heading = ((F.char_length(t) <= 140) & _any(t, SUBSECTIONS)) | t.rlike(RESUME)
+        number = F.coalesce(entry_number(t), F.lit(0)) > 0
+        return (F.char_length(t) >= 12) & ~heading & (number | t.rlike(YEAR) | t.rlike(MARKS[1]) | t.rlike(AUTHOR))
+
+    return let(trim(entry), fine)
 
 
 def split_entries(references: Column) -> Column:
@@ -172,9 +211,9 @@ def split_entries(references: Column) -> Column:
         ends = lambda s: F.transform(s, lambda a, k: F.struct(a.alias("a"), F.coalesce(F.get(s, k + 1), F.size(line)).alias("b")))
         return let(starts, lambda s: F.transform(ends(s), lambda e: F.array_join(F.slice(line, e["a"] + 1, e["b"] - e["a"]), " ")))
 
-    numbered = F.exists(parts, lambda p: entry_number(p).isNotNull())
+    numbered = lambda ps: F.exists(ps, lambda p: entry_number(p).isNotNull())
     listed = let(lines, lambda ls: let(F.struct(ls.alias("lines"), F.transform(ls, entry_number).alias("numbers")), by_lines))
-    return F.filter(F.when((F.size(parts) >= 2) & ~numbered, parts).otherwise(listed), is_entry)
+    return F.filter(let(parts, lambda ps: F.when((F.size(ps) >= 2) & ~numbered(ps), ps).otherwise(listed)), is_entry)
 
 
 def trim_preamble(references: Column) -> Column:

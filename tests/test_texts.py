@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,46 @@ def test_citation_forms(spark):
     want = [("[1-3, 7, p. 9]", [1, 2, 3, 7], [], "p. 9"), ("(Smith, 2020a, p. 12)", [], ["smith"], "p. 12"), ("Müller (1999)", [], ["muller"], None), ("(1999)", [1999], [], None), ("(12, 14)", [12, 14], [], None), ("<sup>3</sup>", [3], [], None)]
     want.append(("(O'Neil & de la Cruz; Ek et al., 2001)", [], ["o'neil", "de", "ek"], None))
     assert [(r["raw"], r["numbers"], r["families"], r["locator"]) for r in got] == want and all(t[r["start"] : r["end"]] == r["raw"] for r in got)
+
+
+def test_passages_depend_on_their_surroundings_only(spark):
+    """Long texts of few word characters, or of sentences without end, give what reading all of them gives; far text costs nothing."""
+    rng = random.Random(7)
+    fill = ["))))" * 60, " " * 300, "word " * 200, "One. Two! ", "\n\n", '." ', "...", "a" * 400, "\n" + " " * 200 + "\n", "é, "]
+    rows = []
+    for _ in range(150):
+        t = "".join(rng.choice(fill) for _ in range(rng.randrange(1, 12)))
+        a = rng.randrange(len(t) + 1)
+        rows.append((t, a, min(len(t), a + rng.choice([0, 1, 9, 90]))))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, a int, b int")
+    for most in (24, 300):
+        for r, (t, a, b) in zip(df.select("i", P.passage(F.col("t"), F.col("a"), F.col("b"), most).alias("w")).orderBy("i").collect(), rows, strict=True):
+            assert tuple(r["w"]) == plain_passage(t, a, b, most), (t, a, b, most)
+    long = "A sentence of some words. " * 40_000
+    began = time.time()
+    at = spark.range(400).select((F.col("id") * 2000).cast("int").alias("a")).select(P.passage(F.lit(long), F.col("a"), F.col("a") + 5, 300).alias("w"))
+    assert at.filter(F.char_length("w.text") > 20).count() == 400 and time.time() - began < 60
+
+
+def test_segments_of_many_lines_and_of_long_ones(spark):
+    """Time grows with the text, not with the square of its lines or of a line's sentences."""
+    block = "\n".join(f"{i}. Miller, A. A work of some length, {1900 + i % 100}." for i in range(1, 1500))
+    long = "He said so. They Went " * 20_000
+    began = time.time()
+    got = [tuple(r["s"]) for r in spark.createDataFrame([(0, "Words first\n" + block), (1, long)], "i int, t string").orderBy("i").select(segments.body_and_references(F.col("t")).alias("s")).collect()]
+    assert got == [("numbered", "Words first", block), (None, long.strip(), None)] or got == [("numbered", "Words first", block), (None, long, None)]
+    assert time.time() - began < 60
+
+
+def test_marks_of_lines(spark):
+    old = r"\.\s+[A-Z][\p{L}&]+.*\d{4}"
+    rng = random.Random(8)
+    rows = [("".join(rng.choice([". ", "Ab", "A", "b&", "1234", "99", " ", "\u2028", "x.", "É"]) for _ in range(rng.randrange(12))),) for _ in range(3000)]
+    got = spark.createDataFrame(rows, "t string").select(F.col("t").rlike(old).alias("a"), F.col("t").rlike(segments.MARKS[3]).alias("b")).groupBy("a", "b").count().collect()
+    assert {(r["a"], r["b"]) for r in got} == {(True, True), (False, False)}
+
+
+def test_structure_lowers_a_text_once(spark):
+    df = spark.createDataFrame([("Methods\nx\nIntroduction\ny",)], "t string").select(manuscript.structure(F.col("t")).alias("s"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert tuple(df.first()["s"]) == (["introduction", "methods"], ["results", "discussion"], ["methods before introduction"])
