@@ -78,8 +78,8 @@ _TRIM = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 def reference_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document's list of references begins, with digests of the body and of the list."""
     d = _with_lists(spark, sf_dir)
-    s = d.select("doc_id", segments.segment(F.col("t")).alias("at"), segments.body_and_references(F.col("t")).alias("s"))
-    return s.select("doc_id", "s.kind", "at.start", F.md5("s.body").alias("body"), F.md5("s.references").alias("list"))
+    s = d.select("doc_id", segments.parts(F.col("t")).alias("s"))
+    return s.select("doc_id", "s.kind", "s.start", F.md5("s.body").alias("body"), F.md5("s.references").alias("list"))
 
 
 @query(
