@@ -55,13 +55,27 @@ def candidates(docs: DataFrame, tokens: DataFrame, dice: bool = False, after: fl
 
 
 def shared(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """id, item, hits, n, size: the weight of the item's tokens that the row has.  items: item, ts.  A row's pairs come to it as one list, so that
-    its tokens are shuffled once and not for every pair."""
-    lists = pairs.join(small(items.select("item", F.col("ts").alias("its"))), "item").groupBy("id").agg(F.collect_list(F.struct("item", "its")).alias("of"))
-    # the inner transform names what both have, so that it is found once and not for every token
-    weight = lambda its: F.transform(F.array(F.array_intersect("ts", its)), lambda both: F.size(F.filter(its, lambda t: F.array_contains(both, t))).cast("long"))[0]
-    counted = F.transform("of", lambda o: F.struct(o["item"].alias("item"), weight(o["its"]).alias("hits"), F.size(o["its"]).cast("long").alias("n")))
-    return lists.join(docs.select("id", "ts", "size"), "id").select("id", F.col("size").cast("long").alias("size"), F.explode(counted).alias("x")).select("id", "x.*", "size")
+    """id, item, hits, n, size: the weight of the item's tokens that the row has.  items: item, ts.  A row's pairs come to it as a list of items, so that
+    its tokens are shuffled once and not for every pair, and those of the items not at all; a list of items too large to be broadcast
+    is joined to the pairs first."""
+    its = items.select("item", F.col("ts").alias("its"), (F.size(F.array_distinct("ts")) == F.size("ts")).alias("once"))
+    # what both have is found once; of an item without repeats it is the weight
+    kept = F.transform(F.array(F.array_intersect("ts", "its")), lambda both: F.when(F.col("once"), F.size(both)).otherwise(F.size(F.filter("its", lambda t: F.array_contains(both, t)))).cast("long"))[0]
+    near = small(its)
+    if near is not its:
+        lists = pairs.groupBy("id").agg(F.collect_list("item").alias("of"))
+        each = lists.join(docs.select("id", "ts", "size"), "id").select("id", "ts", "size", F.explode("of").alias("item")).join(near, "item")
+    else:
+        lists = pairs.join(its, "item").groupBy("id").agg(F.collect_list(F.struct("item", "its", "once")).alias("of"))
+        each = lists.join(docs.select("id", "ts", "size"), "id").select("id", "ts", "size", F.explode("of").alias("o")).select("id", "ts", "size", "o.*")
+    return each.select("id", "item", kept.alias("hits"), F.size("its").cast("long").alias("n"), F.col("size").cast("long").alias("size"))
+
+
+def _numbered(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """t, k: a number for every token that items have; and the items with numbers for tokens, repeats included."""
+    words = written(items.select(F.explode("ts").alias("t")).distinct().withColumn("k", F.monotonically_increasing_id()), "overlap-words")
+    each = items.select("item", F.explode("ts").alias("t")).join(small(words), "t")
+    return words, written(each.groupBy("item").agg(F.collect_list("k").alias("ts")), "overlap-items")
 
 
 def scored(docs: DataFrame, items: DataFrame, first: float = FIRST, dice: bool = False, others: bool = False) -> DataFrame:
@@ -71,10 +85,10 @@ def scored(docs: DataFrame, items: DataFrame, first: float = FIRST, dice: bool =
     docs: id, ts (distinct tokens); items: item, ts.  The score is hits / n, or with dice twice the hits by both sizes together.  Rows
     and items without tokens, null ones included, are in no pair.  others: a row is not paired with the item of its own id.
     """
-    # of a row only tokens that some item has can count; the others go before anything is joined
-    vocabulary = small(items.select(F.explode("ts").alias("t")).distinct())
-    each = docs.filter(F.size("ts") > 0).select("id", F.size("ts").alias("size"), F.explode("ts").alias("t")).join(vocabulary, "t", "left_semi")
-    d = written(each.groupBy("id", "size").agg(F.collect_list("t").alias("ts")), "overlap-rows")
+    # of a row only tokens that some item has can count; the others go before anything is joined, and numbers stand for those that stay
+    words, items = _numbered(items)
+    each = docs.filter(F.size("ts") > 0).select("id", F.size("ts").alias("size"), F.explode("ts").alias("t")).join(small(words), "t")
+    d = written(each.groupBy("id", "size").agg(F.collect_list("k").alias("ts")), "overlap-rows")
     tokens = written(ranked(items, frequencies(d)), "overlap-tokens")
     score = F.col("hits") / _of(F.col("n"), F.col("size"), dice)
     sure = written(shared(candidates(d.withColumn("floor", F.lit(first)), tokens, dice, others=others), d, items).withColumn("score", score), "overlap-first")

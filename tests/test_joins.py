@@ -125,3 +125,18 @@ def test_similar_texts_send_nothing_through_the_driver(spark):
     want = {(a[0], b[0]): s for a in rows for b in rows if a[0] < b[0] and (s := score(a, b)) >= 0.8}
     got = out.collect()
     assert len(got) == len(want) and {(r["lo"], r["hi"]): r["score"] for r in got} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_items_are_not_shuffled_for_every_pair(spark, monkeypatch, broadcast):
+    """Where items are few no shuffle carries their tokens; either way gives the plain counts."""
+    monkeypatch.setattr(overlap, "small", F.broadcast if broadcast else (lambda d: d))
+    docs = spark.createDataFrame([(i, [1, 2, 3 + i], 3) for i in range(20)], "id int, ts array<long>, size int")
+    items = spark.createDataFrame([(0, [1, 1, 4]), (1, [2, 9]), (2, [3])], "item int, ts array<long>")
+    pairs = docs.select("id").crossJoin(items.select("item"))
+    out = overlap.shared(pairs, docs, items)
+    got = {(r["id"], r["item"]): (r["hits"], r["n"], r["size"]) for r in out.collect()}
+    rows = {i: {1, 2, 3 + i} for i in range(20)}
+    assert got == {(i, j): (sum(t in rows[i] for t in ts), len(ts), 3) for i in rows for j, ts in enumerate([[1, 1, 4], [2, 9], [3]])}
+    if broadcast:
+        assert not any("its" in line for line in _plan(out).split("== Physical Plan ==")[-1].splitlines() if "collect_list" in line or "ObjectHashAggregate" in line)
