@@ -36,9 +36,9 @@ NEAR_RADIUS = 18
 NEAREST = 2
 #: Hashes of words that a task keeps; when full, the cache starts anew.
 CACHE = 50_000
-#: Shingles are ordered by their counts in all texts, or of more than SAMPLE texts in one of SAMPLE_SHARE; the most frequent
-#: ORDERED have a place of their own.  No pair depends on it.
-SAMPLE, SAMPLE_SHARE, ORDERED = 16_384, 16, 1 << 16
+#: Shingles are ordered by their counts in all texts, which are kept for so many residues of their hashes: a table whose size the texts don't
+#: change.  No pair depends on the order, so shingles may share a count.
+COUNTS = 1 << 20
 #: Rows of a batch: sets of shingles are wide.
 BATCH = 1000
 #: Members of a key that are paired in one part.
@@ -226,21 +226,23 @@ def _words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").lower().split()
 
 
-def _frequent(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that recur in a sample, ascending, and their counts: for the order of shingles only."""
-    part = docs if docs.count() <= SAMPLE else docs.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_SHARE)) == 0)
+def _counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
+    """How many shingles of all texts have each residue by COUNTS, a text's repeats once: for the order of shingles only.  A task adds its texts up
+    before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
+        known, total = _Words(), np.zeros(COUNTS, np.int64)
         for b in batches:
-            h = [shingle_set(_words_of(t), k, known) for t in values(b[0])]
-            yield pa.record_batch({"h": pa.array(np.concatenate([np.zeros(0, np.uint64), *h]).view(np.int64))})
+            for t in values(b[0]):
+                np.add.at(total, (shingle_set(_words_of(t), k, known) % np.uint64(COUNTS)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        for i in range(0, len(some), 1 << 16):
+            yield pa.record_batch({"r": pa.array(some[i : i + (1 << 16)]), "n": pa.array(total[some[i : i + (1 << 16)]])})
 
-    n = part.select(text).mapInArrow(tidy(run), "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    t = n.orderBy(F.col("n").desc(), "h").limit(ORDERED).toArrow()
-    h, n = t["h"].to_numpy().view(np.uint64), t["n"].to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+    t = docs.select(text).mapInArrow(tidy(run), "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTS, np.int64)
+    out[t["r"].to_numpy()] = t["n"].to_numpy()
+    return out
 
 
 def sketches(docs: DataFrame, text: str, k: int, least: float) -> DataFrame:
@@ -248,9 +250,9 @@ def sketches(docs: DataFrame, text: str, k: int, least: float) -> DataFrame:
     and over (its counts by bin, up to 255, and what is above), keys: the rarest shingles, so many that two sets of similarity
     least share one.
 
-    That holds in any order of shingles that is the same for all sets; rare ones first, by a sample, keeps keys apart.
+    That holds in any order of shingles that is the same for all sets; rare ones first, by counts over all texts, keeps keys apart.
     """
-    often, times = _frequent(docs, text, k)
+    times = _counts(docs, text, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -266,9 +268,7 @@ def sketches(docs: DataFrame, text: str, k: int, least: float) -> DataFrame:
                 bins.append(np.minimum(n, 255).astype(np.uint8).tobytes())
                 over.append(int(np.maximum(n - 255, 0).sum()))
                 m = len(h) - math.ceil(least * len(h) - 1e-9) + 1
-                if len(h) and len(often):
-                    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                    h = h[np.argsort(np.where(often[at] == h, times[at], 0), kind="stable")]
+                h = h[np.argsort(times[(h % np.uint64(COUNTS)).astype(np.int64)], kind="stable")]
                 keys.append(h[:m].view(np.int64))
             yield pa.record_batch(
                 {"id": b[0], "same": pa.array(same, pa.binary()), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "size": pa.array(size, pa.int64()),

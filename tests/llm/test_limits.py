@@ -57,3 +57,12 @@ def test_midpoints_of_crowded_shards(spark, small, docs, monkeypatch):  # noqa:
     monkeypatch.setattr(simhash, "TREE", 1)
     got = simhash.op5_simhash(spark, small).select("doc_id", "fingerprint", "component_id").collect()
     assert _key(map(tuple, got)) == _key(brute_simhash(docs))
+
+
+def test_shingles_are_counted_in_all_texts(spark):
+    """However many texts there are; a text's repeats count once."""
+    n = 20_000
+    texts = spark.range(n).selectExpr("id", "concat('one two three four five ', id) AS text")
+    got = simhash._counts(texts, "text", 5)
+    common = simhash.shingle_set(simhash._words_of("one two three four five"), 5, simhash._Words())
+    assert got.sum() == 2 * n and got[int(common[0] % np.uint64(simhash.COUNTS))] >= n
