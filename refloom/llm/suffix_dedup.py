@@ -21,19 +21,24 @@ their own (kind 2), so that no bucket holds a hot string's occurrences.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import partitions, table, tidy_groups, values
 
 THRESHOLD = 100
 BLOCK_BYTES = 4 << 20
 #: Different contexts of one anchor, over all blocks, from which its windows are dealt one by one.
 HOT = 20_000
 
+#: Occurrences of anchors whose contexts stand in memory at once.
+SLICE = 1 << 14
+
 #: Occurrences of one anchor in a block from which those with equal contexts are put aside before contexts are sorted.
 CROWDED = 1024
 
@@ -91,7 +96,7 @@ class Block:
     """The documents of a block in the order of (doc_id, text), null ids last, joined to one byte string."""
 
     def __init__(self, t: pa.Table, key: str, text: str):
-        ids, texts = t[key].to_pylist(), [(x or "").encode() for x in t[text].to_pylist()]
+        ids, texts = t[key].to_pylist(), [(x or "").encode() for x in values(t[text])]
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
         self.texts = [texts[i] for i in self.order]
         self.ids = np.array([2**63 - 1 if ids[i] is None else ids[i] for i in self.order], np.int64)
@@ -102,7 +107,10 @@ class Block:
         self.seq = (np.arange(len(new)) - start).astype(np.int32)
         self.size = np.array([len(x) for x in self.texts], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.size)])[:-1].astype(np.int64)
-        self.data = np.frombuffer(b"".join(self.texts), np.uint8)
+
+    @cached_property
+    def data(self) -> np.ndarray:
+        return np.frombuffer(b"".join(self.texts), np.uint8)
 
     def anchors(self, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, position in self.data and hash of every anchor."""
@@ -154,9 +162,11 @@ class Block:
         reach = threshold - k
         have_l, have_r = self.reaches(doc, pos, threshold)
         step = np.arange(reach)
-        padded = np.concatenate([self.data, np.zeros(reach + 1, np.uint8)])
-        left = np.where(step < have_l[:, None], padded[np.maximum(pos[:, None] - 1 - step, 0)], 0).astype(np.uint8)
-        right = np.where(step < have_r[:, None], padded[np.minimum(pos[:, None] + k + step, len(padded) - 1)], 0).astype(np.uint8)
+        pad = np.zeros(reach, np.uint8)
+        strings = sliding_window_view(np.concatenate([pad, self.data, pad]), reach)  # no matrix of places is made
+        left, right = np.ascontiguousarray(strings[pos][:, ::-1]), strings[pos + k + reach]
+        left *= step < have_l[:, None]
+        right *= step < have_r[:, None]
         return left, right, have_l.astype(np.uint8), have_r.astype(np.uint8)
 
 
@@ -302,12 +312,24 @@ def _unpack(blob: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
     out, at = [], 0
     for d, w in kinds:
         size = n * w * np.dtype(d).itemsize
-        a = np.frombuffer(body[at : at + size], d)
+        a = np.frombuffer(body, d, n * w, at)
         out.append(a.reshape(n, w) if w > 1 else a)
         at += size
     return out
 
 
+def _unpack_all(blobs: Iterator[bytes], *kinds: tuple[str, int]) -> list[np.ndarray]:
+    """The arrays of all blobs, one after another; only one blob at a time is unpacked beside them."""
+    blobs = list(blobs)
+    n = np.cumsum([0] + [int.from_bytes(x[:8], "little") for x in blobs]) // sum(np.dtype(d).itemsize * w for d, w in kinds)
+    out = [np.empty((n[-1], w) if w > 1 else n[-1], d) for d, w in kinds]
+    for i, x in enumerate(blobs):
+        for a, part in zip(out, _unpack(x, *kinds), strict=True):
+            a[n[i] : n[i + 1]] = part
+        blobs[i] = b""
+    return out
+
+
 _ROWS = pa.schema({"to": pa.int64(), "kind": pa.int8(), "block": pa.int64(), "blob": pa.binary()})
 _SQL = "to long, kind byte, block long, blob binary"
 
@@ -418,7 +440,7 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, block_bytes: int
         else:
             spans = [(np.zeros(0, np.int64),) * 3]
         firsts = []
-        for lo, hi in _runs(group, 1 << 16):
+        for lo, hi in _runs(group, SLICE):
             left, right, have_l, have_r = b.contexts(doc[lo:hi], pos[lo:hi], threshold)
             g = group[lo:hi] - group[lo]
             r, d0, d1 = earlier_windows(g, left, right, have_l, have_r)
@@ -428,16 +450,18 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, block_bytes: int
             whole = np.zeros(hi - lo, bool)
             whole[(r - lo)[(d0 == reach - have_r[r - lo].astype(np.int64)) & (d1 == have_l[r - lo])]] = True
             send = np.flatnonzero(~whole & out_there[lo:hi])
-            cool = send[~is_hot[lo:hi][send]]
-            firsts.append((val[lo:hi][cool], doc[lo:hi][cool], pos[lo:hi][cool], left[cool], right[cool], have_l[cool], have_r[cool]))
+            firsts.append(lo + send[~is_hot[lo:hi][send]])
             warm = send[is_hot[lo:hi][send]]
             if len(warm):
                 rows += _hot_rows(b, own, doc[lo:hi][warm], pos[lo:hi][warm], have_l[warm], have_r[warm])
         if firsts:
-            h, d, p, left, right, have_l, have_r = (np.concatenate(x) for x in zip(*firsts, strict=True))
-            check = _window_hash(b.data, p, k)
-            for to, x in _split(bucket(h), h, check, b.ids[d], b.seq[d], (p - b.begin[d]).astype(np.int32), have_l, have_r, left, right):
-                rows.append((to, 1, own, _pack(*x)))
+            at = np.concatenate(firsts)
+            at = at[np.argsort(bucket(val[at]), kind="stable")]
+            for lo, hi in _runs(bucket(val[at]), SLICE):  # made again, as those of the whole block are many times its size
+                h, d, p = val[at[lo:hi]], doc[at[lo:hi]], pos[at[lo:hi]]
+                left, right, have_l, have_r = b.contexts(d, p, threshold)
+                for to, x in _split(bucket(h), h, _window_hash(b.data, p, k), b.ids[d], b.seq[d], (p - b.begin[d]).astype(np.int32), have_l, have_r, left, right):
+                    rows.append((to, 1, own, _pack(*x)))
         d, s, e = (np.concatenate(x) for x in zip(*spans, strict=True))
         d, s, e = _merge(d, s, e)
         if len(d):
@@ -475,10 +499,9 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, block_bytes: int
             at = np.flatnonzero(kinds == kind)
             if not len(at):
                 continue
-            parts = [_unpack(blobs[int(i)].as_py(), *head, *more) for i in at]
-            block = np.concatenate([np.full(len(p[0]), blocks[i]) for i, p in zip(at, parts, strict=True)])
-            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            del parts
+            width = sum(np.dtype(d).itemsize * w for d, w in [*head, *more])
+            block = np.repeat(blocks[at], [int.from_bytes(blobs[int(i)].as_py()[:8], "little") // width for i in at])
+            cols = _unpack_all((blobs[int(i)].as_py() for i in at), *head, *more)
             h, check, ids, seq, pos = cols[:5]
             order = np.lexsort((pos, seq, ids, check, h))
             h, check = h[order], check[order]
@@ -491,7 +514,7 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, block_bytes: int
                 continue
             keep = np.bincount(group)[group] > 1
             order, group = order[keep], group[keep]
-            for lo, hi in _runs(group, 1 << 16):
+            for lo, hi in _runs(group, SLICE):
                 o = order[lo:hi]
                 have_l, have_r, left, right = (c[o] for c in cols[5:])
                 r, d0, d1 = earlier_windows(group[lo:hi] - group[lo], left, right, have_l, have_r)
@@ -501,10 +524,10 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, block_bytes: int
         out += [(to, 3, to, _pack(i, s, a.astype(np.int32), e.astype(np.int32))) for to, (i, s, a, e) in _split(block, ids, seq, start, end)]
         return _rows(out)
 
-    sent = blocked.groupBy("_block").applyInArrow(send_hashes, _SQL)
-    back = sent.groupBy("to").applyInArrow(return_repeated, _SQL)
-    contexts = blocked.groupBy("_block").cogroup(back.groupBy("to")).applyInArrow(send_contexts, _SQL)
-    return blocked, contexts.groupBy("to").applyInArrow(sort_bucket, _SQL)
+    sent = blocked.groupBy("_block").applyInArrow(tidy_groups(send_hashes), _SQL)
+    back = sent.groupBy("to").applyInArrow(tidy_groups(return_repeated), _SQL)
+    contexts = blocked.groupBy("_block").cogroup(back.groupBy("to")).applyInArrow(tidy_groups(send_contexts), _SQL)
+    return blocked, contexts.groupBy("to").applyInArrow(tidy_groups(sort_bucket), _SQL)
 
 
 def _runs(group: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:
@@ -555,7 +578,7 @@ def cut_repeats(docs: DataFrame, threshold: int = THRESHOLD, block_bytes: int =
         return out
 
     schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", _n_bytes long, _starts array<long>, _ends array<long>, _kept " + ("string" if as_text else "binary")
-    return blocked.groupBy("_block").cogroup(spans.groupBy("to")).applyInArrow(cut, schema)
+    return blocked.groupBy("_block").cogroup(spans.groupBy("to")).applyInArrow(tidy_groups(cut), schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

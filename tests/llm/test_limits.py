@@ -1,6 +1,7 @@
 """Routes for crowded groups and very long texts, against brute force."""
 
 import resource
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -47,6 +48,34 @@ def test_memory_of_long_runs_of_one_character():
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1_200_000
 
 
+def test_contexts_take_little_memory():
+    """Beside the block and the contexts themselves no matrix of places: 8 bytes for each of theirs stopped the pipeline at 0.5 GB."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 123, n))) for n in (1_000_000, 30, 99, 100, 101, 160)]
+    b = suffix_dedup.Block(pa.table({"doc_id": list(range(6)), "text": texts}), "doc_id", "text")
+    b.data  # noqa: B018
+    pos = np.concatenate([np.arange(0, 999_951, 25), b.begin[3:], b.begin[3:] + b.size[3:] - 50])
+    doc = np.searchsorted(b.begin, pos, "right") - 1
+    tracemalloc.start()
+    left, right, have_l, have_r = b.contexts(doc, pos, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 50 * len(pos)
+    for i in [0, 1, 2, 3, *range(len(pos) - 8, len(pos))]:
+        x, at = texts[doc[i]].encode(), pos[i] - b.begin[doc[i]]
+        before, after = x[max(0, at - 50) : at][::-1], x[at + 50 : at + 100]
+        assert (left[i].tobytes(), have_l[i]) == (before.ljust(50, b"\0"), len(before))
+        assert (right[i].tobytes(), have_r[i]) == (after.ljust(50, b"\0"), len(after))
+
+
+def test_slices_of_contexts(spark, docs, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(suffix_dedup, "SLICE", 3)
+    rows = [r for r in docs if r[0] is not None][:120]
+    assert _removed(spark, rows, block_bytes=2048) == _key(r[:4] for r in brute_suffix(rows))
+
+
 def test_long_runs_on_spark(spark):
     rows = [(1, "-" * (4 << 20)), (2, "-" * (4 << 20)), (3, "word " * 200_000)]
     got = _removed(spark, rows)
