@@ -349,12 +349,41 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Of rows (key, id, g, ...) those of keys that more than one group has, with n, the members; of keys with the same members one."""
-    of = rows.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(SEED), "id")).alias("y"))
-    one = of.filter("lo < hi").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    """Of rows (key, id, g, pos, ...) those of keys that more than one group has, with n, the members; of keys with the same members the
+    first in the order of shingles, which comes first in every member."""
+    of = rows.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n"), F.sum("pos").alias("at"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(SEED), "id")).alias("y"))
+    one = of.filter("lo < hi").groupBy("n", "x", "y").agg(F.min_by("key", "at").alias("key"))
     return rows.join(one.select("key", "n"), "key")
 
 
+def _reach(size: Column, pos: Column, least: float) -> Column:
+    """At a key, the pos-th of a set in the order of shingles, what least times the size of a similar set must not exceed.
+
+    Two sets whose first common shingle stands at i in x and at j in y share at most min(|x| - i, |y| - j); similar ones share
+    least / (1 + least) of |x| + |y|.  So |x| - (1 + least) * i >= least * |y|, and the same with x and y exchanged.  At a later common
+    shingle both left sides are less, so a pair that is told apart at its first one is told apart at all.
+    """
+    return size - F.lit(1 + least) * pos + F.lit(1e-6)
+
+
+def _in_reach(rows: DataFrame, least: float) -> DataFrame:
+    """Of rows (key, id, size, pos) those whose key has another member, and members that the row and that the row's set may be similar to."""
+    reach = _reach(F.col("size"), F.col("pos"), least)
+    of = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("size").alias("s"), F.max(reach).alias("r")).filter("m > 1")
+    return rows.join(of, "key").filter((reach >= F.lit(least) * F.col("s")) & (F.col("r") >= F.lit(least) * F.col("size"))).drop("m", "s", "r")
+
+
+def _with_others(rows: DataFrame, least: float) -> DataFrame:
+    """Of rows (key, id, g, size, reach, ...) those that a set of another group at the key, and that it, may be similar to."""
+    of = rows.groupBy("key", "g").agg(F.min("size").alias("s"), F.max("reach").alias("r"))
+    top = of.groupBy("key").agg(F.min(F.struct("s", "g")).alias("s1"), F.max(F.struct("r", "g")).alias("r1"))
+    s2, r2 = F.min(F.when(F.col("g") != F.col("s1.g"), F.col("s"))).alias("s2"), F.max(F.when(F.col("g") != F.col("r1.g"), F.col("r"))).alias("r2")
+    top = of.join(top, "key").groupBy("key", "s1", "r1").agg(s2, r2).filter("s2 IS NOT NULL")
+    s = F.when(F.col("g") != F.col("s1.g"), F.col("s1.s")).otherwise(F.col("s2"))
+    r = F.when(F.col("g") != F.col("r1.g"), F.col("r1.r")).otherwise(F.col("r2"))
+    return rows.join(top, "key").filter((F.col("reach") >= F.lit(least) * s) & (r >= F.lit(least) * F.col("size"))).drop("s1", "r1", "s2", "r2")
+
+
 def _similar(seen: DataFrame, least: float) -> DataFrame:
     return seen.filter(F.col("both") >= F.lit(least) * F.col("either")).select("a", "b")
 
@@ -364,11 +393,12 @@ def near_duplicates(docs: DataFrame, k: int = NEAR_SHINGLE, least: float = SIMIL
 
     Exact: two texts whose sets of k-word shingles have a Jaccard similarity of least or more are in one group, however many
     texts share a shingle.  Copies are joined by a 128-bit hash of their words.  Similar texts share one of their rarest
-    shingles, and the texts with a rare shingle are a shard.  First each is verified against the shard's hub, the member that
+    shingles, and the texts with a rare shingle are a shard, but for those in which it comes too late for any similar set of the
+    sizes that are there (_reach).  First each is verified against the shard's hub, the member that
     shares most shards with most others, and against its nearest in the BK-tree of the shard's SimHash fingerprints; for copies
     edited one by one this joins nearly all.  Then all pairs of a shard that are still in different groups are
-    verified but for those that cannot be similar: by their sizes and bins, or since 1 - similarity is a metric and their
-    distances to the hub differ too much.  Members of a crowded shard are dealt to parts for that, and each part meets all of them.
+    verified but for those that cannot be similar: by their sizes, by where the shard's shingle stands in both, by their bins, or
+    since 1 - similarity is a metric and their distances to the hub differ too much.  Members of a crowded shard are dealt to parts for that, and each part meets all of them.
 
     Every link is verified by the similarity of the whole texts.  Null and wordless texts are copies of each other; texts of fewer
     than k words have one shingle; repeated rows are copies; empty in, empty out; other columns are left out.
@@ -382,16 +412,15 @@ def _grouped(d: DataFrame, k: int, least: float) -> DataFrame:
     p = sketches(d, "text", k, least).checkpoint()
     copies = p.groupBy("same").agg(F.min("id").alias("first"))
     groups = copies.select(F.col("first").alias("id"), F.col("first").alias("g")).checkpoint()
-    rows = p.select("id", "keys").join(groups.select("id"), "id", "left_semi").select("id", F.explode("keys").alias("key"))
-    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key", "left_semi")
-    rows = _shared(rows.withColumn("g", F.col("id"))).join(p.select("id", "fp", "size"), "id").checkpoint()
+    rows = p.select("id", "size", "keys").join(groups.select("id"), "id", "left_semi").select("id", F.col("size").cast("int").alias("size"), F.posexplode("keys").alias("pos", "key"))
+    rows = _shared(_in_reach(rows, least).withColumn("g", F.col("id"))).join(p.select("id", "fp"), "id").checkpoint()
     groups = _linked(d, p, rows, groups, "text", k, least)
     named = groups.join(p.select("id", "same"), "id").select("same", F.col("g").alias("group"))
     return p.select("id", "same").join(named, "same").select("id", "group")
 
 
 def _linked(docs: DataFrame, p: DataFrame, rows: DataFrame, groups: DataFrame, text: str, k: int, least: float) -> DataFrame:
-    """groups (id, g; each id its own), which similar pairs of rows (key, id, n, fp, size) join."""
+    """groups (id, g; each id its own), which similar pairs of rows (key, id, n, fp, size, pos) join."""
     if rows.isEmpty():
         return groups
     apart = 1 - least + 1e-9
@@ -407,13 +436,14 @@ def _linked(docs: DataFrame, p: DataFrame, rows: DataFrame, groups: DataFrame, t
     # what is known of the distance to the hub
     exact = seen.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
     far = low.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("far", "low").alias("low"), F.coalesce("far", F.lit(1.0)).alias("high"))
-    rows = _shared(rows.drop("g", "n").join(groups, "id")).join(hubs, "key").filter("id != hub").select("*", *pair).join(far, ["a", "b"])
-    rows = rows.select("key", "id", "size", "g", "low", "high", "n").checkpoint()
+    rows = rows.drop("g", "n").join(groups, "id").withColumn("reach", _reach(F.col("size"), F.col("pos"), least))
+    rows = _shared(_with_others(rows, least)).join(hubs, "key").filter("id != hub").select("*", *pair).join(far, ["a", "b"])
+    rows = rows.select("key", "id", "size", "reach", "g", "low", "high", "n").checkpoint()
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / CROWD)).cast("int")
     x = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).alias("x")
     y = rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
     may = (F.col("x.g") < F.col("y.g")) & (F.col("x.low") - F.col("y.high") <= apart) & (F.col("y.low") - F.col("x.high") <= apart)
-    may &= F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size") - 1e-6
+    may &= (F.col("x.reach") >= F.lit(least) * F.col("y.size")) & (F.col("y.reach") >= F.lit(least) * F.col("x.size"))
     left = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & may)
     left = left.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     left = _least_distances(left, p).filter(F.col("low") <= apart).select("a", "b").checkpoint()

@@ -95,3 +95,63 @@ def test_shingles_are_counted_in_all_texts(spark):
     got = simhash._counts(texts, "text", 5)
     common = simhash.shingle_set(simhash._words_of("one two three four five"), 5, simhash._Words())
     assert got.sum() == 2 * n and got[int(common[0] % np.uint64(simhash.COUNTS))] >= n
+
+
+def _groups(texts):
+    """The smallest index that pairs of a similarity of 0.8 or more lead to, all pairs tried."""
+    shingles = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in texts]
+    group = list(range(len(texts)))
+
+    def find(x):
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    for i, s in enumerate(shingles):
+        for j in range(i):
+            both = len(s & shingles[j])
+            if both >= 0.8 * (len(s) + len(shingles[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                group[b] = a
+    return {i: find(i) for i in range(len(texts))}
+
+
+def _near(spark, texts):
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "id long, text string")
+    return {r["id"]: r["group"] for r in simhash.near_duplicates(df).collect()}
+
+
+def test_texts_that_share_a_passage_are_not_paired(spark, monkeypatch):
+    """300 texts share most of their words but are not similar, as many more are just similar to each other: pairs that are verified grow with the
+    texts, not with their square (44,850 of the first 300 alone)."""
+    verified, count = [], simhash._least_distances
+
+    def counted(pairs, p):
+        verified.append(pairs.count())
+        return count(pairs, p)
+
+    monkeypatch.setattr(simhash, "_least_distances", counted)
+    passage = [f"p{i}" for i in range(90)]
+    texts = [[f"u{i}x{j}" for j in range(14)] + passage for i in range(300)]
+    texts += [[f"v{i}x{j}" for j in range(8 + i % 3)] + passage for i in range(300)]
+    assert _near(spark, texts) == {i: i if i < 300 else 300 for i in range(600)}
+    assert sum(verified) <= 6 * len(texts)
+
+
+def test_near_duplicates_at_the_bound(spark):
+    """Parts of texts, some edited, of many sizes and with similarities about the least one."""
+    rng = np.random.default_rng(7)
+    bases = [[f"w{rng.integers(300)}" for _ in range(100)] for _ in range(4)]
+    texts = []
+    for i in range(700):
+        w = list(bases[i % 4])
+        a, b = rng.integers(0, 16, 2)
+        w = w[int(a) : len(w) - int(b)]
+        for _ in range(int(rng.integers(0, 4))):
+            w[int(rng.integers(len(w)))] = f"w{rng.integers(300)}" if rng.random() < 0.5 else f"e{rng.integers(40)}"
+        texts.append(w if i % 7 else [f"x{i % 50}", *w, f"y{i % 30}"])
+    # each pair alone, with no third text that could join it
+    for i in range(150):
+        w = [f"a{i}x{j}" for j in range(int(rng.integers(30, 90)))]
+        texts += [w, w[: max(6, round(0.8 * (len(w) - 4)) + 4 + int(rng.integers(-1, 2)))]]
+    assert _near(spark, texts) == _groups(texts)
