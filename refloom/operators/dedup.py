@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import ensure_checkpoint_dir, written
 from ..functions import text as X
-from ..functions.places import let
 from ..schema import is_blank, year_of
+from . import edits
 from .display import placed
 
 THRESHOLD = 0.8
-#: Longs that hold a text's pairs of characters, a bit each.
-WORDS = 4
+#: Rows that are alike of which one row holds the numbers.
+SLICE = 256
 
 
 def features(items: DataFrame, compat: bool = False) -> DataFrame:
@@ -44,62 +44,9 @@ def similarity(a: str, b: str, compat: bool = False) -> Column:
     return F.when(some, total / weight).otherwise(0.0)
 
 
-def _cut(length: Column, pieces: Column, i: Column) -> tuple[Column, Column]:
-    """Start and length of piece i of a text cut evenly, the longer pieces last."""
-    short, longer = F.floor(length / pieces), F.pmod(length, pieces)
-    late = i - (pieces - longer)
-    return i * short + F.greatest(late, F.lit(0)), short + F.when(late >= 0, 1).otherwise(0)
-
-
-def pieces(c: Column, ratio: float) -> Column:
-    """Keys of a text as the shorter one of a pair: for every number of edits k that a partner's length allows, its k + 1 pieces.
-
-    A text within k edits has one of them unchanged, not far from its place.  A key is a hash of length, k, the piece's number and the piece.
-    """
-    n = F.char_length(c)
-    least, most = F.floor((1 - ratio) * n + 1e-6).cast("int"), F.floor((1 - ratio) / ratio * n + 1e-6).cast("int")
-
-    def keys(k: Column) -> Column:
-        def key(i: Column) -> Column:
-            at, long = _cut(n, k + 1, i)
-            return F.xxhash64(n, k, i, F.substring(c, at.cast("int") + 1, long.cast("int")))
-
-        return F.transform(F.sequence(F.lit(0), k), key)
-
-    return F.flatten(F.transform(F.sequence(least, most), keys))
-
-
-def probes(c: Column, ratio: float, lengths: list[int]) -> Column:
-    """Keys of a text as the longer one: with k edits in all, i before piece i at most and k - i after it, which bounds how far a piece can have
-    moved.  lengths: those that occur, so that no others are asked for."""
-    n = F.char_length(c)
-    k = F.floor((1 - ratio) * n + 1e-6).cast("int")
-    shorter = F.filter(F.array(*map(F.lit, lengths)), lambda m: (m <= n) & (n - m <= k))
-
-    def of_length(m: Column) -> Column:
-        def of_piece(i: Column) -> Column:
-            at, long = _cut(m, k + 1, i)
-            first = F.greatest(F.lit(0), at - i, at + (n - m) - (k - i)).cast("int")
-            last = F.least(n - long, at + i, at + (n - m) + (k - i)).cast("int")
-            places = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
-            return F.transform(places, lambda p: F.xxhash64(m, k, i, F.substring(c, p + 1, long.cast("int"))))
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), k), of_piece))
-
-    return F.array_distinct(F.flatten(F.transform(shorter, of_length)))
-
-
-def _grams(c: Column) -> Column:
-    """The distinct pairs of adjacent characters, as a bit each in WORDS longs: an edit turns two of them off and two on at most."""
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(c, i, 2)), F.lit(64 * WORDS)).cast("int"))
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)))
-    word = lambda hs, w: F.aggregate(F.filter(hs, lambda h: F.floor(h / 64) == w), F.lit(0).cast("long"), lambda s, h: s.bitwiseOR(bit(h)))
-    return let(at, lambda hs: F.struct(*[word(hs, w).alias(f"w{w}") for w in range(WORDS)]))
-
-
-def _off(x: str, y: str) -> Column:
-    """How many bits of x are off in y."""
-    return sum(F.bit_count(F.col(f"{x}.w{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}.w{w}")))) for w in range(WORDS))
+def _partitions(d: DataFrame) -> int:
+    """For few rows with much work behind each, which are dealt by number and not by their size."""
+    return int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _shuffled(d: DataFrame) -> DataFrame:
@@ -107,34 +54,27 @@ def _shuffled(d: DataFrame) -> DataFrame:
     return d.hint("merge")
 
 
-def similar_texts(rows: DataFrame, text: str, ratio: float, within: str | None = None) -> DataFrame:
+def similar_texts(rows: DataFrame, text: str, ratio: float, within: str | None = None, among: Column | None = None) -> DataFrame:
     """lo, hi: by ord, the pairs of rows (ord, text) with 1 - distance / longer length of at least ratio, and of one value of `within`.  No
-    pair is missed.
+    pair is missed, but for pairs of different texts that have no row of `among`, where that is given.
 
-    Equal texts are one row of the index, so that copies make no hot keys.  Of different ones, those meet that share a piece (see
-    pieces() and probes()); then each edit takes two pairs of adjacent characters away at most, and only what that count leaves is
-    compared.  A text has about k*k/2 keys for each length within its reach, k being the edits allowed.  Nothing is broadcast, and texts
-    are fetched only for the pairs that the count leaves.
+    Equal texts are one row until the end.  Different ones are dealt into blocks by length, and every two blocks whose lengths allow it are
+    held against each other in a task (see edits): time grows with the square of the texts, rows shuffled with texts times blocks, and
+    only pairs that are close leave a task.  Nothing is broadcast.
     """
-    same = [within] if within else []
-    d = rows.filter(F.col(text).isNotNull()).select("ord", F.col(text).alias("t"), *same)
-    each = d.groupBy("t", *same).agg(F.min("ord").alias("id"))
-    # short rows with very many keys: dealt by number, not by their size
-    each = written(each.select("id", "t", *same, F.char_length("t").alias("n"), _grams(F.col("t")).alias("g")), "texts").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    lengths = sorted(r[0] for r in each.select("n").distinct().collect())
-    shut = lambda key: F.xxhash64(key, *same) if same else key
-    index = each.select(F.col("id").alias("a"), F.explode(pieces(F.col("t"), ratio)).alias("key"), *same).select("a", shut(F.col("key")).alias("key"))
-    asked = each.select(F.col("id").alias("b"), F.explode(probes(F.col("t"), ratio, lengths)).alias("key"), *same).select("b", shut(F.col("key")).alias("key"))
-    met = index.join(_shuffled(asked), "key").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    most = lambda n, m: F.floor((1 - ratio) * F.greatest(n, m) + 1e-6).cast("int")
-    side = lambda id, **cols: _shuffled(each.select(F.col("id").alias(id), *[F.col(c).alias(n) for n, c in cols.items()]))
-    near = met.join(side("a", n="n", gx="g"), "a").join(side("b", m="n", gy="g"), "b")
-    near = near.filter((_off("gx", "gy") <= 2 * most("n", "m")) & (_off("gy", "gx") <= 2 * most("n", "m"))).select("a", "b")
-    own = {"_w": within} if within else {}
-    both = near.join(side("a", x="t", **own), "a").join(side("b", y="t", **({"_v": within} if within else {})), "b")
-    alike = both.filter((F.levenshtein("x", "y") <= most(F.char_length("x"), F.char_length("y"))) & (F.col("_w") == F.col("_v") if same else F.lit(True))).select("a", "b")
+    d = rows.filter(F.col(text).isNotNull()).select("ord", F.col(text).alias("t"), (F.col(within) if within else F.lit(0)).alias("w"), (F.lit(True) if among is None else among).alias("open")).filter("w IS NOT NULL")
+    each = d.groupBy("t", "w").agg(F.min("ord").cast("long").alias("id"), F.bool_or("open").alias("open"))
+    each = written(each.select("id", "t", "w", "open", F.char_length("t").alias("n"), F.pmod(F.xxhash64("id"), F.lit(1 << 31)).alias("h")), "texts")
+    blocks, table = edits.dealt([tuple(r) for r in each.groupBy("w", "open", "n").count().collect()], ratio)
+    met = each.mapInArrow(partial(edits.placed, table=table), "id long, t string, block long, others array<long>").select("id", "t", "block", F.explode("others").alias("other"))
+    met = met.select((F.least("block", "other") * blocks + F.greatest("block", "other")).alias("p"), (F.col("block") > F.col("other")).alias("second"), "id", "t")
+    near = written(met.repartition(_partitions(rows), "p").groupBy("p").applyInArrow(lambda x: edits.pairs(x, ratio), "a long, b long, sure boolean"), "close")
+    side = lambda id, n: _shuffled(each.select(F.col("id").alias(id), F.col("t").alias(n)))
+    rest = near.filter("NOT sure").join(side("a", "x"), "a").join(side("b", "y"), "b")
+    most = F.floor((1 - ratio) * F.greatest(F.char_length("x"), F.char_length("y")) + 1e-6)
+    alike = near.filter("sure").select("a", "b").union(rest.filter(F.levenshtein("x", "y") <= most).select("a", "b"))
     alike = alike.union(each.select(F.col("id").alias("a"), F.col("id").alias("b")))
-    ids = d.join(_shuffled(each.select("id", "t", *same)), ["t", *same]).select("ord", "id")
+    ids = d.join(_shuffled(each.select("id", "t", "w")), ["t", "w"]).select("ord", "id")
     both = alike.join(_shuffled(ids.select(F.col("id").alias("a"), F.col("ord").alias("p"))), "a").join(_shuffled(ids.select(F.col("id").alias("b"), F.col("ord").alias("q"))), "b").filter("p != q")
     return both.select(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).distinct()
 
@@ -144,34 +84,55 @@ def edges(items: DataFrame, threshold: float = THRESHOLD, compat: bool = False)
 
     No pair is missed, since one of these must hold: the DOIs are equal; or the titles' ratio t is at least the threshold; or the years are equal and t is what
     the year's weight leaves to be reached; or the authors' ratio is, alone or with equal years.  Rows whose DOIs differ can't reach
-    it.  Each case is a join of similar texts (see similar_texts()), and only pairs that one of them finds are scored.
+    it, nor can rows whose years differ by a title or authors alone if the year's weight is too much for them; where years are equal,
+    the second case has the first.  Each case is a join of similar texts (see similar_texts()), and only pairs that one of them finds are scored.
 
-    Rows that are alike in all that is compared are one row until all is scored, so that copies are paired in the result only.
+    Rows that are alike in all that is compared are one row with a number of its own until all is scored, so that copies are paired in the
+    result only, and rows of one ord, which make no pair, are told apart.
     """
     what = ["doi", "title", "authors", "year"]
     some = features(items, compat).filter("doi IS NOT NULL OR title IS NOT NULL OR authors IS NOT NULL")
-    f = written(some.groupBy(*what).agg(F.min("ord").alias("ord"), F.collect_list("ord").alias("rows")), "features")
+    f = written(some.groupBy(*what).agg(F.collect_list("ord").alias("rows")).withColumn("ord", F.monotonically_increasing_id()), "features")
     year = lambda r: max(0.1, (r * threshold - 1) / (r - 1))  # noqa: E731  what is left to reach where the year counts 1 of r
+    alone = lambda other, r: F.lit((r - 1) / r >= threshold) | F.col("year").isNull() | F.col(other).isNotNull()  # noqa: E731  what another year doesn't rule out
     dated = f.filter("year IS NOT NULL")
     doi = f.filter("doi IS NOT NULL").select("ord", "doi")
     found = [doi.alias("a").join(_shuffled(doi).alias("b"), (F.col("a.doi") == F.col("b.doi")) & (F.col("a.ord") < F.col("b.ord"))).select(F.col("a.ord").alias("lo"), F.col("b.ord").alias("hi"))]
     found.append(f.filter(F.size("rows") > 1).select(F.col("ord").alias("lo"), F.col("ord").alias("hi")))
     if not f.filter("title IS NOT NULL").isEmpty():
-        found.append(similar_texts(f, "title", threshold))
+        found.append(similar_texts(f, "title", threshold, among=alone("authors", 4)))
         if not dated.isEmpty():
             found.append(similar_texts(dated, "title", year(4), "year"))
     if not f.filter("authors IS NOT NULL").isEmpty():
-        found.append(similar_texts(f, "authors", threshold))
+        found.append(similar_texts(f, "authors", threshold, among=alone("title", 3)))
         if not dated.isEmpty():
             found.append(similar_texts(dated, "authors", year(3), "year"))
     pairs = reduce(DataFrame.union, found).distinct()
-    side = lambda n: _shuffled(f.select(F.col("ord").alias(f"{n}_ord"), F.struct("ord", *what).alias(n)))
+    side = lambda n: _shuffled(f.select(F.col("ord").alias(f"{n}_ord"), F.struct("ord", *what, F.size("rows").alias("rows")).alias(n)))
     both = pairs.join(side("a"), F.col("lo") == F.col("a_ord")).join(side("b"), F.col("hi") == F.col("b_ord"))
     apart = F.coalesce(F.col("a.doi") != F.col("b.doi"), F.lit(False))
-    fine = both.filter(~apart).select("lo", "hi", similarity("a", "b", compat).alias("score")).filter(F.col("score") >= threshold)
-    each = lambda c, n: _shuffled(f.select(F.col("ord").alias(c), F.explode("rows").alias(n)))
-    rows = fine.join(each("lo", "p"), "lo").join(each("hi", "q"), "hi").filter("lo != hi OR p < q")
-    return rows.select(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "score")
+    fine = both.filter(~apart).select("lo", "hi", F.col("a.rows").alias("m"), F.col("b.rows").alias("n"), similarity("a", "b", compat).alias("score")).filter(F.col("score") >= threshold)
+    return _paired(fine, f.select("ord", "rows"))
+
+
+def _paired(fine: DataFrame, f: DataFrame) -> DataFrame:
+    """lo, hi, score of the rows behind pairs (lo, hi, score) of ord, m and n being the numbers of their rows.
+
+    A slice of the rows of one meets a slice of the other's, so that a text with many copies is not one task's.  The side with more rows
+    comes last, as what comes first is sent on for every slice of it.
+    """
+    less = F.col("m") < F.col("n")
+    last = lambda n: F.floor((n - 1) / SLICE)
+    x = fine.select("score", F.when(less, F.col("lo")).otherwise(F.col("hi")).alias("x"), F.when(less, F.col("hi")).otherwise(F.col("lo")).alias("y"), last(F.least("m", "n")).alias("m"), last(F.greatest("m", "n")).alias("n"))
+    x = x.select("score", "x", "y", "n", F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("i"))
+    x = x.select("score", "x", "y", "i", F.explode(F.sequence(F.when(F.col("x") == F.col("y"), F.col("i")).otherwise(0), "n")).alias("j"))
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), last(F.size("rows"))), lambda i: F.slice("rows", (i * SLICE + 1).cast("int"), F.lit(SLICE)))
+    each = lambda k, i, n: f.select(F.col("ord").alias(k), F.posexplode(cut).alias(i, n)).withColumn(i, F.col(i).cast("long"))
+    x = x.join(_shuffled(each("x", "i", "ps")), ["x", "i"]).repartition(_partitions(f), "y", "j")
+    x = x.join(_shuffled(each("y", "j", "qs").repartition(_partitions(f), "y", "j")), ["y", "j"])
+    one = (F.col("x") == F.col("y")) & (F.col("i") == F.col("j"))
+    x = x.select("score", one.alias("one"), "ps", F.explode("qs").alias("q")).select("score", "one", F.explode("ps").alias("p"), "q").filter("p < q OR p > q AND NOT one")
+    return x.select(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "score")
 
 
 def greedy_groups(items: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from refloom.operators import dedup, joins, overlap
+from refloom.operators import dedup, edits, joins, overlap
 from refloom.schema import as_items
 
 
@@ -140,3 +142,69 @@ def test_items_are_not_shuffled_for_every_pair(spark, monkeypatch, broadcast):
     assert got == {(i, j): (sum(t in rows[i] for t in ts), len(ts), 3) for i in rows for j, ts in enumerate([[1, 1, 4], [2, 9], [3]])}
     if broadcast:
         assert not any("its" in line for line in _plan(out).split("== Physical Plan ==")[-1].splitlines() if "collect_list" in line or "ObjectHashAggregate" in line)
+
+
+@pytest.mark.parametrize("long", [2048, 30])
+def test_close_texts_of_blocks(long, monkeypatch):
+    """Blocks of texts with many pieces in common: no pair is missed, and hardly any is named that is not close; before, most shared a key."""
+    monkeypatch.setattr(edits, "LONG", long)
+    rng = random.Random(6)
+    words = ["the ", "and ", "in", "er", "th", "re", "an ", "on", "é", "漢 "]
+    base = ["".join(rng.choice(words) for _ in range(rng.choice([1, 14, 14, 14, 40]))) for _ in range(120)]
+    texts = list(dict.fromkeys(["", "a", *base, *[t[:at] + rng.choice(["", "x", "th"]) + t[at + rng.randrange(3) :] for t in base[:80] for at in [rng.randrange(len(t) + 1)]]]))
+    rng.shuffle(texts)
+    known = {(i, j): _distance(texts[i], texts[j]) for i in range(len(texts)) for j in range(i + 1, len(texts))}
+    half = len(texts) // 2
+    block = lambda at: edits.Texts(np.arange(at.start, at.stop), pa.array(texts[at]))
+    a, b = block(slice(0, half)), block(slice(half, len(texts)))
+    for ratio in (0.6, 0.75, 0.8):
+        want = {p for p, d in known.items() if d <= int((1 - ratio) * max(len(texts[p[0]]), len(texts[p[1]])) + 1e-6)}
+        got, sure = [], []
+        for x, y in ((a, a), (a, b), (b, b)):
+            for i, j, s in edits.close(x, y, ratio):
+                pairs = list(zip(*np.sort([x.id[i], y.id[j]], axis=0).tolist(), strict=True))
+                got += pairs
+                sure += [p for p, fine in zip(pairs, s, strict=True) if fine]
+        assert len(got) == len(set(got)) and want <= set(got) and set(sure) <= want
+        short = lambda ps: {p for p in ps if min(len(texts[i]) for i in p) <= edits.WORD}  # noqa: E731  others are left to Spark's levenshtein
+        assert len(short(got)) <= 1.2 * len(short(want)) + 10 and len(want) > 40
+
+
+@pytest.mark.parametrize("ratio", [0.5, 0.8])
+def test_blocks_meet_their_partners(ratio, monkeypatch):
+    """Every two lengths that can hold a close pair share a pair of blocks, whatever blocks they are dealt into; other values share none."""
+    monkeypatch.setattr(edits, "LEAST", 200)
+    rng = random.Random(7)
+    counts = [(w, free, n, rng.choice([1, 3, 60])) for w in (None, 1999, 2000) for free in (True, False) for n in [0, 1, 2, *range(5, 60, 3), 300]]
+    blocks, table = edits.dealt(rng.sample(counts, len(counts)), ratio)
+    assert set(table) == {c[:3] for c in counts}
+    reach = {k: (range(at, at + parts), set(others)) for k, (at, parts, others) in table.items()}
+    for (v, free, n), (mine, met) in reach.items():
+        for (w, other, m), (others, back) in reach.items():
+            meet = {x in back for x in mine} | {y in met for y in others}
+            if v == w and (free or other) and abs(n - m) <= edits.allowed(max(n, m), ratio):
+                assert meet == {True}
+            assert len(meet) == 1 and (meet == {False} or v == w and (free or other))
+    rows = {c[:3]: c[3] for c in counts}
+    assert all(x[1] <= rows[k] for k, x in table.items())
+    assert max(x[1] for x in table.values()) > 1 and blocks == 1 + max(max(r[0]) for r in reach.values())
+
+
+def test_copies_are_paired_in_many_tasks(spark):
+    """The pairs of a text that many rows have come from many tasks; before, they came from one."""
+    rows = [(i, str(i), "the same title" if i % 50 else f"the same titles {i % 7}") for i in range(3000)]
+    out = dedup.edges(as_items(spark.createDataFrame(rows, "ord long, id string, title string").withColumn("type", F.lit("book")))).withColumn("task", F.spark_partition_id())
+    by_task = [r["n"] for r in out.groupBy("task").agg(F.count("*").alias("n"), F.countDistinct("lo", "hi").alias("d")).collect()]
+    ratio = lambda a, b: 1 - _distance(a, b) / max(len(a), len(b))
+    size = {t: sum(r[2] == t for r in rows) for t in {r[2] for r in rows}}
+    want = sum(m * (m - 1) // 2 if s == t else m * n for s, m in size.items() for t, n in size.items() if s <= t and ratio(s, t) >= 0.8)
+    assert sum(by_task) == want == out.select("lo", "hi").distinct().count() and max(by_task) < want / 2
+
+
+def test_rows_of_one_number(spark):
+    """Rows that share an ord are scored by their own titles, and make no pair with each other."""
+    rows = [(1, "a title of things"), (1, "something else"), (1, "something else"), (2, "a title of thing"), (3, "something elses"), (3, "a title of things"), (4, "far away")]
+    out = dedup.edges(as_items(spark.createDataFrame(rows, "ord long, title string").selectExpr("ord", "CAST(ord AS string) AS id", "'book' AS type", "title")))
+    ratio = lambda a, b: 1 - _distance(a, b) / max(len(a), len(b))
+    want = sorted((a, b, round(r, 6)) for a, s in rows for b, t in rows if a < b and (r := ratio(s, t)) >= 0.8)
+    assert sorted((r["lo"], r["hi"], round(r["score"], 6)) for r in out.collect()) == want
